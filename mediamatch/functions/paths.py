@@ -49,7 +49,7 @@ def client_address(peer: Column | str, forwarded: Column | str, trusted: Sequenc
     peer, forwarded = F.trim(_col(peer)), _col(forwarded)
     if not trusted:
         return peer
-    chain = F.reverse(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), F.trim))
+    chain = F.reverse(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda hop: F.trim(hop)))
     usable = F.filter(chain, lambda hop: ~hop.isin(*trusted) & is_address(hop))
     return F.when(peer.isin(*trusted), F.coalesce(F.try_element_at(usable, F.lit(1)), peer)).otherwise(peer)
 
