@@ -1,0 +1,110 @@
+import pytest
+from conftest import pairs_of, sets_of_groups
+
+from mediamatch.operators import duplicates as dup
+from mediamatch.plans.duplicate_scan import report, scan
+from mediamatch.plans.store import IndexStore
+from mediamatch.operators.index import conform
+from mediamatch.schema import Settings
+from mediamatch.sources.results import last_scanned, read_groups
+
+ROWS = "attachment_id long, phash string, file_hash string"
+
+
+def h(tail, fill="0"):
+    return tail.rjust(16, fill)
+
+
+def exact(*ids):
+    return ("exact", frozenset(ids))
+
+
+def near(*ids):
+    return ("perceptual", frozenset(ids))
+
+
+CASES = {
+    "empty": ([], set()),
+    "single": ([(1, h("0"), "aaa")], set()),
+    "exact": ([(1, h("0"), "same"), (2, h("f", "f"), "same")], {exact(1, 2)}),
+    "same hash, other bytes": ([(10, "abcdef1234567890", "h1"), (11, "abcdef1234567890", "h2")], {near(10, 11)}),
+    "three bits": ([(1, h("0"), "a"), (2, h("7"), "b")], {near(1, 2)}),
+    "eight bits": ([(1, h("0"), "a"), (2, h("ff"), "b")], set()),
+    "no hashes": ([(1, "", "a"), (2, "", "b")], set()),
+    "exact wins": ([(1, h("1"), "x"), (2, h("1"), "x"), (3, h("1"), "y")], {exact(1, 2)}),
+    "transitive": ([(1, h("0"), "a"), (2, h("3"), "b"), (3, h("7"), "c")], {near(1, 2, 3)}),
+    "two clusters": (
+        [(1, h("0"), "a"), (2, h("3"), "b"), (3, h("f", "f"), "c"), (4, h("e", "f"), "d")],
+        {near(1, 2), near(3, 4)},
+    ),
+    "black image pairs": ([(1, h("0"), "a"), (2, h("0"), "")], {near(1, 2)}),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("mode", ["scan", "strict"])
+def test_golden_groups(spark, case, mode):
+    rows, expected = CASES[case]
+    assert sets_of_groups(dup.find_duplicates(spark.createDataFrame(rows, ROWS), mode=mode)) == expected
+
+
+BRIDGE = [(1, h("0"), "a"), (2, h("7"), "s"), (3, h("7"), "s"), (4, h("3f"), "b")]
+
+
+def test_exact_members_bridge_only_in_scan_mode(spark):
+    rows = spark.createDataFrame(BRIDGE, ROWS)
+    assert sets_of_groups(dup.find_duplicates(rows)) == {exact(2, 3), near(1, 4)}
+    assert sets_of_groups(dup.find_duplicates(rows, mode="strict")) == {exact(2, 3)}
+
+
+def test_exact_groups_skip_empty_and_single(spark):
+    rows = spark.createDataFrame([(1, "", "same"), (2, "", "same"), (3, "", "unique"), (4, "", ""), (5, "", "")], ROWS)
+    assert sets_of_groups(dup.exact_groups(rows)) == {exact(1, 2)}
+
+
+def test_copies_do_not_multiply(spark):
+    # A third of the rows carry one hash: pairs stay one per hash pair, groups stay whole.
+    rows = [(i, h("0"), f"a{i}") for i in range(200)] + [(1000 + i, f"{(i + 1) << 20:016x}", f"b{i}") for i in range(400)]
+    rows.append((9999, h("1"), "z"))
+    df = spark.createDataFrame(rows, ROWS)
+    pairs = {(r["left_copies"], r["right_copies"]) for r in dup.perceptual_pairs(df, 1).collect() if h("0") in (r["left_hash"], r["right_hash"])}
+    assert (200, 1) in pairs or (1, 200) in pairs
+    members = {r["attachment_id"] for r in dup.find_duplicates(df).where("group_id = 0").collect()}
+    assert set(range(200)) | {9999} <= members
+
+
+MEDIA = "attachment_id long, post_type string, title string, file_size long"
+
+
+def test_report_and_totals(spark):
+    groups = spark.createDataFrame(
+        [("exact", 1, 1), ("exact", 1, 2), ("exact", 1, 3), ("perceptual", 5, 5), ("perceptual", 5, 6), ("exact", 8, 8), ("exact", 8, 9)],
+        "match_type string, group_id long, attachment_id long",
+    )
+    media = spark.createDataFrame(
+        [(1, "attachment", "a", 10), (2, "attachment", "b", 30), (3, "attachment", "c", None), (5, "attachment", "d", 7),
+         (6, "attachment", "e", 7), (8, "page", "f", 1), (9, "attachment", "g", 1)], MEDIA,
+    )
+    settings = Settings(duplicate_threshold=0.9)
+    got = pairs_of(report(groups, media, settings), "match_type", "group_id", "n_images", "wasted_bytes", "similarity")
+    assert got == [("exact", 1, 3, 10, 1.0), ("perceptual", 5, 2, 7, 0.9)]
+    assert [r["group_id"] for r in report(groups, media, settings, view_similarity=0.95).collect()] == [1]
+    totals = dup.board_totals(report(groups, media, settings)).first()
+    assert tuple(totals) == (2, 3, 17)
+    assert tuple(dup.board_totals(report(groups, media, settings).where("false")).first()) == (0, 0, 0)
+
+    live = dup.live_members(groups, media)
+    assert pairs_of(dup.surplus_members(live), "attachment_id") == [(2,), (3,), (6,)]
+    keep = spark.createDataFrame([(1, 3)], "group_id long, keep_id long")
+    assert pairs_of(dup.surplus_members(live, keep), "attachment_id") == [(1,), (2,), (6,)]
+
+
+def test_scan_is_stored_and_read_back(spark, tmp_path):
+    path = str(tmp_path / "results")
+    assert read_groups(spark, path).count() == 0 and last_scanned(spark, path).first()[0] is None
+    store = IndexStore(spark, str(tmp_path / "index"))
+    first = store.write(conform(spark.createDataFrame(BRIDGE, ROWS)))
+    store.write(conform(spark.createDataFrame(BRIDGE + [(5, h("3e"), "c")], ROWS)))
+    assert sets_of_groups(scan(store, path, version=first)) == {exact(2, 3), near(1, 4)}
+    assert sets_of_groups(scan(store, path)) == {exact(2, 3), near(1, 4, 5)}
+    assert last_scanned(spark, path).first()[0] is not None

@@ -1,0 +1,161 @@
+import math
+
+import pytest
+from conftest import pairs_of
+from hypothesis import HealthCheck, given, settings as hyp, strategies as st
+from pyspark.sql import functions as F
+
+from mediamatch import functions as fn
+from mediamatch.functions.similarity import DEFAULT_PARTS
+from mediamatch.schema import Settings, similarity_to_hamming
+
+
+def one(spark, column, **values):
+    types = values.pop("types")
+    return spark.createDataFrame([tuple(values.values())], types).select(column.alias("v")).first()["v"]
+
+
+def vectors(spark, column, a, b):
+    return one(spark, column, a=a, b=b, types="a array<double>, b array<double>")
+
+
+@pytest.mark.parametrize(
+    "a, b, apart",
+    [
+        ("0000000000000000", "0000000000000000", 0),
+        ("0000000000000000", "ffffffffffffffff", 64),
+        ("0000000000000000", "0000000000000007", 3),
+        ("8000000000000000", "0000000000000001", 2),
+        ("abc", "abcd", 64),
+        ("", "", 0),
+    ],
+)
+def test_hamming_of_texts(spark, a, b, apart):
+    assert one(spark, fn.hamming_hex("a", "b"), a=a, b=b, types="a string, b string") == apart
+    assert one(spark, fn.hamming_hex("b", "a"), a=a, b=b, types="a string, b string") == apart
+
+
+def test_hash_text_round_trip(spark):
+    texts = ["0000000000000000", "ffffffffffffffff", "8000000000000001", "0123456789abcdef"]
+    df = spark.createDataFrame([(t,) for t in texts], "a string")
+    assert [r[0] for r in df.select(fn.long_to_hash(fn.hash_to_long("a"))).collect()] == texts
+    bad = spark.createDataFrame([("",), ("abc",), ("g" * 16,), (None,)], "a string")
+    assert all(r[0] is None for r in bad.select(fn.hash_to_long("a")).collect())
+
+
+def test_bits_to_hex_puts_first_bit_highest(spark):
+    bits = [1] + [0] * 62 + [1]
+    assert one(spark, fn.bits_to_hex("a"), a=bits, types="a array<int>") == "8000000000000001"
+
+
+def test_block_hash_leaves_dc_out_of_mean(spark):
+    block = [1000.0] + [1.0] * 32 + [-1.0] * 31
+    text = one(spark, fn.block_hash("a"), a=block, types="a array<double>")
+    # mean of the AC terms is 1/63, so the 32 positive ones and the DC term are set
+    assert text == "ffffffff80000000"
+
+
+def test_cosine_cases(spark):
+    cos = fn.cosine("a", "b")
+    assert vectors(spark, cos, [1.0, 2.0], [2.0, 4.0]) == pytest.approx(1)
+    assert vectors(spark, cos, [1.0, 0.0], [0.0, 1.0]) == 0
+    assert vectors(spark, cos, [0.0, 0.0], [1.0, 1.0]) == 0
+    assert vectors(spark, cos, [1.0, 0.0], [-1.0, 0.0]) == 0
+    assert vectors(spark, cos, [3.0, 4.0, 9.0], [3.0, 4.0]) == pytest.approx(1)
+    assert vectors(spark, cos, [], [1.0]) == 0
+
+
+def test_bhattacharyya_cases(spark):
+    flat = [1 / 16] * 48
+    assert vectors(spark, fn.bhattacharyya("a", "b", 3), flat, flat) == pytest.approx(1)
+    assert vectors(spark, fn.bhattacharyya("a", "b"), [1.0, 0.0], [0.0, 1.0]) == 0
+    assert vectors(spark, fn.bhattacharyya("a", "b"), [], []) == 0
+    assert vectors(spark, fn.bhattacharyya("a", "b", 0), flat, flat) == 0
+    assert vectors(spark, fn.bhattacharyya("a", "b"), [-1.0, 1.0], [1.0, 1.0]) == 1
+
+
+@hyp(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.floats(0, 10), st.floats(0, 10)), min_size=1, max_size=40), st.integers(0, 3))
+def test_prepared_parts_equal_raw_parts(spark, values, cut):
+    a, b = [x for x, _ in values], [y for _, y in values][: max(1, len(values) - cut)]
+    for part in DEFAULT_PARTS[1:]:
+        raw = vectors(spark, part.similarity(F.col("a"), F.col("b")), a, b)
+        ready = part.compare_prepared(part.prepare_row(F.col("a")), part.prepare_row(F.col("b")))
+        assert vectors(spark, ready, a, b) == pytest.approx(raw, abs=1e-9)
+        assert 0 <= raw <= 1
+
+
+def scored(spark, q, s):
+    schema = ", ".join(f"{p}phash string, {p}color_vector array<double>, {p}edge_vector array<double>" for p in ("q_", "s_"))
+    return spark.createDataFrame([q + s], schema).select(fn.composite_score("q_", "s_").alias("v")).first()["v"]
+
+
+def test_composite_score(spark):
+    full = ("abcdef1234567890", [1 / 16] * 48, [0.5] * 32)
+    assert scored(spark, full, full) == pytest.approx(1, abs=1e-6)
+    flat = ("abcdef1234567890", [1 / 16] * 48, [0.0] * 32)
+    assert scored(spark, flat, flat) == pytest.approx(0.75)
+    for gap in range(3):
+        part = tuple(None if i == gap else v for i, v in enumerate(full))
+        assert scored(spark, part, full) == 0 and scored(spark, full, part) == 0
+
+
+def test_vector_text(spark):
+    df = spark.createDataFrame([("[1.5, 2]",), ("",), (None,), ("nonsense",), ('{"a": 1}',)], "a string")
+    assert [r[0] for r in df.select(fn.decode_vector("a")).collect()] == [[1.5, 2.0], [], [], [], []]
+    assert one(spark, fn.encode_vector("a"), a=[1.5, 2.0], types="a array<double>") == "[1.5,2.0]"
+
+
+@pytest.mark.parametrize(
+    "peer, forwarded, client",
+    [
+        ("203.0.113.7", "198.51.100.1", "203.0.113.7"),
+        ("10.0.0.1", None, "10.0.0.1"),
+        ("10.0.0.1", "198.51.100.1", "198.51.100.1"),
+        ("10.0.0.1", "1.1.1.1, 198.51.100.1 ,10.0.0.2", "198.51.100.1"),
+        ("10.0.0.1", "198.51.100.1, unknown, 999.1.1.1", "198.51.100.1"),
+        ("10.0.0.1", "10.0.0.2, , nothing", "10.0.0.1"),
+        ("10.0.0.1", "2001:db8::8a2e:370:7334", "2001:db8::8a2e:370:7334"),
+    ],
+)
+def test_client_address(spark, peer, forwarded, client):
+    column = fn.client_address("a", "b", ["10.0.0.1", "10.0.0.2"])
+    assert one(spark, column, a=peer, b=forwarded, types="a string, b string") == client
+    assert one(spark, fn.client_address("a", "b", []), a=peer, b=forwarded, types="a string, b string") == peer
+
+
+def test_client_key_is_shared_by_unknown_clients(spark):
+    df = spark.createDataFrame([("",), (None,), ("unknown",), ("1.1.1.1",)], "a string")
+    keys = [r[0] for r in df.select(fn.client_key("a")).collect()]
+    assert keys[0] == keys[1] == keys[2] != keys[3] and len(keys[0]) == 64
+
+
+def test_display_values(spark):
+    sizes = spark.createDataFrame([(0,), (1023,), (1024,), (1536,), (1048576,), (5_400_000_000,)], "a long")
+    assert [r[0] for r in sizes.select(fn.human_bytes("a")).collect()] == ["0 B", "1023 B", "1.0 KB", "1.5 KB", "1.0 MB", "5149.8 MB"]
+    assert one(spark, fn.ratio_to_percent("a"), a=0.955, types="a double") == 96
+    assert one(spark, fn.percent_to_ratio("a"), a=95.55, types="a double") == pytest.approx(0.956)
+    assert one(spark, fn.epoch_to_text("a"), a=0, types="a long") == "1970-01-01 00:00:00"
+    rows = spark.createDataFrame([("", "ab"), ("unsupported_mime", "ab"), ("", ""), ("odd", "")], "e string, p string")
+    shown = pairs_of(rows.select(fn.row_status("e", "p").alias("s"), F.coalesce(fn.error_label("e"), F.lit("-")).alias("l")), "s", "l")
+    assert shown == [("failed", "Failed"), ("failed", "Unsupported format"), ("indexed", "-"), ("pending", "-")]
+
+
+def test_mime_from_name(spark):
+    names = spark.createDataFrame(
+        [("a/b.JPG", ""), ("b.jpe", None), ("c.webp", "image/gif"), ("d.txt", ""), ("e", "")], "name string, stored string"
+    )
+    got = [r[0] for r in names.select(fn.mime_from_name("name", "stored")).collect()]
+    assert got == ["image/jpeg", "image/jpeg", "image/gif", "", ""]
+
+
+def test_settings_clamps():
+    given_values = {
+        "search_visibility": "nobody", "rate_limit": 0, "match_threshold": 2, "batch_size": 1000,
+        "downscale_max": 1, "duplicate_threshold": 0.1, "unknown": 3,
+    }
+    s = Settings.from_mapping(given_values)
+    assert s == Settings("anyone", 1, 1.0, 200, 256, 0.8, True)
+    assert Settings.from_mapping({}) == Settings("anyone", 10, 0.85, 25, 1024, 0.95, True)
+    assert [similarity_to_hamming(x) for x in (0.95, 0.8, 1.0, 0.9)] == [3, 13, 0, 6]
+    assert math.isclose(sum(p.weight for p in DEFAULT_PARTS), 1)
