@@ -1,0 +1,100 @@
+import numpy as np
+import pytest
+from conftest import pairs_of, sets_of_groups
+
+from mediamatch.operators.duplicates import find_duplicates
+from mediamatch.operators.features import with_features
+from mediamatch.operators.index import duplicate_rows
+from mediamatch.operators.search import search
+from mediamatch.plans.indexing import index_files, reindex
+from mediamatch.plans.store import IndexStore
+from mediamatch.sources import admit_probes, file_facts, read_images
+from test_features import picture
+
+
+def save(spark, rgb, path, kind):
+    """Write a picture through the JVM's image writer."""
+    jvm = spark._jvm
+    image = jvm.java.awt.image.BufferedImage(rgb.shape[1], rgb.shape[0], 1)
+    packed = (rgb[:, :, 0].astype(np.int64) << 16 | rgb[:, :, 1].astype(np.int64) << 8 | rgb[:, :, 2]).ravel()
+    flat = spark.sparkContext._gateway.new_array(jvm.int, len(packed))
+    for i, v in enumerate(packed.tolist()):
+        flat[i] = v
+    image.setRGB(0, 0, rgb.shape[1], rgb.shape[0], flat, 0, rgb.shape[1])
+    assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(path)))
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("images")
+    one, two = picture(80, 60, 11), picture(80, 60, 12)
+    save(spark, one, root / "one.png", "png")
+    save(spark, one, root / "one.bmp", "bmp")
+    save(spark, one, root / "one.jpg", "jpg")
+    save(spark, one[::2, ::2], root / "half.png", "png")
+    save(spark, two, root / "two.gif", "gif")
+    (root / "copy.png").write_bytes((root / "one.png").read_bytes())
+    (root / "broken.png").write_bytes(b"not an image")
+    (root / "modern.webp").write_bytes(b"RIFF0000WEBPVP8 ")
+    (root / "notes.txt").write_bytes(b"text")
+    return root
+
+
+NAMES = ["one.png", "one.bmp", "one.jpg", "half.png", "two.gif", "copy.png", "broken.png", "modern.webp", "notes.txt", "gone.png"]
+
+
+def library(spark, folder):
+    rows = [(i, f"{folder}/{n}", "") for i, n in enumerate(NAMES, start=1)]
+    return spark.createDataFrame(rows, "attachment_id long, path string, mime_type string")
+
+
+def test_pixels_and_facts(spark, folder):
+    pixels = read_images(spark, str(folder), "*.{png,bmp,webp}")
+    sizes = {r["path"].rsplit("/", 1)[1]: r["width"] for r in pixels.collect()}
+    assert sizes == {"one.png": 80, "one.bmp": 80, "half.png": 40, "copy.png": 80, "broken.png": -1, "modern.webp": -1}
+    hashes = {r["path"].rsplit("/", 1)[1]: r["phash"] for r in with_features(pixels).collect()}
+    assert hashes["one.png"] == hashes["one.bmp"] == hashes["copy.png"] and hashes["broken.png"] is None
+    facts = {r["filename"]: r for r in file_facts(spark, str(folder)).collect()}
+    assert facts["one.png"]["file_hash"] == facts["copy.png"]["file_hash"] != facts["one.bmp"]["file_hash"]
+    assert facts["notes.txt"]["file_size"] == 4 and facts["notes.txt"]["mime_type"] == ""
+    assert facts["modern.webp"]["mime_type"] == "image/webp"
+
+
+def test_files_to_index_to_search_and_duplicates(spark, folder, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.write(index_files(spark, str(folder), library(spark, folder)))
+    index = store.read()
+    states = dict(pairs_of(index, "attachment_id", "error_code"))
+    assert [i for i, e in states.items() if not e] == [1, 2, 3, 4, 5, 6]
+    assert states[7] == states[8] == states[10] == "unfingerprintable" and states[9] == "unsupported_mime"
+    groups = sets_of_groups(find_duplicates(duplicate_rows(index)))
+    assert ("exact", frozenset({1, 6})) in groups
+    assert any(kind == "perceptual" and {2, 3} <= members for kind, members in groups)
+    probes = index.where("attachment_id in (1, 5)").withColumnRenamed("attachment_id", "probe_id")
+    found = {(r["probe_id"], r["attachment_id"]): r["score"] for r in search(probes, index).collect()}
+    assert found[(1, 1)] == pytest.approx(1) and found[(1, 2)] == pytest.approx(1)
+    assert found[(1, 3)] >= 0.95 and found[(1, 4)] >= 0.85 and (1, 5) not in found and (5, 5) in found
+
+
+def test_reindex(spark, tmp_path):
+    from mediamatch.sources import text_as_image
+
+    texts = [(i, "some text number %d" % i * 5, "image/png" if i < 4 else "image/tiff", "attachment", 3, "h") for i in range(6)]
+    images = text_as_image(
+        spark.createDataFrame(texts, "attachment_id long, text string, mime_type string, post_type string, file_size long, file_hash string")
+    ).drop("text")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    assert tuple(reindex(store, images.where("attachment_id < 2")).first()) == (2, 2)
+    assert tuple(reindex(store, images).first()) == (2, 2)
+    assert tuple(reindex(store, images).first()) == (0, 0)
+    assert tuple(reindex(store, images, everything=True).first()) == (4, 4)
+
+
+def test_probe_admission(spark):
+    probes = spark.createDataFrame(
+        [(1, 10_485_760, 4096, 4096, "image/png"), (2, 10_485_761, 1, 1, "image/png"), (3, 5, 4096, 4097, "image/png"),
+         (4, 5, 10, 10, "image/tiff"), (5, 5, -1, -1, "image/png"), (6, 5, 100000, 100000, "image/jpeg")],
+        "id long, file_size long, width int, height int, mime_type string",
+    )
+    got = dict(pairs_of(admit_probes(probes).na.fill("-"), "id", "reject_reason"))
+    assert got == {1: "-", 2: "too_many_bytes", 3: "too_many_pixels", 4: "unsupported_mime", 5: "undecodable", 6: "too_many_pixels"}
