@@ -74,15 +74,16 @@ def test_bhattacharyya_cases(spark):
     assert vectors(spark, fn.bhattacharyya("a", "b"), [-1.0, 1.0], [1.0, 1.0]) == 1
 
 
-@hyp(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.floats(0, 10), st.floats(0, 10)), min_size=1, max_size=40), st.integers(0, 3))
-def test_prepared_parts_equal_raw_parts(spark, values, cut):
-    a, b = [x for x, _ in values], [y for _, y in values][: max(1, len(values) - cut)]
+@hyp(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.floats(-1, 10), st.floats(-1, 10)), min_size=1, max_size=40), st.integers(0, 3))
+def test_batched_parts_equal_plain_parts(spark, values, cut):
+    a, b = [x for x, _ in values], [y for _, y in values]
+    rows = spark.createDataFrame([(a, b), (a, b[: len(b) - cut]), (b, a), (a, None), ([0.0], [0.0])], "a array<double>, b array<double>")
     for part in DEFAULT_PARTS[1:]:
-        raw = vectors(spark, part.similarity(F.col("a"), F.col("b")), a, b)
-        ready = part.compare_prepared(part.prepare_row(F.col("a")), part.prepare_row(F.col("b")))
-        assert vectors(spark, ready, a, b) == pytest.approx(raw, abs=1e-9)
-        assert 0 <= raw <= 1
+        raw, fast = part.similarity(F.col("a"), F.col("b")), part.compare(F.col("a"), F.col("b"))
+        for some in (rows, rows.limit(1)):
+            for r in some.select(raw.alias("raw"), fast.alias("fast")).collect():
+                assert r["fast"] == pytest.approx(r["raw"], abs=1e-9)
 
 
 def scored(spark, q, s):

@@ -37,7 +37,7 @@ def brute(left, right, t, ordered):
     return sorted((a, b, apart(a, b)) for a in left for b in right if apart(a, b) <= t and (a < b or not ordered))
 
 
-COVERS = [EqualBands(3, 4), EqualBands(3, 6), EqualBands(0, 1), EqualBands(7, 9), NearBands(3, 2), NearBands(8, 4), NearBands(13, 5), NearBands(20, 9), NearBands(6, 7)]
+COVERS = [EqualBands(3, 4), EqualBands(3, 6), EqualBands(0, 1), EqualBands(7, 9), NearBands(3, 2), NearBands(13, 5), NearBands(20, 9), NearBands(6, 7)]
 
 
 @pytest.mark.parametrize("cover", COVERS, ids=str)
@@ -50,14 +50,14 @@ def test_cover_finds_every_pair_once(spark, cover):
     assert own == brute(left, left, cover.distance, True)
 
 
-@pytest.mark.parametrize("t", [0, 1, 3, 5, 8, 13, 20])
+@pytest.mark.parametrize("t", [1, 3, 8, 13, 20])
 def test_chosen_cover_is_exact(spark, t):
     values = clustered(200, t)
     got = pairs_of(hamming_self_pairs(table(spark, values), t), "left_bits", "right_bits", "distance")
     assert got == brute(values, values, t, True)
 
 
-@pytest.mark.parametrize("cover", [EqualBands(3, 4), NearBands(13, 5)], ids=str)
+@pytest.mark.parametrize("cover", [EqualBands(3, 4), EqualBands(10, 12), NearBands(9, 5)], ids=str)
 def test_crowded_keys_are_split_without_loss(spark, cover):
     # A third of all hashes agree on three of four 16-bit bands.
     rng = random.Random(7)
