@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, packing, secrets, simhash
+from mediamatch.llm import decontamination, language, licenses, packing, secrets, simhash
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,39 @@ def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+LICENSE_WINDOWS_SQL = r"""
+WITH templates(license, text) AS (VALUES
+  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
+  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
+  ('MIT', 'Released under the MIT License.')
+), template_words AS (
+  SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM templates
+), pieces AS (
+  SELECT license, list_distinct(list_transform(range(len(words) - 4),
+    lambda i: array_to_string(words[(i + 1)::INTEGER:(i + 5)::INTEGER], ' '))) AS pieces FROM template_words
+), texts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  FROM documents WHERE text IS NOT NULL
+), starts AS (
+  SELECT doc_id, words, unnest(range(0, greatest(len(words) - 13, 0) + 1, 4)) AS first_word FROM texts
+), windows AS (
+  SELECT doc_id, first_word, words[(first_word + 1)::INTEGER:(first_word + 16)::INTEGER] AS w FROM starts
+), shingled AS (
+  SELECT doc_id, first_word, list_transform(range(greatest(len(w) - 4, 1)),
+    lambda i: array_to_string(w[(i + 1)::INTEGER:(i + 5)::INTEGER], ' ')) AS own FROM windows
+), matched AS (
+  SELECT doc_id, license, first_word, len(list_intersect(own, pieces))::DOUBLE / len(pieces) AS containment FROM shingled, pieces
+)
+SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word, count(DISTINCT first_word) AS windows
+FROM matched WHERE containment >= 0.8 GROUP BY doc_id, license
+"""
+
+
 def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read(spark, sf_dir, "documents"))
 
@@ -52,20 +85,20 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BENCHMARK_LEAKS_SQL = r"""
 WITH items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS item FROM benchmark
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS item FROM benchmark
 ), kept AS (SELECT DISTINCT * FROM items WHERE len(item) >= 9),
 texts AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), w -> w <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
   FROM documents WHERE text IS NOT NULL
 ), masks(mask, o) AS (VALUES (0, [0, 1, 2, 5, 8]), (1, [0, 1, 3, 6, 8]), (2, [0, 2, 3, 5, 6])),
 item_seeds AS (
-  SELECT item_id, at, mask, list_transform(o, x -> item[(at + x + 1)::INTEGER]) AS seed
-  FROM (SELECT item_id, item, unnest(range(len(item) - 8)) AS at FROM kept), masks
+  SELECT item_id, pos, mask, list_transform(o, lambda x: item[(pos + x + 1)::INTEGER]) AS seed
+  FROM (SELECT item_id, item, unnest(range(len(item) - 8)) AS pos FROM kept), masks
 ), text_seeds AS (
-  SELECT doc_id, at, mask, list_transform(o, x -> words[(at + x + 1)::INTEGER]) AS seed
-  FROM (SELECT doc_id, words, unnest(range(len(words) - 8)) AS at FROM texts WHERE len(words) >= 9), masks
+  SELECT doc_id, pos, mask, list_transform(o, lambda x: words[(pos + x + 1)::INTEGER]) AS seed
+  FROM (SELECT doc_id, words, unnest(range(len(words) - 8)) AS pos FROM texts WHERE len(words) >= 9), masks
 ), hits AS (
-  SELECT DISTINCT t.doc_id, s.item_id, t.at - s.at AS start FROM text_seeds t JOIN item_seeds s USING (mask, seed)
+  SELECT DISTINCT t.doc_id, s.item_id, t.pos - s.pos AS start FROM text_seeds t JOIN item_seeds s USING (mask, seed)
 ), matched AS (
   SELECT DISTINCT h.doc_id, h.item_id, i AS place, len(k.item) AS item_words
   FROM (SELECT *, unnest(range(60)) AS i FROM hits) h JOIN kept k USING (item_id) JOIN texts x USING (doc_id)
@@ -79,10 +112,11 @@ FROM matched GROUP BY doc_id, item_id, item_words HAVING count(*)::DOUBLE / item
 
 QUERIES: dict[str, Query] = {
     "op2_secret_ownership": secret_ownership,
+    "op3_license_windows": license_windows,
     "op4_simhash_components": simhash_components,
     "op5_language_mixture": language_mixture,
     "op9_packed_sequences": packed_sequences,
     "op10_benchmark_leaks": benchmark_leaks,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op10_benchmark_leaks": BENCHMARK_LEAKS_SQL}
+SQL: dict[str, str] = {"op3_license_windows": LICENSE_WINDOWS_SQL, "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL}
