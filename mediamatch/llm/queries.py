@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, packing, secrets, simhash
+from mediamatch.llm import decontamination, language, lattice, licenses, packing, secrets, simhash, suffixes
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,11 @@ def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("langs", "+").alias("langs"))
 
 
+def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read(spark, sf_dir, "documents"))
 
@@ -119,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op3_license_windows": license_windows,
     "op4_simhash_components": simhash_components,
     "op5_language_mixture": language_mixture,
+    "op7_repeated_bytes": repeated_bytes,
     "op8_lattice_scores": lattice_scores,
     "op9_packed_sequences": packed_sequences,
     "op10_benchmark_leaks": benchmark_leaks,
