@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, packing, secrets, simhash, suffixes
+from mediamatch.llm import decontamination, language, lattice, licenses, neighbours, packing, secrets, simhash, suffixes
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 BASE_KINDS = ("assign", "access", "hex")
 
 
+def nearest_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
@@ -120,6 +124,7 @@ FROM matched GROUP BY doc_id, item_id, item_words HAVING count(*)::DOUBLE / item
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_nearest_embeddings": nearest_embeddings,
     "op2_secret_ownership": secret_ownership,
     "op3_license_windows": license_windows,
     "op4_simhash_components": simhash_components,
