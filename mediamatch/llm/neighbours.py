@@ -33,7 +33,7 @@ K = 20
 SAMPLE_ROWS = 20_000
 SAMPLE_NUMBERS = 4_000_000
 BRANCHES = 16
-LEAF_SAMPLE = 48
+LEAF_SAMPLE = 256
 KMEANS_ROUNDS = 8
 CALIBRATION_QUERIES = 96
 TARGET_RECALL = 0.97
@@ -143,41 +143,43 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def scores_of(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products row by row; equal rows give equal sums wherever they lie."""
-    return np.add.reduce(queries * vectors, axis=1)
-
-
 def nearest_in(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query id, ids, scores) of the k best of each query, its own id left out."""
+    """(query ids, ids, scores), aligned, of the k best of each query, its own id left out.
+
+    Equal vectors are one candidate with its smallest ids. A matrix product picks candidates; their scores are
+    summed again row by row, so equal vectors score alike wherever they lie.
+    """
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
-    plain = vectors + 0.0  # one zero
-    _, first, which = np.unique(plain.view(np.dtype((np.void, plain.itemsize * plain.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    ids, vectors = ids[order], np.ascontiguousarray(vectors[order]) + 0.0  # one kind of zero
+    rows = vectors.view(np.dtype((np.void, vectors.itemsize * vectors.shape[1]))).ravel()
+    _, first, which, sizes = np.unique(rows, return_index=True, return_inverse=True, return_counts=True)
     members = np.argsort(which, kind="stable")
-    begin = np.r_[0, np.cumsum(np.bincount(which))]
+    place = np.arange(len(which)) - np.repeat(np.cumsum(np.r_[0, sizes[:-1]]), sizes)
+    early = place <= k
+    table = np.full((len(first), min(int(sizes.max()), k + 1)), -1)
+    table[which[members[early]], place[early]] = members[early]
+    plain = vectors[first]
     for low in range(0, len(queries), 256):
-        rough = queries[low : low + 256] @ vectors[first].T
+        asked = queries[low : low + 256]
+        rough = asked @ plain.T
         top = min(k + 1, rough.shape[1])
         chosen = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-        for row in range(len(rough)):
-            at = np.concatenate([members[begin[u] : min(begin[u + 1], begin[u] + k + 1)] for u in chosen[row]])
-            at = at[ids[at] != q_ids[low + row]]
-            exact = scores_of(np.broadcast_to(queries[low + row], (len(at), queries.shape[1])), vectors[at])
-            best = np.lexsort([ids[at], -exact])[:k]
-            yield q_ids[low + row], ids[at][best], exact[best]
+        exact = np.add.reduce(asked[:, None, :] * plain[chosen], axis=2)
+        at = table[chosen].reshape(len(asked), -1)
+        own = ids[at]
+        score = np.repeat(exact, table.shape[1], axis=1)
+        out = (at < 0) | (own == q_ids[low : low + 256, None])
+        best = np.lexsort((own, np.where(out, np.inf, -score)), axis=-1)[:, :k]
+        kept = ~np.take_along_axis(out, best, 1)
+        asking = np.broadcast_to(q_ids[low : low + 256, None], best.shape)
+        yield asking[kept], np.take_along_axis(own, best, 1)[kept], np.take_along_axis(score, best, 1)[kept]
 
 
 FOUND = "query_id long, vec_id long, score double"
 
 
 def _found_batch(results: Iterator[tuple]) -> pa.Table:
-    queries, ids, scores = [], [], []
-    for query, own, exact in results:
-        queries.append(np.full(len(own), query))
-        ids.append(own)
-        scores.append(exact)
-    columns = [np.concatenate(x) if x else np.zeros(0) for x in (queries, ids, scores)]
+    columns = [np.concatenate(x) for x in zip(*results)] or [np.zeros(0)] * 3
     kinds = (pa.int64(), pa.int64(), pa.float64())
     return pa.table({n: pa.array(c, k) for n, c, k in zip(("query_id", "vec_id", "score"), columns, kinds)})
 
