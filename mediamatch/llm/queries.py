@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, neighbours, packing, secrets, simhash, suffixes
+from mediamatch.llm import decontamination, language, lattice, licenses, neighbours, packing, quality, secrets, simhash, suffixes
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.array_join("langs", "+").alias("langs"))
 
 
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.deduplicate(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -129,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op3_license_windows": license_windows,
     "op4_simhash_components": simhash_components,
     "op5_language_mixture": language_mixture,
+    "op6_quality_scores": quality_scores,
     "op7_repeated_bytes": repeated_bytes,
     "op8_lattice_scores": lattice_scores,
     "op9_packed_sequences": packed_sequences,
