@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from mediamatch.llm.frames import unused
+
 #: Word offsets that each mask reads.
 MASKS = ((0, 1, 2, 5, 8), (0, 1, 3, 6, 8), (0, 2, 3, 5, 6))
 OFFSETS = sorted({o for mask in MASKS for o in mask})
@@ -74,6 +76,8 @@ def leaks(
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, columns unchanged, that leak no benchmark item."""
-    found = leaks(docs, benchmark, id_col, text_col, mark=True).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    own_id, own_hash = unused(docs, "leak_id"), unused(docs, "leak_hash")
+    found = leaks(docs, benchmark, id_col, text_col, mark=True)
+    found = found.select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(found[own_id]) & (F.xxhash64(docs[text_col]) == found[own_hash])
     return docs.join(found, same, "left_anti")

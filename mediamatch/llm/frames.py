@@ -21,6 +21,14 @@ def held_out(doc_id: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(False))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that the frame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def filled(column: pa.Array) -> pa.Array:
     """Texts with 64-bit offsets; null reads as empty."""
     return pc.fill_null(column.cast(pa.large_string()), "")

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mediamatch.llm.frames import filled
+from mediamatch.llm.frames import filled, unused
 from mediamatch.session import checkpointed
 
 #: Order of kinds at equal starts.
@@ -151,16 +151,14 @@ def scan(
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
     """The same rows and columns, with every secret but widely copied examples replaced by its kind in angle brackets."""
-    found = checkpointed(
-        find(docs, id_col, text_col, owner_col, repo_col)
-        .where(F.size("spans") > 0)
-    )
-    judged = ownership(found)
-    widely = judged.where(F.col("owners") >= EXAMPLE_OWNERS).select("digest")
+    found = checkpointed(find(docs, id_col, text_col, owner_col, repo_col).where(F.size("spans") > 0))
+    widely = ownership(found).where(F.col("owners") >= EXAMPLE_OWNERS).select("digest")
     copied = found.select("doc_id", F.explode("spans.digest").alias("digest")).distinct().join(widely, "digest", "left_semi")
-    per_doc = copied.groupBy("doc_id").agg(F.collect_set("digest").alias("_examples")).withColumnRenamed("doc_id", "_id")
+    own_id, examples = unused(docs, "example_id"), unused(docs, "examples")
+    per_doc = copied.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("digest").alias(examples))
     columns, kinds = docs.columns, docs.dtypes
-    joined = docs.join(per_doc, F.col(id_col).cast("long") == F.col("_id"), "left").select(*columns, "_examples")
+    same = docs[id_col].cast("long").eqNullSafe(per_doc[own_id])
+    joined = docs.join(per_doc, same, "left").select(*(docs[c] for c in columns), per_doc[examples])
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mediamatch.llm.frames import filled, partitions_of
+from mediamatch.llm.frames import filled, partitions_of, unused
 from mediamatch.operators.components import connected_components
 from mediamatch.session import checkpointed
 
@@ -317,8 +317,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     smallest = prints.groupBy("bits").agg(F.min(order).alias("first"))
     chosen = smallest.join(_labels(prints, distance), "bits").groupBy("component").agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    own_id, own_hash = unused(docs, "kept_id"), unused(docs, "kept_hash")
+    chosen = chosen.select(F.col("first.doc_id").alias(own_id), F.col("first.text_hash").alias(own_hash))
+    same = docs[id_col].cast("long").eqNullSafe(chosen[own_id]) & (F.xxhash64(docs[text_col]) == chosen[own_hash])
     kept = docs.join(chosen, same, "left_semi")
     if prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
         return kept
