@@ -6,8 +6,8 @@ at every hit the item is laid over the text and compared word by word, and the i
 place over all hits of a document give the overlap. An overlap of `SIMILARITY` of the item is a leak.
 
 The benchmark is the small side: its seeds are counted and broadcast up to a bound, beyond it the join
-shuffles. Training words stay inside one pass over the scan; only verified hits leave it. Column functions
-only.
+shuffles. Training words stay inside one pass over the scan; only verified hits leave it. Long texts are read
+in overlapping parts, so that what is held for a text full of leaks is bounded. Column functions only.
 
 Defined results: words are runs of letters and digits, lower-cased; null and empty texts match nothing; an
 item of fewer words than a window is too common a phrase to call a leak and matches nothing; items of equal
@@ -25,6 +25,8 @@ MASKS = ((0, 1, 2, 5, 8), (0, 1, 3, 6, 8), (0, 2, 3, 5, 6))
 OFFSETS = sorted({o for mask in MASKS for o in mask})
 WINDOW = max(OFFSETS) + 1
 SIMILARITY = 0.8
+#: Words of a text that are read at once; parts overlap by the longest item, so every item lies in one wholly.
+PART_WORDS = 2048
 #: Most benchmark seeds that are broadcast, about 100 MB.
 BROADCAST_SEEDS = 1_000_000
 
@@ -53,18 +55,26 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_words, similarity) of every leaked item; `mark` adds the hash of the text."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), words_of(benchmark[item_text_col]).alias("item"))
-    items = items.where(F.size("item") >= WINDOW)
-    seeds = _seeds(items, "item").select("seed", "item_id", "at").distinct().select("seed", "item_id", F.col("at").alias("item_at"))
-    plain = items.distinct()
-    if seeds.count() <= BROADCAST_SEEDS:
-        seeds, plain = F.broadcast(seeds), F.broadcast(plain)
+    items = items.where(F.size("item") >= WINDOW).distinct().withColumn("n", F.size("item"))
+    size = _seeds(items, "item").agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    seeds = _seeds(items, "item").select("seed", "item_id", "n", F.col("at").alias("item_at")).distinct()
+    if size[0] <= BROADCAST_SEEDS:
+        seeds, items = F.broadcast(seeds), F.broadcast(items)
     keys = [docs[id_col].cast("long").alias("doc_id"), *([F.xxhash64(docs[text_col]).alias("text_hash")] if mark else [])]
     texts = docs.select(*keys, words_of(docs[text_col]).alias("words"))
     names = [c for c in texts.columns if c != "words"]
-    hits = _seeds(texts, "words").join(seeds, "seed").withColumn("begin", F.col("at") - F.col("item_at"))
-    # `get` is null outside the text, so an item that hangs over an end only loses those words.
-    laid = F.transform("item", lambda w, i: F.when(F.get("words", F.col("begin") + i) == w, i))
-    found = hits.join(plain, "item_id").select(*names, "item_id", F.array_compact(laid).alias("found"), F.size("item").alias("item_words"))
+    last = F.greatest(F.size("words") - 1, F.lit(0)) / PART_WORDS
+    parts = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.slice("words", k * PART_WORDS + 1, PART_WORDS + size[1]))
+    hits = _seeds(texts.select(*names, F.explode(parts).alias("words")), "words").join(seeds, "seed")
+    begin = F.col("at") - F.col("item_at")
+    over = F.least(begin, F.lit(0))  # words of the item that hang over the front
+    near = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.col("n") + over)
+    laid = F.transform("item", lambda w, i: F.when(F.get("near", F.col("over") + i) == w, i))
+    found = (
+        hits.select(*names, "item_id", over.alias("over"), near.alias("near"))
+        .join(items, "item_id")
+        .select(*names, "item_id", F.array_compact(laid).alias("found"), F.col("n").alias("item_words"))
+    )
     return (
         found.groupBy(*names, "item_id", "item_words")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("matched"))
