@@ -57,15 +57,15 @@ class Network:
 def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes with every text on blocks of its own, first block of each text and the end, length of each text)."""
     lengths = np.diff(offsets)
-    blocks = np.where(lengths > 0, -(-(lengths + GAP) // BLOCK), 0)
+    blocks = np.where(lengths > 0, np.maximum(-(-(lengths + GAP) // BLOCK), 2), 0)
     edges = np.r_[0, np.cumsum(blocks)]
     out = np.zeros(edges[-1] * BLOCK + GAP, np.uint8)
     out[np.arange(len(data)) + np.repeat(edges[:-1] * BLOCK - offsets[:-1], lengths)] = data
     return out, edges, lengths
 
 
-def repeated_marks(data: np.ndarray) -> np.ndarray:
-    """1 where the next eight bytes come again within a few bytes."""
+def repeated_marks(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """1 where the next eight bytes of a text come again within a few bytes."""
     wide = data.astype(np.uint64)
     wide = wide[:-1] | wide[1:] << np.uint64(8)
     wide = wide[:-2] | wide[2:] << np.uint64(16)
@@ -73,7 +73,8 @@ def repeated_marks(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data), bool)
     for lag in LAGS:
         out[: len(wide) - lag] |= (wide[:-lag] == wide[lag:]) & (wide[:-lag] != 0)
-    return out
+    out[(edges[1:, None] * BLOCK - np.arange(1, 9)).clip(0)] = False  # these read on into the next text
+    return out.astype(np.float32)
 
 
 def responses(tables: np.ndarray, repeats: np.ndarray, bias: np.ndarray, data: np.ndarray, marks: np.ndarray) -> np.ndarray:
@@ -95,21 +96,22 @@ def chunk_logits(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     logits = np.full(len(lengths), net.prior)
     if edges[-1] == 0:
         return logits
-    marks = repeated_marks(laid).astype(np.float32)
+    marks = repeated_marks(laid, edges)
+    closing = np.zeros(edges[-1], bool)
+    closing[edges[1:][np.diff(edges) > 0] - 1] = True
     pooled = np.empty((edges[-1], FILTERS), np.float32)
     step = 256
     for low in range(0, edges[-1], step):
         high = min(edges[-1], low + step)
         part = slice(low * BLOCK, high * BLOCK + WIDTH - 1)
         found = responses(net.tables, net.repeats, net.bias, laid[part], marks[part])
-        pooled[low:high] = found.reshape(high - low, BLOCK, FILTERS).max(axis=1)
+        found = found.reshape(high - low, BLOCK, FILTERS)
+        found[closing[low:high], BLOCK - WIDTH + 1 :] = -np.inf  # these filters read on into the next text
+        pooled[low:high] = found.max(axis=1)
     text = np.repeat(np.arange(len(lengths)), np.diff(edges))
     follows = np.flatnonzero(text[1:] == text[:-1])
-    # A text of one block is one chunk; others have a chunk for each two neighbouring blocks.
-    alone = np.flatnonzero(np.diff(edges) == 1)
-    chunks = np.concatenate([np.maximum(pooled[follows], pooled[follows + 1]), pooled[edges[alone]]])
-    owner = np.concatenate([text[follows], alone])
-    value = np.maximum(chunks, 0) @ net.out + net.out_bias
+    owner = text[follows]
+    value = np.maximum(np.maximum(pooled[follows], pooled[follows + 1]), 0) @ net.out + net.out_bias
     n = np.bincount(owner, minlength=len(lengths))
     total = np.bincount(owner, value, minlength=len(lengths))
     logits[n > 0] = total[n > 0] / n[n > 0]
@@ -136,11 +138,11 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     data = np.frombuffer(b"".join(encoded), np.uint8)
     laid, edges, _ = laid_out(data, np.cumsum(np.r_[0, [len(t) for t in encoded]]).astype(np.int64))
     blocks = np.diff(edges)
-    owner = np.repeat(np.arange(len(encoded)), np.maximum(blocks - 1, blocks > 0))
-    starts = np.concatenate([np.arange(e, e + max(b - 1, 1)) for e, b in zip(edges, blocks) if b] or [np.zeros(0, int)])
+    owner = np.repeat(np.arange(len(encoded)), np.maximum(blocks - 1, 0))
+    starts = np.concatenate([np.arange(e, e + b - 1) for e, b in zip(edges, blocks) if b] or [np.zeros(0, int)])
     if not len(starts) or share in (0.0, 1.0):
         return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), repeats * 0, bias, out, prior, prior)
-    marks = repeated_marks(laid).astype(np.float32)
+    marks = repeated_marks(laid, edges)
     laid, marks = np.r_[laid, np.zeros(2 * BLOCK, np.uint8)], np.r_[marks, np.zeros(2 * BLOCK, np.float32)]
     target = labels[owner].astype(np.float32)
     per_text = np.bincount(owner)[owner]
