@@ -1,0 +1,81 @@
+import numpy as np
+import pytest
+
+from llm_fixtures import frame, odd_rows, prose
+from mediamatch.llm import quality
+
+SHARES = (0.8, 0.2)
+
+
+def corpus():
+    clean = prose(51, 240, 120)
+    kinds = (lambda t: t.upper().replace(" ", "!! "), lambda t: t.replace(" ", "%%% "), lambda t: " ".join([t.split()[0]] * 60))
+    junk = [kinds[i % 3](t) for i, t in enumerate(prose(52, 90, 120))]
+    return [(i, t, "en", "s") for i, t in enumerate(clean + junk)], {i: int(i < len(clean)) for i in range(len(clean) + len(junk))}
+
+
+def labels_of(spark, labels):
+    rows = [(i, q, 0, "?") for i, q in labels.items()]
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int, text string")
+
+
+def test_held_out_accuracy_and_odd_rows(spark):
+    rows, labels = corpus()
+    odd = [(None if d is None else d + 10_000, *rest) for d, *rest in odd_rows()]
+    labelled = labels_of(spark, labels).union(labels_of(spark, {77_777: 1})).union(
+        spark.createDataFrame([(None, 1, 0, "?"), (5, None, 0, "?"), (10_001, 1, 0, "?")], "doc_id long, quality int, toxic int, text string")
+    )
+    got = quality.classify(frame(spark, rows + odd), labelled).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r["score"] <= 1 for r in got)
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 40 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in held]) >= 0.95
+
+
+def brute_logit(net, text):
+    """The same network by loops over places and chunks."""
+    data = text.encode()
+    if not data:
+        return net.prior
+    blocks = max(-(-(len(data) + quality.GAP) // quality.BLOCK), 2)
+    padded = np.frombuffer(data + bytes(blocks * quality.BLOCK + quality.GAP - len(data)), np.uint8)
+    marks = [
+        any(padded[i : i + 8].any() and bytes(padded[i : i + 8]) == bytes(padded[i + g : i + g + 8]) and i + g + 8 <= len(padded) for g in quality.LAGS)
+        for i in range(len(padded))
+    ]
+    logits = []
+    for chunk in range(blocks - 1):
+        best = np.full(quality.FILTERS, -np.inf)
+        for i in range(chunk * quality.BLOCK, min((chunk + 2) * quality.BLOCK, blocks * quality.BLOCK - quality.WIDTH + 1)):
+            z = net.bias + sum(net.tables[k][padded[i + k]] + marks[i + k] * net.repeats[k] for k in range(quality.WIDTH))
+            best = np.maximum(best, z)
+        logits.append(np.maximum(best, 0) @ net.out + net.out_bias)
+    return float(np.mean(logits))
+
+
+@pytest.fixture(scope="module")
+def network():
+    rng = np.random.default_rng(8)
+    shape = (quality.WIDTH, 256, quality.FILTERS)
+    draw = lambda *s: rng.normal(0, 1, s).astype(np.float32)
+    return quality.Network(draw(*shape), draw(quality.WIDTH, quality.FILTERS), draw(quality.FILTERS), draw(quality.FILTERS), 0.3, -0.7)
+
+
+def test_score_is_the_network_over_the_whole_text(network):
+    texts = ["", "a", "é" * 70, "again " * 40, *prose(53, 4, 90), "x" * 96, "y" * 97, prose(54, 1, 400)[0]]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    want = [brute_logit(network, t) for t in texts]
+    assert np.allclose(quality.chunk_logits(network, data, offsets), want, atol=1e-3)
+    alone = [quality.chunk_logits(network, np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+    assert np.allclose(alone, want, atol=1e-3)
+
+
+def test_one_class_and_empty_tables(spark):
+    rows, _ = corpus()
+    docs = frame(spark, rows[:20] + [(900, None, None, None)])
+    scores = {round(r["score"], 3) for r in quality.classify(docs, labels_of(spark, {i: 1 for i in range(20)})).collect()}
+    assert scores == {round((1 + 1e-3) / (1 + 2e-3), 3)}
+    none = labels_of(spark, {1: 1}).limit(0)
+    assert {r["score"] for r in quality.classify(docs, none).collect()} == {0.5}
+    assert quality.classify(frame(spark, []), none).collect() == []
