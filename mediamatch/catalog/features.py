@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from mediamatch.catalog import tables as t
 from mediamatch.catalog.registry import query
+from mediamatch.functions.hashes import hamming_hex
 from mediamatch.operators import features as feat
 from mediamatch.plans.indexing import index_images
 from mediamatch.schema import ALLOWED_MIME
@@ -56,6 +57,36 @@ def document_fingerprint(spark, sf_dir):
     return rows.select("attachment_id", "phash", _texts("color_vector"), _texts("edge_vector"))
 
 
+def _digits_apart(n: int) -> str:
+    pieces = [f"bit_count(xor(('0x' || substr(a, {at}, 8))::UBIGINT, ('0x' || substr(b, {at}, 8))::UBIGINT))" for at in range(1, n, 8)]
+    return " + ".join(pieces)
+
+
+@query(
+    "long_hash_distance",
+    "F1",
+    f"""WITH digest AS (SELECT doc_id, md5(text) AS short, md5(text) || left(md5(text || 'x'), 8) AS long FROM documents),
+        pair AS (SELECT x.doc_id, x.short AS a, y.short AS b, x.long AS c, y.long AS d FROM digest x JOIN digest y ON y.doc_id = x.doc_id + 1)
+        SELECT doc_id, ({_digits_apart(32)})::INTEGER AS distance_32,
+               (SELECT ({_digits_apart(40)})::INTEGER FROM (SELECT c AS a, d AS b)) AS distance_40,
+               64 AS unequal FROM pair""",
+)
+def long_hash_distance(spark, sf_dir):
+    """Bit distances of neighbouring documents' digests, longer than a 64-bit hash."""
+    digest = lambda text: F.md5(text.cast("binary"))
+    text = F.col("text")
+    digests = t.table(spark, sf_dir, "documents").select(
+        "doc_id", digest(text).alias("short"), F.concat(digest(text), F.substring(digest(F.concat(text, F.lit("x"))), 1, 8)).alias("long")
+    )
+    after = digests.select((F.col("doc_id") - 1).alias("doc_id"), F.col("short").alias("b"), F.col("long").alias("d"))
+    return digests.join(after, "doc_id").select(
+        "doc_id",
+        hamming_hex("short", "b").alias("distance_32"),
+        hamming_hex("long", "d").alias("distance_40"),
+        hamming_hex("short", "d").alias("unequal"),
+    )
+
+
 @query(
     "working_sizes",
     "I1 I9",

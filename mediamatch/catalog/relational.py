@@ -319,6 +319,28 @@ def order_discount_percent(spark, sf_dir):
     )
 
 
+@query(
+    "mapped_clients",
+    "F14",
+    """SELECT event_id, CASE event_type
+              WHEN 'click' THEN '::ffff:198.51.100.' || (user_id % 250)
+              WHEN 'view' THEN '2001:db8::1:192.0.2.' || (user_id % 250)
+              WHEN 'signup' THEN '64:ff9b:1:2:3:4:203.0.113.' || (user_id % 250)
+              ELSE '192.0.2.77' END AS client FROM events""",
+)
+def mapped_clients(spark, sf_dir):
+    """Forwarded addresses whose tail is a dotted quad; the malformed one is passed over for the entry before it."""
+    kind, last = F.col("event_type"), (F.col("user_id") % 250).cast("string")
+    forwarded = (
+        F.when(kind == "click", F.concat(F.lit("192.0.2.77, ::ffff:198.51.100."), last))
+        .when(kind == "view", F.concat(F.lit("192.0.2.77, 2001:db8::1:192.0.2."), last, F.lit(", 10.0.0.2")))
+        .when(kind == "signup", F.concat(F.lit("192.0.2.77, 64:ff9b:1:2:3:4:203.0.113."), last))
+        .otherwise(F.concat(F.lit("192.0.2.77, 1:2:3:4:5:6:7:203.0.113."), last))
+    )
+    events = t.table(spark, sf_dir, "events").select("event_id", F.lit("10.0.0.1").alias("peer"), forwarded.alias("forwarded"))
+    return events.select("event_id", fn.client_address("peer", "forwarded", TRUSTED).alias("client"))
+
+
 @query(
     "request_clients",
     "F14 F15 F16",

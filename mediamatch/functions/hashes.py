@@ -37,11 +37,13 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 def hamming_hex(a: Column | str, b: Column | str) -> Column:
     """Differing bits of two hex hashes; hashes of unequal length count as 64 apart."""
     a, b = _col(a), _col(b)
-    # Texts of any equal length are compared 15 digits at a time so each piece fits in BIGINT.
-    def piece(c: Column, at: int) -> Column:
-        return F.coalesce(F.conv(F.substring(c, at, 15), 16, 10).cast("bigint"), F.lit(0))
 
-    apart = F.bit_count(piece(a, 1).bitwiseXOR(piece(b, 1))) + F.bit_count(piece(a, 16).bitwiseXOR(piece(b, 16)))
+    def piece(c: Column, at: Column) -> Column:
+        return F.coalesce(F.conv(F.substr(c, at, F.lit(15)), 16, 10).cast("bigint"), F.lit(0))
+
+    # Texts of any equal length are compared 15 digits at a time, so that each piece fits in BIGINT.
+    starts = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)), F.lit(15))
+    apart = F.aggregate(starts, F.lit(0), lambda sum_, at: sum_ + F.bit_count(piece(a, at).bitwiseXOR(piece(b, at))).cast("int"))
     return F.when(F.length(a) != F.length(b), F.lit(HASH_BITS)).otherwise(apart).cast("int")
 
 

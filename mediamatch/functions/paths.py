@@ -17,6 +17,12 @@ IPV6 = (
     rf"|({_H}:){{1,4}}(:{_H}){{1,3}}|({_H}:){{1,3}}(:{_H}){{1,4}}|({_H}:){{1,2}}(:{_H}){{1,5}}"
     rf"|{_H}:(:{_H}){{1,6}}|:((:{_H}){{1,7}}|:))$"
 )
+# The last two groups may be written as a dotted quad; "::" stands for at least one group before it.
+_QUAD = rf"({_OCTET}\.){{3}}{_OCTET}"
+_BEFORE_QUAD = [rf"({_H}:){{6}}"] + [
+    rf"{_H}(:{_H}){{{left - 1}}}::({_H}:){{0,{5 - left}}}" if left else rf"::({_H}:){{0,5}}" for left in range(6)
+]
+IPV6_QUAD = rf"^({'|'.join(_BEFORE_QUAD)}){_QUAD}$"
 
 
 def _col(c: Column | str) -> Column:
@@ -37,7 +43,7 @@ def mime_from_name(name: Column | str, stored: Column | str | None = None) -> Co
 
 
 def is_address(text: Column) -> Column:
-    return text.rlike(IPV4) | text.rlike(IPV6)
+    return text.rlike(IPV4) | text.rlike(IPV6) | text.rlike(IPV6_QUAD)
 
 
 def client_address(peer: Column | str, forwarded: Column | str, trusted: Sequence[str]) -> Column:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import pairs_of
@@ -6,6 +7,8 @@ from hypothesis import HealthCheck, given, settings as hyp, strategies as st
 from pyspark.sql import functions as F
 
 from mediamatch import functions as fn
+from mediamatch.functions.hashes import hamming_hex
+from mediamatch.functions.paths import is_address
 from mediamatch.functions.similarity import DEFAULT_PARTS
 from mediamatch.schema import Settings, similarity_to_hamming
 
@@ -160,3 +163,24 @@ def test_settings_clamps():
     assert Settings.from_mapping({}) == Settings("anyone", 10, 0.85, 25, 1024, 0.95, True)
     assert [similarity_to_hamming(x) for x in (0.95, 0.8, 1.0, 0.9)] == [3, 13, 0, 6]
     assert math.isclose(sum(p.weight for p in DEFAULT_PARTS), 1)
+
+
+@pytest.mark.parametrize("n", [1, 15, 16, 30, 31, 32, 40, 64])
+def test_hex_distance_walks_every_digit(spark, n):
+    rng = random.Random(n)
+    texts = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for _ in range(12)]
+    rows = [(a, b) for a in texts for b in texts] + [("0" * (n - 1) + "0", "0" * (n - 1) + "f"), ("", "")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", hamming_hex("a", "b").alias("d")).collect()
+    assert all(r["d"] == (int(r["a"] or "0", 16) ^ int(r["b"] or "0", 16)).bit_count() for r in got)
+
+
+@pytest.mark.parametrize(
+    "text, valid",
+    [
+        ("::ffff:198.51.100.1", True), ("::198.51.100.1", True), ("64:ff9b::192.0.2.33", True), ("1:2:3:4:5:6:1.2.3.4", True),
+        ("1:2:3:4:5::1.2.3.4", True), ("1::2:3:4:5:1.2.3.4", True), ("1:2:3:4:5:6:7:1.2.3.4", False), ("1:2:3:4:5:6::1.2.3.4", False),
+        ("::ffff:300.1.1.1", False), ("::ffff:1.2.3", False), ("1::2::1.2.3.4", False), (":ffff:1.2.3.4", False), ("1.2.3.4::", False),
+    ],
+)
+def test_addresses_with_a_dotted_tail(spark, text, valid):
+    assert spark.createDataFrame([(text,)], "t string").select(is_address(F.col("t"))).first()[0] == valid
