@@ -253,7 +253,7 @@ def score(
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, set[bytes]] = {}
         for batch in batches:
-            for number, text in zip(batch.column(0).to_pylist(), filled(batch.column(1))):
+            for number, text in zip(batch.column(3).to_pylist(), filled(batch.column(2))):
                 asked.setdefault(number, set()).update(text.as_py().encode().lower().split())
         for number, found in asked.items():
             words = pa.array(list(found), pa.binary()).cast(pa.string())
@@ -273,7 +273,8 @@ def score(
                 {"block": table.column(0), "mark": pa.array(_marks(found)[at]), "base": pa.array(base), "marginal": pa.array(marginal[at])}
             ).to_batches(1 << 16)
 
-    asked = dealt.select("block", "text").mapInArrow(ask, "block int, word string")
+    # All columns, as in the join below, so that both read one shuffle of the texts.
+    asked = dealt.mapInArrow(ask, "block int, word string")
     counted = asked.join(words, "word", "left").select("block", "word", F.coalesce("n", F.lit(0)).alias("n"))
     answers = counted.mapInArrow(answer, "block int, mark long, base double, marginal double")
 
