@@ -1,24 +1,19 @@
 """Index maintenance over documents and labels."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from mediamatch.catalog import tables as t
 from mediamatch.catalog.registry import query
 from mediamatch.operators import index as ix
-from mediamatch.plans.indexing import reindex
+from mediamatch.plans.indexing import index_images, reindex
 from mediamatch.plans.store import IndexStore
 from mediamatch.schema import ALLOWED_MIME
-from mediamatch.session import checkpoint_dir
+from mediamatch.session import checkpointed, scratch_folder, ship_package
+from mediamatch.sources.text_images import text_as_image
 
 STAMP = "2024-01-15 00:00:00"
 
 
-def _store(spark) -> IndexStore:
-    return IndexStore(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4()}")
-
-
 def base_index(spark, sf_dir):
     """Labelled documents as index rows: byte facts without image features, so that nothing has to be decoded."""
     documents = t.table(spark, sf_dir, "documents").withColumn("file_hash", F.md5(F.col("text").cast("binary")))
@@ -145,8 +140,7 @@ def duplicate_scan_rows(spark, sf_dir):
 
 
 # Events as changes: a signup uploads, an error deletes the document numbered like the user.
-def changes(spark, sf_dir):
-    events = t.table(spark, sf_dir, "events")
+def as_changes(events):
     action = F.when(F.col("event_type") == "signup", "upload").when(F.col("event_type") == "error", "delete")
     return events.select(
         F.col("event_id").alias("seq"),
@@ -157,6 +151,10 @@ def changes(spark, sf_dir):
     ).where(F.col("action").isNotNull())
 
 
+def changes(spark, sf_dir):
+    return as_changes(t.table(spark, sf_dir, "events"))
+
+
 CHANGES_SQL = """change AS (
   SELECT event_id AS seq, ts, user_id AS attachment_id, CASE event_type WHEN 'signup' THEN 'upload' ELSE 'delete' END AS action,
          value < 5 AS is_probe
@@ -165,46 +163,58 @@ CHANGES_SQL = """change AS (
   QUALIFY row_number() OVER (PARTITION BY attachment_id ORDER BY ts DESC, seq DESC) = 1)"""
 
 
+def _uploaded(spark, sf_dir, uploads):
+    documents = t.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("attachment_id"),
+        F.md5(F.col("text").cast("binary")).alias("file_hash"),
+        F.col("n_chars").alias("file_size"),
+        F.when(F.col("lang") == "es", "application/pdf").otherwise("image/png").alias("mime_type"),
+        "text",
+    )
+    return uploads.select("attachment_id", "ts").join(documents, "attachment_id", "left")
+
+
 def build_uploads(spark, sf_dir):
-    """Index rows for uploaded documents, from byte facts."""
-    documents = t.table(spark, sf_dir, "documents").withColumn("file_hash", F.md5(F.col("text").cast("binary")))
+    """Index rows for uploaded documents: the text is decoded as an image and fingerprinted."""
+    ship_package(spark)
 
     def build(uploads):
-        found = uploads.select("attachment_id", "ts").join(
-            documents.select(
-                F.col("doc_id").alias("attachment_id"),
-                "file_hash",
-                F.col("n_chars").alias("file_size"),
-                F.when(F.col("lang") == "es", "application/pdf").otherwise("image/png").alias("mime_type"),
-            ),
-            "attachment_id",
-            "left",
-        )
-        print_ = F.struct(
-            F.substring("file_hash", 1, 16).alias("phash"),
-            F.lit(None).cast("array<double>").alias("color_vector"),
-            F.lit(None).cast("array<double>").alias("edge_vector"),
-        )
-        facts = found.withColumn("fingerprint", F.when(F.col("file_hash").isNotNull(), print_))
+        pictures = text_as_image(_uploaded(spark, sf_dir, uploads)).drop("text")
+        return index_images(pictures, F.col("ts"))
+
+    return build
+
+
+def build_facts(spark, sf_dir):
+    """Index rows for uploaded documents, from byte facts alone."""
+
+    def build(uploads):
+        blank = F.lit(None).cast("array<double>")
+        print_ = F.struct(F.substring("file_hash", 1, 16).alias("phash"), blank.alias("color_vector"), blank.alias("edge_vector"))
+        facts = _uploaded(spark, sf_dir, uploads).drop("text").withColumn("fingerprint", print_)
         return ix.build_rows(facts.withColumn("width", F.lit(800)).withColumn("height", F.lit(600)), F.col("ts"))
 
     return build
 
 
-APPLIED_SQL = f"""{BASE_SQL}, {CHANGES_SQL}, kept AS (
+def applied_sql(more: str = "", kept_if: str = "true") -> str:
+    """The index after all changes; `kept_if` holds for the stored rows that a failed upload may lean on."""
+    return f"""{BASE_SQL}, {t.PHASH_SQL}, {CHANGES_SQL}, {more + ", " if more else ""}kept AS (
   SELECT * FROM base WHERE attachment_id NOT IN
-    (SELECT attachment_id FROM last_change WHERE action = 'delete' AND ts >= TIMESTAMP '{STAMP}')
+    (SELECT attachment_id FROM last_change WHERE action = 'delete' AND ts >= TIMESTAMP '{STAMP}') AND {kept_if}
 ), fresh AS (
-  SELECT attachment_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS indexed_at, lang <> 'es' AS ok, md5(text) AS fresh_hash, n_chars
-  FROM last_change JOIN documents ON doc_id = attachment_id
+  SELECT attachment_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS indexed_at, lang <> 'es' AS ok, md5(text) AS fresh_hash, phash AS fresh_print,
+         w, n_chars
+  FROM last_change JOIN documents ON doc_id = attachment_id JOIN hashed USING (attachment_id)
+  JOIN (SELECT attachment_id, w FROM canvas) USING (attachment_id)
   WHERE action = 'upload' AND (ts >= TIMESTAMP '{STAMP}' OR attachment_id NOT IN (SELECT attachment_id FROM base))
 ), applied AS (
   SELECT coalesce(f.attachment_id, k.attachment_id) AS attachment_id,
-         CASE WHEN f.attachment_id IS NULL THEN k.phash WHEN ok THEN left(fresh_hash, 16) ELSE '' END AS phash,
+         CASE WHEN f.attachment_id IS NULL THEN k.phash WHEN ok THEN fresh_print ELSE '' END AS phash,
          CASE WHEN f.attachment_id IS NULL THEN k.file_hash WHEN ok THEN fresh_hash ELSE '' END AS file_hash,
          CASE WHEN ok THEN n_chars ELSE coalesce(k.file_size, 0) END AS file_size,
          CASE WHEN ok THEN 'image/png' ELSE coalesce(k.mime_type, '') END AS mime_type,
-         CASE WHEN ok THEN 800 ELSE coalesce(k.width, 0) END AS width,
+         CASE WHEN ok THEN w ELSE coalesce(k.width, 0) END AS width,
          CASE WHEN f.attachment_id IS NULL THEN k.error_code WHEN ok THEN '' ELSE 'unsupported_mime' END AS error_code,
          coalesce(f.indexed_at, k.indexed_at) AS indexed_at
   FROM kept k FULL JOIN fresh f ON f.attachment_id = k.attachment_id
@@ -221,7 +231,7 @@ def latest_change(spark, sf_dir):
     return ix.latest_per_key(counted).select("seq", "attachment_id", "action", "is_probe")
 
 
-@query("changes_applied", "T1 T2 W3 C8 C9 C10", f"WITH {APPLIED_SQL} SELECT {SHOWN_SQL}, indexed_at FROM applied")
+@query("changes_applied", "T1 T2 W3 C8 C9 C10", f"WITH {applied_sql()} SELECT {SHOWN_SQL}, indexed_at FROM applied")
 def changes_applied(spark, sf_dir):
     from mediamatch.streaming.changes import apply_changes
 
@@ -293,10 +303,11 @@ def index_deleted_count(spark, sf_dir):
 
 @query("index_clear", "C11", "SELECT count(*) AS removed, 0::BIGINT AS remaining FROM labels")
 def index_clear(spark, sf_dir):
-    store = _store(spark)
-    store.write(ix.conform(t.membership(spark, sf_dir)))
-    removed = store.clear()
-    return store.read().agg(F.lit(removed).cast("bigint").alias("removed"), F.count("*").alias("remaining"))
+    with scratch_folder(spark, "index") as place:
+        store = IndexStore(spark, place)
+        store.write(ix.conform(t.membership(spark, sf_dir)))
+        removed = store.clear()
+        return checkpointed(store.read().agg(F.lit(removed).cast("bigint").alias("removed"), F.count("*").alias("remaining")))
 
 
 @query(
@@ -351,9 +362,10 @@ def batch_accounting(spark, sf_dir):
         WHERE post_type = 'attachment' AND mime_type IN ('image/jpeg', 'image/png')""",
 )
 def reindex_remaining(spark, sf_dir):
-    store = _store(spark)
-    store.write(base_index(spark, sf_dir))
-    return reindex(store, t.images(spark, sf_dir))
+    with scratch_folder(spark, "index") as place:
+        store = IndexStore(spark, place)
+        store.write(base_index(spark, sf_dir))
+        return checkpointed(reindex(store, t.images(spark, sf_dir)))
 
 
 @query(
@@ -363,9 +375,10 @@ def reindex_remaining(spark, sf_dir):
         WHERE post_type = 'attachment' AND mime_type IN ('image/jpeg', 'image/png')""",
 )
 def reindex_everything(spark, sf_dir):
-    store = _store(spark)
-    store.write(base_index(spark, sf_dir))
-    return reindex(store, t.images(spark, sf_dir), everything=True)
+    with scratch_folder(spark, "index") as place:
+        store = IndexStore(spark, place)
+        store.write(base_index(spark, sf_dir))
+        return checkpointed(reindex(store, t.images(spark, sf_dir), everything=True))
 
 
 @query(
@@ -374,8 +387,9 @@ def reindex_everything(spark, sf_dir):
     f"""WITH {BASE_SQL} SELECT {SHOWN_SQL}, indexed_at FROM base""",
 )
 def frozen_version(spark, sf_dir):
-    store = _store(spark)
-    first = store.write(base_index(spark, sf_dir), by_id=True)
-    frozen = store.read(first)
-    store.write(frozen.where("error_code <> ''"))
-    return shown(frozen)
+    with scratch_folder(spark, "index") as place:
+        store = IndexStore(spark, place)
+        first = store.write(base_index(spark, sf_dir), by_id=True)
+        frozen = store.read(first)
+        store.write(frozen.where("error_code <> ''"))
+        return checkpointed(shown(frozen))

@@ -1,22 +1,20 @@
 """Streaming operators run to the end of the given tables."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from mediamatch.catalog import index as cx
 from mediamatch.catalog import tables as t
 from mediamatch.catalog.registry import query
 from mediamatch.plans.store import IndexStore
-from mediamatch.session import checkpoint_dir, ship_package
+from mediamatch.session import checkpointed, scratch_folder, ship_package
 from mediamatch.streaming.changes import ChangeStream
 from mediamatch.streaming.rate_limit import limit_requests, limit_stream
 
 CAP = 2
 
 RATE_SQL = f"""WITH RECURSIVE request AS (
-  SELECT event_id, ts, event_type AS client, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s,
-         row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n
+  SELECT event_id, ts, user_id::VARCHAR AS client, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS s,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM events), walk AS (
   SELECT client, n, event_id, s AS opened, 1 AS used, s FROM request WHERE n = 1
   UNION ALL
@@ -27,7 +25,7 @@ SELECT event_id, client, used <= {CAP} AS allowed FROM walk"""
 
 
 def _requests(events):
-    return events.select("event_id", "ts", F.col("event_type").alias("client"))
+    return events.select("event_id", "ts", F.col("user_id").cast("string").alias("client"))
 
 
 @query("rate_limit", "T5", RATE_SQL)
@@ -37,10 +35,20 @@ def rate_limit(spark, sf_dir):
     return limited.select("event_id", "client", "allowed")
 
 
-def _event_stream(spark, sf_dir):
-    """The events table as a stream of files."""
-    schema = t.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+SLICES = 4
+_SLICE_SQL = f"""least({SLICES - 1}, floor({SLICES} * (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events))::DOUBLE /
+  (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)))::BIGINT"""
+
+
+def _event_stream(spark, sf_dir, place, order=range(SLICES)):
+    """The events as a stream of one file for each slice of time; the source takes one file at a time, in this order."""
+    events = t.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.lit(SLICES - 1), F.floor(SLICES * (micros - low).cast("double") / (high - low + 1)))
+    for number in order:
+        events.where(part == number).coalesce(1).write.mode("append").parquet(f"{place}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/events")
 
 
 @query("rate_limit_stream", "T5", RATE_SQL)
@@ -50,51 +58,81 @@ def rate_limit_stream(spark, sf_dir):
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
-    place = f"{checkpoint_dir(spark)}/rate-limit-{uuid.uuid4()}"
-    limited = limit_stream(_requests(_event_stream(spark, sf_dir)), CAP)
-    (
-        limited.writeStream.format("parquet")
-        .option("path", f"{place}/verdicts")
-        .option("checkpointLocation", f"{place}/progress")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
-    return spark.read.parquet(f"{place}/verdicts").select("event_id", "client", "allowed")
+    with scratch_folder(spark, "rate-limit") as place:
+        limited = limit_stream(_requests(_event_stream(spark, sf_dir, place)), CAP)
+        (
+            limited.writeStream.format("parquet")
+            .option("path", f"{place}/verdicts")
+            .option("checkpointLocation", f"{place}/progress")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+        return checkpointed(spark.read.parquet(f"{place}/verdicts").select("event_id", "client", "allowed"))
 
 
-def _changed_store(spark, sf_dir):
-    place = f"{checkpoint_dir(spark)}/changes-{uuid.uuid4()}"
+def _applied_stream(spark, sf_dir, place, build, order=range(SLICES)):
     store = IndexStore(spark, f"{place}/index")
     store.write(cx.base_index(spark, sf_dir))
-    action = F.when(F.col("event_type") == "signup", "upload").when(F.col("event_type") == "error", "delete")
-    changes = (
-        _event_stream(spark, sf_dir)
-        .select(
-            F.col("event_id").alias("seq"),
-            F.col("ts").cast("timestamp").alias("ts"),
-            F.col("user_id").alias("attachment_id"),
-            action.alias("action"),
-            (F.col("value") < 5).alias("is_probe"),
-        )
-        .where(F.col("action").isNotNull())
-    )
-    stream = ChangeStream(store, cx.build_uploads(spark, sf_dir), f"{place}/stats")
+    changes = cx.as_changes(_event_stream(spark, sf_dir, place, order))
+    stream = ChangeStream(store, build, f"{place}/stats")
     stream.start(changes, f"{place}/progress").awaitTermination()
     return stream
 
 
-@query("change_stream", "T1 T2 T3 W3 C8 C10", f"WITH {cx.APPLIED_SQL} SELECT {cx.SHOWN_SQL}, indexed_at FROM applied")
+# The changes of each slice of time, as the stream meets them; those older than the stored row have no effect.
+_SLICED_SQL = f"""sliced AS (
+  SELECT *, {_SLICE_SQL} AS batch FROM change WHERE NOT (action = 'upload' AND is_probe)
+), last_of_batch AS (
+  SELECT * FROM sliced WHERE ts >= TIMESTAMP '{cx.STAMP}' OR attachment_id NOT IN (SELECT attachment_id FROM base)
+  QUALIFY row_number() OVER (PARTITION BY attachment_id, batch ORDER BY ts DESC, seq DESC) = 1
+), lost AS (
+  SELECT DISTINCT b.attachment_id FROM last_of_batch b JOIN last_change l USING (attachment_id)
+  WHERE b.action = 'delete' AND b.batch < {_SLICE_SQL.replace('(ts)', '(l.ts)', 1)}
+)"""
+
+
+@query(
+    "change_stream",
+    "T1 T2 T3 W3 C8 C10",
+    f"""WITH {cx.applied_sql(_SLICED_SQL, "attachment_id NOT IN (SELECT attachment_id FROM lost)")}
+        SELECT {cx.SHOWN_SQL}, indexed_at FROM applied""",
+)
 def change_stream(spark, sf_dir):
-    return cx.shown(_changed_store(spark, sf_dir).store.read())
+    with scratch_folder(spark, "changes") as place:
+        stream = _applied_stream(spark, sf_dir, place, cx.build_uploads(spark, sf_dir))
+        return checkpointed(cx.shown(stream.store.read()))
 
 
 @query(
     "change_stream_progress",
-    "T6 T4 A13",
-    f"""WITH {cx.APPLIED_SQL} SELECT 0::BIGINT AS batch_id, (SELECT count(*) FROM fresh) AS done,
-        (SELECT count(*) FROM fresh WHERE ok) AS succeeded,
-        (SELECT count(*) FROM base) - (SELECT count(*) FROM kept) AS deleted""",
+    "T6 T3 A13",
+    f"""WITH {cx.BASE_SQL}, {cx.CHANGES_SQL}, {_SLICED_SQL}, seen AS (
+          SELECT *, lag(action) OVER (PARTITION BY attachment_id ORDER BY batch) AS before FROM last_of_batch)
+        SELECT b.range AS batch_id, count(*) FILTER (action = 'upload') AS done,
+               count(*) FILTER (action = 'upload' AND lang <> 'es') AS succeeded,
+               count(*) FILTER (action = 'delete' AND (before = 'upload' OR
+                 (before IS NULL AND attachment_id IN (SELECT attachment_id FROM base)))) AS deleted
+        FROM range({SLICES}) b LEFT JOIN seen ON batch = b.range LEFT JOIN documents ON doc_id = attachment_id GROUP BY 1""",
 )
 def change_stream_progress(spark, sf_dir):
-    return _changed_store(spark, sf_dir).progress()
+    with scratch_folder(spark, "changes") as place:
+        return checkpointed(_applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir)).progress())
+
+
+@query(
+    "change_stream_late",
+    "T2 C15",
+    f"""WITH {cx.BASE_SQL}, {cx.CHANGES_SQL}
+        SELECT attachment_id, coalesce(l.stamp, b.indexed_at) AS indexed_at FROM base b FULL JOIN (
+          SELECT attachment_id, action, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM last_change
+          WHERE ts >= TIMESTAMP '{cx.STAMP}' OR attachment_id NOT IN (SELECT attachment_id FROM base)) l USING (attachment_id)
+        WHERE l.action IS DISTINCT FROM 'delete'""",
+)
+def change_stream_late(spark, sf_dir):
+    """The slices in reverse order: a late upload does not undo a newer delete, nor a late delete a newer upload."""
+    with scratch_folder(spark, "changes") as place:
+        stream = _applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir), reversed(range(SLICES)))
+        stream.store.compact()
+        stream.store.prune()
+        return checkpointed(cx.shown(stream.store.read()).select("attachment_id", "indexed_at"))

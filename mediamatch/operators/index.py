@@ -122,12 +122,15 @@ def latest_per_key(changes: DataFrame, key: str = KEY, order: Sequence[str] = ("
 
 
 def upsert(index: DataFrame, changes: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Merge `changes` (one row per key) into the index, overwriting only `columns` of existing rows.
+    """Merge `changes` into the index, overwriting only `columns` of existing rows.
 
-    Default columns are those that `changes` has. New keys become new rows with defaults for the
+    Of several changes of one key the greatest row, column by column, counts. Default columns are those
+    that `changes` has. New keys become new rows with defaults for the
     rest. When the changes are small Spark broadcasts them and the index is not shuffled: matching
     keys are taken from a key-only scan of the index, and the rest are inserted.
     """
+    rest = [c for c in changes.columns if c != KEY]
+    changes = changes.groupBy(KEY).agg(F.max(F.struct(*rest)).alias("row")).select(KEY, "row.*")
     supplied = [c for c in (columns or changes.columns) if c != KEY]
     incoming = changes.select(KEY, *[F.col(c).alias("new_" + c) for c in supplied], F.lit(True).alias("changed"))
     merged = index.join(incoming, KEY, "left")
@@ -144,6 +147,27 @@ def upsert(index: DataFrame, changes: DataFrame, columns: Sequence[str] | None =
     return updated.unionByName(conform(inserted))
 
 
+def merge_built(index: DataFrame, rows: DataFrame) -> DataFrame:
+    """Merge built rows, one for each key, in one join.
+
+    A good row replaces all columns; a failed one only those that a failure blanks.
+    """
+    incoming = conform(rows).select(KEY, *[F.col(f.name).alias("new_" + f.name) for f in INDEX_SCHEMA.fields if f.name != KEY])
+    built, good = F.col("new_error_code").isNotNull(), F.col("new_error_code") == ""
+
+    def column(field) -> Column:
+        old, new = F.col(field.name), F.col("new_" + field.name)
+        if field.name == KEY:
+            value = old
+        elif field.name in FAILED_COLUMNS:
+            value = F.when(built, new).otherwise(old)
+        else:
+            value = F.when(good, new).when(built, F.coalesce(old, F.lit(INDEX_DEFAULTS[field.name]))).otherwise(old)
+        return value.cast(field.dataType).alias(field.name)
+
+    return index.join(incoming, KEY, "full_outer").select(*[column(f) for f in INDEX_SCHEMA.fields])
+
+
 def mark_failed(index: DataFrame, failures: DataFrame, at: datetime | Column | None = None) -> DataFrame:
     """Blank the features of failed attachments (attachment_id, error_code); type, size and dimensions stay."""
     blank = (

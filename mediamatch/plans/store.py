@@ -1,16 +1,44 @@
-"""Index versions on shared storage.
+"""Index versions on shared storage: full versions, and deltas on top of them.
 
-Plain Parquet has no merge, so a change writes a new version beside the one being read. A version
-counts once its commit marker exists, which Spark writes last: readers never see half a version, a
-failed write is overwritten by its retry, and a scan keeps reading the version it started on.
+A full version holds the whole index, a delta only changed rows; deletions are rows too (tombstones with
+the time of the delete), so a change that arrives late meets them. Reading takes the newest full version
+and lets the newest delta row of each key win, so a change writes bytes in proportion to itself;
+`compact` folds the deltas into a new full version.
+
+A version counts once its commit marker exists, which Spark writes last: readers never see half a version,
+and a scan keeps reading the version it started on. Numbers are claimed by creating a file that must not
+exist yet, so no writer overwrites another. A full version names the number it was made from; later deltas
+of other writers still apply on top of it, and of two full versions made from the same number the second
+fails.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from mediamatch.operators.index import conform
+from mediamatch.operators.index import KEY, conform
 from mediamatch.schema import INDEX_SCHEMA
+from mediamatch.session import file_system
+
+_NAME = re.compile(r"(full|delta)-(\d+)-(?:after|batch)-(-?\d+)$")
+ROW_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, T.StructField("deleted", T.BooleanType())])
+DELTA_SCHEMA = T.StructType([*ROW_SCHEMA.fields, T.StructField("change", T.LongType())])
+NO_BATCH = -1
+
+
+class VersionConflict(RuntimeError):
+    """Another writer made a full version from the same state."""
+
+
+@dataclass(frozen=True)
+class _Version:
+    number: int
+    full: bool
+    tag: int  # of a full version the number it was made from, of a delta its batch
+    path: str
 
 
 class IndexStore:
@@ -18,35 +46,108 @@ class IndexStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    def _listed(self, pattern: str) -> list[str]:
+        files, path = file_system(self.spark, f"{self.root}/{pattern}")
+        return [f.getPath().toString() for f in files.globStatus(path) or []]
+
+    def _committed(self) -> list[_Version]:
+        out = []
+        for marker in self._listed("*/_SUCCESS"):
+            place = marker.rsplit("/", 1)[0]
+            if found := _NAME.search(place):
+                out.append(_Version(int(found[2]), found[1] == "full", int(found[3]), place))
+        return sorted(out, key=lambda v: v.number)
+
     def versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/version-*/_SUCCESS")
-        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
-        return sorted(int(f.getPath().getParent().getName().split("-")[1]) for f in found or [])
+        return [v.number for v in self._committed()]
 
-    def path(self, version: int) -> str:
-        return f"{self.root}/version-{version:08d}"
+    def newest(self) -> int:
+        return (self.versions() or [0])[-1]
+
+    def recorded(self, batch_id: int) -> bool:
+        """Whether a delta of this batch was committed."""
+        return any(not v.full and v.tag == batch_id for v in self._committed())
+
+    def _claim(self) -> int:
+        taken = [int(p.rsplit("-", 1)[1]) for p in self._listed("claim-*")]
+        number = max([self.newest(), *taken]) + 1
+        while True:
+            files, path = file_system(self.spark, f"{self.root}/claim-{number:08d}")
+            if files.createNewFile(path):
+                return number
+            number += 1
+
+    def rows(self, version: int | None = None) -> DataFrame:
+        """The index of a version, the newest by default, with tombstones (column `deleted`)."""
+        known = [v for v in self._committed() if version is None or v.number <= version]
+        fulls = [v for v in known if v.full]
+        base = fulls[-1] if fulls else None
+        deltas = [v.path for v in known if not v.full and v.number > (base.tag if base else 0)]
+        whole = (
+            self.spark.read.schema(ROW_SCHEMA).parquet(base.path) if base else self.spark.createDataFrame([], ROW_SCHEMA)
+        )
+        if not deltas:
+            return whole
+        changed = self.spark.read.schema(DELTA_SCHEMA).parquet(*deltas)
+        newest = changed.groupBy(KEY).agg(F.max_by(F.struct(*ROW_SCHEMA.names), "change").alias("row")).select("row.*")
+        return whole.join(changed.select(KEY).distinct(), KEY, "left_anti").unionByName(newest)
 
     def read(self, version: int | None = None) -> DataFrame:
         """A frozen version, the newest by default; no rows where nothing was written yet."""
-        if version is None:
-            version = (self.versions() or [0])[-1]
-        if version == 0:
-            return self.spark.createDataFrame([], INDEX_SCHEMA)
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path(version))
+        return self.rows(version).where(~F.col("deleted")).drop("deleted")
 
-    def write(self, index: DataFrame, by_id: bool = False) -> int:
-        """Write the next version and return its number.
+    def write(self, index: DataFrame, by_id: bool = False, after: int | None = None) -> int:
+        """Write the next full version, made from version `after` (the newest by default); returns its number.
 
         `by_id` range-partitions and sorts by attachment id so that keyset pages skip row groups; it
         costs one shuffle of the index.
         """
-        version = (self.versions() or [0])[-1] + 1
-        rows = conform(index)
+        return self._write_full(conform(index).withColumn("deleted", F.lit(False)), by_id, after)
+
+    def _write_full(self, rows: DataFrame, by_id: bool, after: int | None) -> int:
+        after = self.newest() if after is None else after
+        number = self._claim()
         if by_id:
-            rows = rows.repartitionByRange("attachment_id").sortWithinPartitions("attachment_id")
-        rows.write.mode("overwrite").parquet(self.path(version))
-        return version
+            rows = rows.repartitionByRange(KEY).sortWithinPartitions(KEY)
+        place = f"{self.root}/full-{number:08d}-after-{after}"
+        rows.write.mode("error").parquet(place)
+        if any(v.full and after < v.number < number for v in self._committed()):
+            files, path = file_system(self.spark, place)
+            files.delete(path, True)
+            raise VersionConflict(f"another full version was written after version {after}")
+        return number
+
+    def append(self, rows: DataFrame, deletes: DataFrame, batch_id: int = NO_BATCH) -> int:
+        """Write a delta of whole index rows and of tombstones (attachment_id, ts), one row for each key."""
+        number = self._claim()
+        gone = conform(deletes.select(KEY, F.col("ts").alias("indexed_at"))).withColumn("deleted", F.lit(True))
+        changed = conform(rows).withColumn("deleted", F.lit(False)).unionByName(gone)
+        place = f"{self.root}/delta-{number:08d}-batch-{batch_id}"
+        changed.withColumn("change", F.lit(number).cast("long")).write.mode("error").parquet(place)
+        return number
+
+    def delta(self, version: int) -> DataFrame:
+        """The rows that one delta wrote, without tombstones."""
+        place = next(v.path for v in self._committed() if v.number == version and not v.full)
+        return self.spark.read.schema(DELTA_SCHEMA).parquet(place).where(~F.col("deleted")).drop("deleted", "change")
+
+    def compact(self, forget_before=None) -> int:
+        """Fold the deltas into a new full version; tombstones older than `forget_before` go."""
+        after = self.newest()
+        rows = self.rows(after)
+        if forget_before is not None:
+            rows = rows.where(~F.col("deleted") | (F.col("indexed_at") >= F.lit(forget_before)))
+        return self._write_full(rows, False, after)
+
+    def prune(self) -> int:
+        """Remove versions that the newest full one replaces; returns how many. No reader may still use them."""
+        known = self._committed()
+        fulls = [v for v in known if v.full]
+        old = [v for v in known if fulls and v.number < fulls[-1].number and (v.full or v.number <= fulls[-1].tag)]
+        for v in old:
+            files, path = file_system(self.spark, v.path)
+            files.delete(path, True)
+        return len(old)
 
     def clear(self) -> int:
         """Write an empty version; returns how many rows the one before held."""

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediamatch.operators import index as ix
-from mediamatch.plans.indexing import merge_built
 from mediamatch.plans.store import IndexStore
 from mediamatch.session import checkpointed
 
@@ -21,32 +20,39 @@ class Stalled(RuntimeError):
     """A batch of uploads in which not one image could be indexed."""
 
 
+def _counted(changes: DataFrame) -> DataFrame:
+    """Last change per attachment, without probe uploads."""
+    return ix.latest_per_key(changes.where(~((F.col("action") == "upload") & F.coalesce("is_probe", F.lit(False)))))
+
+
+def _not_older(last: DataFrame, stored: DataFrame) -> DataFrame:
+    """Changes that are not older than the stored row or tombstone of their key."""
+    times = stored.select("attachment_id", F.col("indexed_at").alias("stored_at"))
+    fresh = F.col("stored_at").isNull() | (F.col("ts") >= F.col("stored_at"))
+    return last.join(times, "attachment_id", "left").where(fresh).drop("stored_at")
+
+
 def effective_changes(changes: DataFrame, index: DataFrame) -> DataFrame:
     """Last change per attachment, without probe uploads and without changes older than the stored row."""
-    counted = changes.where(~((F.col("action") == "upload") & F.coalesce("is_probe", F.lit(False))))
-    stored = index.select("attachment_id", F.col("indexed_at").alias("stored_at"))
-    return (
-        ix.latest_per_key(counted)
-        .join(stored, "attachment_id", "left")
-        .where(F.col("stored_at").isNull() | (F.col("ts") >= F.col("stored_at")))
-        .drop("stored_at")
-    )
+    return _not_older(_counted(changes), index)
 
 
 def apply_changes(index: DataFrame, changes: DataFrame, build: Build) -> DataFrame:
     """The index after a batch of changes."""
     last = effective_changes(changes, index)
     kept = ix.delete_keys(index, last.where(F.col("action") == "delete"))
-    return merge_built(kept, build(last.where(F.col("action") == "upload")))
+    return ix.merge_built(kept, build(last.where(F.col("action") == "upload")))
 
 
 @dataclass
 class ChangeStream:
     """Applies each micro-batch of a change stream to an index store.
 
-    The source bounds a micro-batch (files or offsets per trigger). A bad image becomes a failed row
-    and the stream goes on; a batch of uploads without a single success stops it. Replaying a batch
-    after a lost driver gives the same index, because the last change per key wins.
+    The source bounds a micro-batch (files or offsets per trigger). Each batch appends one delta: rows of
+    its uploads, bad images among them as failed rows, and tombstones of its deletions. A batch of uploads
+    without a single success stops the stream, after its failures and deletions were written. A batch
+    that was written is not applied again, so a restart goes on behind it. A change that arrives late does
+    not undo a newer one, deletions included.
     """
 
     store: IndexStore
@@ -54,23 +60,28 @@ class ChangeStream:
     stats_path: str | None = None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        index = self.store.read()
-        last = checkpointed(effective_changes(batch, index))
-        built = checkpointed(self.build(last.where(F.col("action") == "upload")))
-        deletes = last.where(F.col("action") == "delete")
+        if self.store.recorded(batch_id):
+            return
+        last = checkpointed(_counted(batch))
+        # The only join with the index: its rows, tombstones included, of the keys in this batch.
+        touched = checkpointed(self.store.rows().join(last.select(ix.KEY), ix.KEY, "left_semi"))
+        fresh = checkpointed(_not_older(last, touched))
+        built = checkpointed(self.build(fresh.where(F.col("action") == "upload")))
+        deletes = fresh.where(F.col("action") == "delete")
+        old = touched.where(~F.col("deleted")).drop("deleted")
         stats = built.agg(
             F.count("*").alias("done"), F.count_if(F.col("error_code") == "").alias("succeeded")
         ).first()
-        if stats["done"] and not stats["succeeded"]:
-            raise Stalled(f"none of {stats['done']} uploads in batch {batch_id} could be indexed")
-        deleted = ix.deleted_count(index, deletes).first()["deleted"]
-        if stats["done"] or deleted:
-            self.store.write(merge_built(ix.delete_keys(index, deletes), built))
+        deleted = ix.deleted_count(old, deletes).first()["deleted"]
+        replaced = old.join(built.select(ix.KEY), ix.KEY, "left_semi")
         if self.stats_path:
             row = (batch_id, stats["done"], stats["succeeded"], deleted)
             batch.sparkSession.createDataFrame(
                 [row], "batch_id long, done long, succeeded long, deleted long"
             ).write.mode("overwrite").parquet(f"{self.stats_path}/batch_id={batch_id}")
+        self.store.append(ix.merge_built(replaced, built), deletes, batch_id)
+        if stats["done"] and not stats["succeeded"]:
+            raise Stalled(f"none of {stats['done']} uploads in batch {batch_id} could be indexed")
 
     def start(self, changes: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint)

@@ -7,6 +7,7 @@ requests pass. Windows follow each client's own traffic, so they are not the epo
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from mediamatch.schema import RATE_WINDOW_SECONDS
+from mediamatch.schema import RATE_WINDOW_SECONDS, Settings
 
 
 def _second(ts: Column) -> Column:
@@ -34,7 +35,7 @@ def _count_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(before=before)[["client", "second", "before"]]
 
 
-def limit_requests(requests: DataFrame, cap: int, tie: str = "event_id") -> DataFrame:
+def limit_requests(requests: DataFrame, cap: int = Settings().rate_limit, tie: str = "event_id") -> DataFrame:
     """Add `allowed` to requests (client, ts, tie column).
 
     Requests are counted per client and second before anything is shuffled, so the sequential pass
@@ -72,31 +73,55 @@ class _Limiter(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "opened long, used long", self.ttl_ms)
 
+    def _verdicts(self, client, rows: list[tuple], allowed: list[bool]) -> pd.DataFrame:
+        ts = pd.Series([pd.Timestamp(r[0], unit="us") for r in rows], dtype="datetime64[us]")
+        return pd.DataFrame({"client": client, self.tie: [r[1] for r in rows], "ts": ts, "allowed": allowed})
+
     def handleInputRows(self, key, rows, timerValues):
-        # One micro-batch of one client; the source bounds its size.
-        batch = pd.concat(list(rows)).sort_values(["ts", self.tie])
+        # Of each second only the count and the `cap` earliest requests are kept; a later one is refused at once.
+        counts: dict[int, int] = {}
+        first: dict[int, list[tuple]] = {}
+        for chunk in rows:
+            refused: list[tuple] = []
+            micros = chunk["ts"].astype("datetime64[us]").astype("int64")
+            for at, tie in zip(micros.tolist(), chunk[self.tie].tolist()):
+                second = at // 1_000_000
+                counts[second] = counts.get(second, 0) + 1
+                kept = first.setdefault(second, [])
+                # Negated pairs make the heap give up the latest request.
+                if len(kept) < self.cap:
+                    heapq.heappush(kept, (-at, -tie))
+                else:
+                    at, tie = heapq.heappushpop(kept, (-at, -tie))
+                    refused.append((-at, -tie))
+            if refused:
+                yield self._verdicts(key[0], refused, [False] * len(refused))
         opened, used = self.window.get() if self.window.exists() else (None, 0)
-        seconds = batch["ts"].astype("datetime64[us]").astype("int64") // 1_000_000
-        allowed = []
-        for second in seconds:
+        judged: list[tuple] = []
+        allowed: list[bool] = []
+        for second in sorted(counts):
             if opened is None or second >= opened + RATE_WINDOW_SECONDS:
                 opened, used = second, 0
-            used += 1
-            allowed.append(used <= self.cap)
+            kept = sorted((-at, -tie) for at, tie in first[second])
+            judged += kept
+            allowed += [used + i <= self.cap for i in range(1, len(kept) + 1)]
+            used += counts[second]
         self.window.update((int(opened), int(used)))
-        yield pd.DataFrame(
-            {"client": key[0], self.tie: batch[self.tie].to_numpy(), "ts": batch["ts"].to_numpy(), "allowed": allowed}
-        )
+        yield self._verdicts(key[0], judged, allowed)
 
     def close(self) -> None:
         pass
 
 
-def limit_stream(requests: DataFrame, cap: int, tie: str = "event_id", ttl_ms: int | None = None) -> DataFrame:
+def limit_stream(
+    requests: DataFrame, cap: int = Settings().rate_limit, tie: str = "event_id", ttl_ms: int | None = None
+) -> DataFrame:
     """Streaming form of `limit_requests`: (client, tie, ts, allowed).
 
-    State is kept per client between micro-batches and forgotten `ttl_ms` after its last update
-    where given. Needs the RocksDB state store. Requests must arrive in order of time between batches.
+    State is kept per client between micro-batches. A stream that runs on should give `ttl_ms`, longer than a
+    window: state is forgotten so long after its last update. Spark then keeps looking for expired state, so
+    a run over what is there (`availableNow`) ends only without it. Needs the RocksDB state store. Requests
+    must arrive in order of time between batches; one that is older than the open window counts in it.
     """
     return (
         requests.select("client", tie, F.col("ts").cast("timestamp").alias("ts"))

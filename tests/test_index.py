@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import pairs_of
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mediamatch.operators import index as ix
 from mediamatch.operators import relational as rel
-from mediamatch.plans.store import IndexStore
+from mediamatch.plans.store import IndexStore, VersionConflict
 
 AT = datetime(2024, 1, 1)
 
@@ -106,13 +106,93 @@ def test_store_versions(spark, tmp_path):
     first = store.write(base(spark), by_id=True)
     frozen = store.read(first)
     store.write(store.read().where("attachment_id > 1"))
-    # A version without its commit marker is not seen, and the next write takes its place.
-    (tmp_path / "index" / "version-00000003").mkdir()
+    # A version without its commit marker is not seen.
+    (tmp_path / "index" / "full-00000007-after-2").mkdir()
     assert store.versions() == [1, 2] and store.read().count() == 2 and frozen.count() == 3
     assert store.clear() == 2 and store.read().count() == 0 and store.versions() == [1, 2, 3]
     assert tuple(store.counts().first()) == (0, 0)
 
 
+def deletes(spark, *rows):
+    return spark.createDataFrame(list(rows), "attachment_id long, ts timestamp")
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+
+
+def test_delta_wins_and_is_as_small_as_the_change(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    many = ix.conform(spark.range(20000).select(F.col("id").alias("attachment_id"), F.md5(F.col("id").cast("string")).alias("file_hash")))
+    first = store.write(many)
+    one = ix.conform(spark.createDataFrame([(5, "new"), (99999, "fresh")], "attachment_id long, file_hash string"))
+    second = store.append(one, deletes(spark, (6, AT)), batch_id=4)
+    folder = next((tmp_path / "index").glob(f"delta-{second:08d}*"))
+    assert size_of(folder) < size_of(tmp_path / "index" / f"full-{first:08d}-after-0") / 20
+    now = {r["attachment_id"]: r["file_hash"] for r in store.read().where("attachment_id in (4, 5, 6, 99999)").collect()}
+    assert now[5] == "new" and now[99999] == "fresh" and 6 not in now and len(now) == 3 and store.read().count() == 20000
+    assert store.read(first).count() == 20000 and store.recorded(4) and not store.recorded(5)
+    store.append(ix.conform(one.where("attachment_id = 5").withColumn("file_hash", F.lit("newer"))), deletes(spark))
+    assert store.read().where("attachment_id = 5").first()["file_hash"] == "newer"
+    store.compact()
+    assert store.prune() == 3 and store.versions() == [4] and store.read().count() == 20000
+    assert store.rows().where("deleted").count() == 1 and store.recorded(4) is False
+    store.compact(forget_before=AT + timedelta(days=1))
+    assert store.rows().where("deleted").count() == 0
+
+
+def test_writers_do_not_overwrite_each_other(spark, tmp_path):
+    store, other = (IndexStore(spark, str(tmp_path / "index")) for _ in range(2))
+    store.write(base(spark))
+    seen = store.newest()
+    other.append(ix.conform(spark.createDataFrame([(77,)], "attachment_id long")), deletes(spark))
+    store.write(base(spark), after=seen)  # made without the delta, which still applies
+    assert store.read().where("attachment_id = 77").count() == 1
+    with pytest.raises(VersionConflict):
+        other.write(base(spark), after=seen)
+    assert store.read().where("attachment_id = 77").count() == 1
+
+
+def test_upsert_of_a_repeated_key_keeps_one_row(spark):
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (50, "c"), (50, "d")], "attachment_id long, file_hash string")
+    got = ix.upsert(base(spark), twice).where("attachment_id in (1, 50)")
+    assert pairs_of(got, "attachment_id", "file_hash") == [(1, "b"), (50, "d")]
+
+
+def test_merge_built_is_one_join(spark):
+    plan = ix.merge_built(base(spark), base(spark))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_reindex_moves_no_pixels(spark, tmp_path, monkeypatch):
+    from mediamatch.plans import indexing
+
+    rows = [(i, "image/png", "attachment", 4, 4, 3, bytes(range(48)), 48, "h") for i in range(6)]
+    images = spark.createDataFrame(
+        rows, "attachment_id long, mime_type string, post_type string, width int, height int, n_channels int, data binary, file_size long, file_hash string"
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans = []
+    try:
+        for bound in (1000, 0):
+            monkeypatch.setattr(indexing, "BROADCAST_IDS", bound)
+            store = IndexStore(spark, str(tmp_path / f"index{bound}"))
+            store.write(ix.conform(spark.createDataFrame([(1,), (2,)], "attachment_id long")))
+            keep = store.append
+            monkeypatch.setattr(
+                store, "append", lambda built, none: plans.append(built._jdf.queryExecution().executedPlan().toString()) or keep(built, none)
+            )
+            assert tuple(indexing.reindex(store, images).first()) == (4, 4) and store.read().count() == 6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for plan in plans:
+        lines = plan.split("\n")
+        for i, line in enumerate(lines):
+            if "Exchange hashpartitioning" in line:
+                below = lines[i + 1]
+                assert "data#" not in below, below
+
+
 def numbers(spark):
     return spark.createDataFrame([(i, f"t{i % 3}") for i in range(1, 11)], "attachment_id long, b string")
 

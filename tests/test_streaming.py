@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mediamatch.operators import index as ix
 from mediamatch.plans.store import IndexStore
 from mediamatch.schema import CHANGE_SCHEMA
+from mediamatch.streaming.changes import Stalled
 from mediamatch.streaming import ChangeStream, apply_changes, limit_requests, limit_stream
 
 T0 = datetime(2024, 1, 1, 12)
@@ -80,7 +81,40 @@ def test_batch_without_success_stops_the_stream(spark, tmp_path):
     source = spark.readStream.schema(CHANGE_SCHEMA).parquet(str(tmp_path / "in"))
     with pytest.raises(StreamingQueryException, match="Stalled"):
         ChangeStream(store, build).start(source, str(tmp_path / "progress")).awaitTermination()
-    assert store.versions() == []
+    # The failures were recorded; a restart finds them and goes on with what comes next.
+    failed = [(3, "", "unfingerprintable"), (5, "", "unfingerprintable")]
+    assert pairs_of(store.read(), "attachment_id", "phash", "error_code") == failed
+    more = [change(3, 3, 2, "upload")]
+    spark.createDataFrame(more, CHANGE_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    ChangeStream(store, build).start(source, str(tmp_path / "progress")).awaitTermination()
+    assert pairs_of(store.read(), "attachment_id", "phash", "error_code") == [(2, "a" * 16, ""), *failed]
+
+
+def test_stalled_batch_keeps_its_deletes_and_is_not_applied_twice(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.write(start_index(spark))
+    stream = ChangeStream(store, build)
+    batch = spark.createDataFrame([change(1, 1, 3, "upload"), change(2, 2, 12, "delete")], CHANGE_SCHEMA)
+    with pytest.raises(Stalled):
+        stream.apply(batch, 0)
+    want = [(3, "", "unfingerprintable"), (10, "b" * 16, "")]
+    assert pairs_of(store.read(), "attachment_id", "phash", "error_code") == want
+    versions = store.versions()
+    stream.apply(batch, 0)
+    assert store.versions() == versions
+
+
+def test_late_changes_do_not_undo_newer_ones(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    stream = ChangeStream(store, build)
+    late = [change(1, 3, 2, "upload"), change(2, 2, 4, "delete"), change(3, 1, 6, "upload")]
+    early = [change(4, 9, 2, "delete"), change(5, 9, 4, "upload"), change(6, 9, 8, "upload")]
+    for i, rows in enumerate((early, late)):
+        stream.apply(spark.createDataFrame(rows, CHANGE_SCHEMA), i)
+    assert pairs_of(store.read(), "attachment_id") == [(4,), (6,), (8,)]
+    store.compact()
+    stream.apply(spark.createDataFrame([change(7, 5, 2, "upload")], CHANGE_SCHEMA), 2)
+    assert pairs_of(store.read(), "attachment_id") == [(4,), (6,), (8,)]
 
 
 def requests(seed, n=600):
