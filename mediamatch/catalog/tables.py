@@ -61,6 +61,27 @@ MEDIA_SQL = """media AS (
   FROM documents)"""
 
 
+#: Ids of edited copies lie this far above those of the documents.
+COPY_OFFSET = 10_000_000
+
+
+def documents_and_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, and each once more with the last fiftieth of its text replaced: near copies as pictures."""
+    documents = table(spark, sf_dir, "documents")
+    n = F.length("text")
+    cut = F.ceil(n / F.lit(50)).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.repeat(F.lit("~"), cut))
+    return documents.unionByName(documents.withColumn("doc_id", F.col("doc_id") + COPY_OFFSET).withColumn("text", edited))
+
+
+COPIES_SQL = MEDIA_SQL.replace(
+    "FROM documents)",
+    f"""FROM (SELECT doc_id, text, lang, source, n_chars FROM documents UNION ALL
+        SELECT doc_id + {COPY_OFFSET}, substr(text, 1, length(text) - ceil(length(text) / 50.0)::BIGINT)
+               || repeat('~', ceil(length(text) / 50.0)::BIGINT), lang, source, n_chars FROM documents))""",
+)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("post_id"), _mapped("o_orderstatus", STATUS_OF_ORDER).alias("status")
@@ -92,17 +113,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def images(spark: SparkSession, sf_dir: str, documents: DataFrame | None = None) -> DataFrame:
     """Media columns, file_hash, and the pixels of every document."""
     ship_package(spark)
-    documents = spread(table(spark, sf_dir, "documents"))
+    documents = spread(table(spark, sf_dir, "documents") if documents is None else documents)
     columns = _media_columns() + [F.md5(F.col("text").cast("binary")).alias("file_hash"), F.col("text")]
     return text_as_image(documents.select(*columns)).drop("text")
 
 
-def prints(spark: SparkSession, sf_dir: str, processors: tuple[Processor, ...] = (PHASH,)) -> DataFrame:
+def prints(
+    spark: SparkSession, sf_dir: str, processors: tuple[Processor, ...] = (PHASH,), documents: DataFrame | None = None
+) -> DataFrame:
     """`images` with features instead of pixels, computed once and kept on disk for the readers that follow."""
-    rows = fingerprint(images(spark, sf_dir), processors)
+    rows = fingerprint(images(spark, sf_dir, documents), processors)
     return checkpointed(rows.select("*", "fingerprint.*").drop("fingerprint"))
 
 

@@ -4,30 +4,52 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mediamatch.schema import GROUP_SCHEMA
+from mediamatch.session import file_system
 
 STORED_SCHEMA = T.StructType(GROUP_SCHEMA.fields + [T.StructField("scanned_at", T.TimestampType())])
 
 
+def _scans(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete scans, oldest first."""
+    files, pattern = file_system(spark, f"{path}/scan-*/_SUCCESS")
+    return sorted(f.getPath().getParent().toString() for f in files.globStatus(pattern) or [])
+
+
 def write_groups(groups: DataFrame, path: str, scanned_at: datetime | None = None) -> None:
-    """Replace the stored result by `groups`, stamped with the time of the scan."""
+    """Replace the stored result by `groups`, stamped with the time of the scan.
+
+    A scan is a folder of its own that counts once it is complete; only then the older ones go, so a scan that
+    fails leaves the last result as it was.
+    """
+    spark = groups.sparkSession
+    old = _scans(spark, path)
+    number = int(old[-1].rsplit("-", 1)[1]) + 1 if old else 1
     stamp = F.lit(scanned_at) if scanned_at else F.current_timestamp()
     groups.select("match_type", "group_id", "attachment_id", stamp.cast("timestamp").alias("scanned_at")).write.mode(
         "overwrite"
-    ).parquet(path)
+    ).parquet(f"{path}/scan-{number:08d}")
+    for folder in old:
+        files, place = file_system(spark, folder)
+        files.delete(place, True)
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Stored groups; no rows where nothing was stored."""
+    """Groups of the newest complete scan; no rows where nothing was stored or what is stored cannot be read."""
+    nothing = spark.createDataFrame([], STORED_SCHEMA)
+    scans = _scans(spark, path)
+    if not scans:
+        return nothing
+    stored = spark.read.schema(STORED_SCHEMA).parquet(scans[-1])
     try:
-        return spark.read.schema(STORED_SCHEMA).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STORED_SCHEMA)
+        stored.agg(*[F.max(c) for c in stored.columns]).collect()  # reads every page once
+    except (PySparkException, Py4JJavaError):
+        return nothing
+    return stored
 
 
 def last_scanned(spark: SparkSession, path: str) -> DataFrame:

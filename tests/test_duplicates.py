@@ -6,7 +6,7 @@ from mediamatch.plans.duplicate_scan import report, scan
 from mediamatch.plans.store import IndexStore
 from mediamatch.operators.index import conform
 from mediamatch.schema import Settings
-from mediamatch.sources.results import last_scanned, read_groups
+from mediamatch.sources.results import last_scanned, read_groups, write_groups
 
 ROWS = "attachment_id long, phash string, file_hash string"
 
@@ -108,3 +108,18 @@ def test_scan_is_stored_and_read_back(spark, tmp_path):
     assert sets_of_groups(scan(store, path, version=first)) == {exact(2, 3), near(1, 4)}
     assert sets_of_groups(scan(store, path)) == {exact(2, 3), near(1, 4, 5)}
     assert last_scanned(spark, path).first()[0] is not None
+
+
+def test_failed_scan_keeps_the_last_result_and_a_damaged_one_reads_as_empty(spark, tmp_path):
+    path = str(tmp_path / "results")
+    groups = spark.createDataFrame([("exact", 1, 1), ("exact", 1, 2)], "match_type string, group_id long, attachment_id long")
+    write_groups(groups, path)
+    with pytest.raises(Exception):
+        write_groups(groups.withColumn("match_type", F.raise_error(F.lit("broken"))), path)
+    assert read_groups(spark, path).count() == 2
+    write_groups(groups.where("attachment_id = 1"), path)
+    assert read_groups(spark, path).count() == 1 and len(list((tmp_path / "results").glob("scan-*/_SUCCESS"))) == 1
+    for part in (tmp_path / "results").rglob("*.parquet"):
+        part.write_bytes(b"PAR1 damaged")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    assert read_groups(spark, path).count() == 0 and last_scanned(spark, path).first()[0] is None
