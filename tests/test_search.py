@@ -36,7 +36,7 @@ def probes_of(spark, rows):
     return spark.createDataFrame(rows, "probe_id long, " + FEATURES)
 
 
-def test_prefilter_cap_is_lossless():
+def test_prefilter_cap():
     assert [S.prefilter_cap(t) for t in (0.5, 0.85, 0.9, 0.95, 1.0)] == [20, 20, 16, 8, 0]
 
 
