@@ -265,13 +265,14 @@ def near_links(prints: DataFrame, parts: list[Part], distance: int = DISTANCE, b
 
     rows = prints.select("bits").mapInArrow(probes, "part int, key long, own boolean, bits long")
     crowded = rows.groupBy("part", "key").agg(F.count("*").alias("n"), F.max("own").alias("any_own"))
-    crowded = checkpointed(crowded.where((F.col("n") > block) & F.col("any_own")))
+    crowded = checkpointed(crowded.where(F.col("n") > block))
     shares = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(float(block))).cast("int")
     if crowded.isEmpty():
         dealt = rows.select("part", "key", F.lit(0).alias("cell"), "bits")
     else:
-        # A crowded key becomes a grid: every two shares of its rows meet in one cell.
-        placed = rows.join(crowded.select("part", "key", "n"), ["part", "key"], "left").withColumn("shares", shares)
+        # A crowded key becomes a grid: every two shares of its rows meet in one cell. Rows around a hot value
+        # also crowd the keys beside it; a key that is nobody's own value links nothing and goes.
+        placed = rows.join(crowded, ["part", "key"], "left").where(F.coalesce("any_own", F.lit(True))).withColumn("shares", shares)
         mine = F.pmod(F.xxhash64("bits"), F.col("shares")).cast("int")
         cells = F.transform(
             F.sequence(F.lit(0), F.col("shares") - 1),

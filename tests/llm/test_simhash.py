@@ -97,6 +97,20 @@ def test_dense_cluster_makes_few_links(spark):
     assert simhash.connected_components(links).select("component").distinct().count() == 1
 
 
+def test_rows_around_a_hot_value_do_not_meet_beside_it(spark):
+    # All rows share the first 32 bits: each probe of a flipped bit would gather them again on a key without owner.
+    rng = np.random.default_rng(9)
+    values = np.unique(rng.integers(0, 1 << 32, 2000).astype(np.int64) << 32 | 5)
+    near = np.unique(np.concatenate([values, values[:50] ^ (3 << 33)]))
+    frame_ = spark.createDataFrame([(int(v),) for v in near], "bits long")
+    parts = [simhash.Part(tuple(range(32)), 1), simhash.Part(tuple(range(32, 64)), 2)]
+    links = simhash.near_links(frame_, parts, block=256)
+    got = {frozenset((r[0], r[1])) for r in links.collect()}
+    label = brute_components([int(v) % (1 << 64) for v in near])
+    assert simhash.connected_components(links).select("component").distinct().count() == sum(label.count(x) > 1 for x in set(label))
+    assert len(got) >= 50
+
+
 def test_radii_cover_every_pair():
     rng = np.random.default_rng(5)
     ones = rng.integers(0, 2, (500, 64)).astype(float)
