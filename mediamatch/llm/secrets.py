@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,6 +42,7 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 LONG_RUN = re.compile("[A-Za-z0-9+/_=-]{24,}")
+HOSTED_HINTS = ("gh", "sk-", "xox", "glpat-")
 HOSTED = re.compile("(?:gh[pousr]_|sk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{20,}", re.ASCII)
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
 SPAN = "array<struct<kind:string,start:int,stop:int,digest:string,looks_live:boolean>>"
@@ -55,6 +57,24 @@ def looks_live(value: str) -> bool:
     return len(value) >= LIVE_LENGTH and any(c.isdigit() for c in value) and entropy(value) >= LIVE_ENTROPY
 
 
+class Cover:
+    """What stretches of a text a list of spans covers, merged, so that a text full of spans is asked quickly."""
+
+    def __init__(self, spans: list[tuple[str, int, int, str]]) -> None:
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        for start, stop in sorted((s[1], s[2]) for s in spans):
+            if self.stops and start <= self.stops[-1]:
+                self.stops[-1] = max(self.stops[-1], stop)
+            else:
+                self.starts.append(start)
+                self.stops.append(stop)
+
+    def meets(self, start: int, stop: int) -> bool:
+        at = bisect_right(self.stops, start)
+        return at < len(self.starts) and self.starts[at] < stop
+
+
 def candidates(text: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, stop, value) by start, then kind."""
     found: list[tuple[str, int, int, str]] = []
@@ -68,14 +88,14 @@ def candidates(text: str) -> list[tuple[str, int, int, str]]:
         found += [
             ("hex", run.start() + m.start(), run.start() + m.end(), m[0]) for m in HEX.finditer(run[0]) if m.end() - m.start() >= 32
         ]
-    base = [(start, stop) for _, start, stop, _ in found]
-    for kind, pattern in (("hosted", HOSTED), ("signed", SIGNED)):
-        if runs or kind == "signed" and "eyJ" in text:
+    taken = Cover(found)
+    for kind, pattern, hints in (("hosted", HOSTED, HOSTED_HINTS), ("signed", SIGNED, ("eyJ",))):
+        if any(hint in text for hint in hints):
             found += [(kind, m.start(), m.end(), m[0]) for m in pattern.finditer(text)]
     for run in runs:
         value = run[0]
         mixed = re.search("[0-9]", value) and re.search("[a-z]", value) and re.search("[A-Z]", value)
-        if mixed and entropy(value) >= OPAQUE_ENTROPY and not any(a < run.end() and run.start() < b for a, b in base):
+        if mixed and entropy(value) >= OPAQUE_ENTROPY and not taken.meets(run.start(), run.end()):
             found.append(("opaque", run.start(), run.end(), value))
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 

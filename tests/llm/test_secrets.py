@@ -49,6 +49,22 @@ def test_rare_runs_are_added_and_common_ones_are_not(spark):
     assert got == {1: [("opaque", 5, 5 + len(rare))], **{10 + i: [] for i in range(4)}}
 
 
+def test_short_hosted_keys_are_found_without_longer_runs():
+    key = "sk-" + "a1B2c" * 4
+    assert [(k, a, b) for k, a, b, _ in secrets.candidates(f"x {key} y")] == [("hosted", 2, 2 + len(key))]
+    longer = "q7Rt2LmX9vBz4KpWc8NdJ3hY"
+    both = [(k, a) for k, a, *_ in secrets.candidates(f"x {key} y {longer}")]
+    assert both == [("hosted", 2), ("opaque", 5 + len(key))]
+
+
+def test_cover():
+    spans = [("a", 5, 9, ""), ("b", 7, 8, ""), ("c", 20, 30, ""), ("d", 9, 10, "")]
+    cover = secrets.Cover(spans)
+    for start in range(35):
+        for stop in range(start + 1, 36):
+            assert cover.meets(start, stop) == any(a < stop and start < b for _, a, b, _ in spans)
+
+
 def test_odd_rows_and_empty_table(spark):
     rows = [*odd_rows(), (50, TEXTS[0], None, None), (50, TEXTS[0], None, None), (51, "é" * 100_000 + TEXTS[1], "en", "s")]
     got = secrets.scan(frame(spark, rows)).collect()
