@@ -118,8 +118,9 @@ item_seeds AS (
   SELECT DISTINCT t.doc_id, s.item_id, t.pos - s.pos AS start FROM text_seeds t JOIN item_seeds s USING (mask, seed)
 ), matched AS (
   SELECT DISTINCT h.doc_id, h.item_id, i AS place, len(k.item) AS item_words
-  FROM (SELECT *, unnest(range(60)) AS i FROM hits) h JOIN kept k USING (item_id) JOIN texts x USING (doc_id)
-  WHERE i < len(k.item) AND h.start + i >= 0 AND h.start + i < len(x.words)
+  FROM (SELECT hits.*, unnest(range(len(item))) AS i FROM hits JOIN kept USING (item_id)) h
+  JOIN kept k USING (item_id) JOIN texts x USING (doc_id)
+  WHERE h.start + i >= 0 AND h.start + i < len(x.words)
     AND x.words[(h.start + i + 1)::INTEGER] = k.item[(i + 1)::INTEGER]
 )
 SELECT doc_id, item_id, count(*)::INTEGER AS matched, item_words::INTEGER AS item_words,
