@@ -42,7 +42,7 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 LONG_RUN = re.compile("[A-Za-z0-9+/_=-]{24,}")
-HOSTED_HINTS = ("gh", "sk-", "xox", "glpat-")
+HOSTED_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "glpat-")
 HOSTED = re.compile("(?:gh[pousr]_|sk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{20,}", re.ASCII)
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
 SPAN = "array<struct<kind:string,start:int,stop:int,digest:string,looks_live:boolean>>"
