@@ -4,26 +4,32 @@ Fixed masks read the words at some offsets of a window and ignore the others, so
 only the windows that read it. Training windows and benchmark windows join on the hash of the words read;
 at every hit the item is laid over the text and compared word by word, and the item's words found at their
 place over all hits of a document give the overlap. An overlap of `SIMILARITY` of the item is a leak.
+The masks meet every placement of the substitutions that leave `SIMILARITY` of an item: a test goes through
+them all from 9 to 17 words, and a longer item is a row of such pieces, one of which has no more than its share.
+An item shorter than a window has masks of its own, which leave out each choice of words that may differ.
 
 The benchmark is the small side: its seeds are counted and broadcast up to a bound, beyond it the join
 shuffles. Training words stay inside one pass over the scan; only verified hits leave it. Long texts are read
 in overlapping parts, so that what is held for a text full of leaks is bounded. Column functions only.
 
 Defined results: words are runs of letters and digits, lower-cased; null and empty texts match nothing; an
-item of fewer words than a window is too common a phrase to call a leak and matches nothing; items of equal
-text match alike; a repeated row changes nothing; an empty table gives no row.
+item of any length is looked for by the same rule, one of up to four words as it stands; items of equal text
+match alike; a repeated row changes nothing; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mediamatch.llm.frames import unused
 
 #: Word offsets that each mask reads.
-MASKS = ((0, 1, 2, 5, 8), (0, 1, 3, 6, 8), (0, 2, 3, 5, 6))
-OFFSETS = sorted({o for mask in MASKS for o in mask})
-WINDOW = max(OFFSETS) + 1
+MASKS = ((0, 1, 2, 5, 8), (0, 1, 3, 6, 8), (0, 2, 3, 5, 6), (3, 4, 6, 7, 8))
+WINDOW = max(o for mask in MASKS for o in mask) + 1
 SIMILARITY = 0.8
 #: Words of a text that are read at once; parts overlap by the longest item, so every item lies in one wholly.
 PART_WORDS = 2048
@@ -35,12 +41,27 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seeds(rows: DataFrame, words: str) -> DataFrame:
-    """The rows once for each window and mask, with the window's position and the hash of the words read."""
-    read = [F.slice(words, o + 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0))).alias(f"w{o}") for o in OFFSETS]
-    windows = rows.select("*", F.posexplode(F.arrays_zip(*read)).alias("at", "w"))
-    hashes = [F.xxhash64(F.lit(k), *(F.col(f"w.w{o}") for o in mask)) for k, mask in enumerate(MASKS)]
-    return windows.select(*rows.columns, "at", F.explode(F.array(*hashes)).alias("seed"))
+def masks_of(span: int, similarity: float = SIMILARITY) -> Sequence[tuple[int, ...]]:
+    """The masks of a window of `span` words; below `WINDOW` such a window is a whole item."""
+    return MASKS if span >= WINDOW else list(combinations(range(span), math.ceil(similarity * span - 1e-9)))
+
+
+def _seeds(rows: DataFrame, words: str, span: Column, spans: Sequence[int], similarity: float) -> DataFrame:
+    """The rows once for each window of `span` words and mask, with the window's position and the hash of the words
+    read; `spans` are the values that the column has."""
+    offsets = sorted({o for s in spans for mask in masks_of(s, similarity) for o in mask})
+    spanned = rows.select("*", span.alias("span"))
+    count = F.greatest(F.size(words) - (F.col("span") - 1), F.lit(0))
+    read = [F.slice(words, o + 1, count).alias(f"w{o}") for o in offsets]
+    windows = spanned.select("*", F.posexplode(F.arrays_zip(*read)).alias("at", "w"))
+    by_span = [
+        F.array(*(F.xxhash64(F.lit(s << 8 | k), *(F.col(f"w.w{o}") for o in mask)) for k, mask in enumerate(masks_of(s, similarity))))
+        for s in spans
+    ]
+    hashes = by_span[0]
+    for s, own in zip(spans[1:], by_span[1:]):
+        hashes = F.when(F.col("span") == s, own).otherwise(hashes)
+    return windows.select(*rows.columns, "at", F.explode(hashes).alias("seed"))
 
 
 def leaks(
@@ -55,9 +76,12 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_words, similarity) of every leaked item; `mark` adds the hash of the text."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), words_of(benchmark[item_text_col]).alias("item"))
-    items = items.where(F.size("item") >= WINDOW).distinct().withColumn("n", F.size("item"))
-    size = _seeds(items, "item").agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    seeds = _seeds(items, "item").select("seed", "item_id", "n", F.col("at").alias("item_at")).distinct()
+    items = items.where(F.size("item") > 0).distinct().withColumn("n", F.size("item"))
+    item_span = F.least("n", F.lit(WINDOW))
+    spans = sorted(r[0] for r in items.select(item_span).distinct().collect()) or [WINDOW]
+    item_seeds = _seeds(items, "item", item_span, spans, similarity)
+    size = item_seeds.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    seeds = item_seeds.select("seed", "item_id", "n", F.col("at").alias("item_at")).distinct()
     if size[0] <= BROADCAST_SEEDS:
         seeds, items = F.broadcast(seeds), F.broadcast(items)
     keys = [docs[id_col].cast("long").alias("doc_id"), *([F.xxhash64(docs[text_col]).alias("text_hash")] if mark else [])]
@@ -65,7 +89,8 @@ def leaks(
     names = [c for c in texts.columns if c != "words"]
     last = F.greatest(F.size("words") - 1, F.lit(0)) / PART_WORDS
     parts = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.slice("words", k * PART_WORDS + 1, PART_WORDS + size[1]))
-    hits = _seeds(texts.select(*names, F.explode(parts).alias("words")), "words").join(seeds, "seed")
+    text_span = F.lit(spans[0]) if len(spans) == 1 else F.explode(F.array(*map(F.lit, spans)))
+    hits = _seeds(texts.select(*names, F.explode(parts).alias("words")), "words", text_span, spans, similarity).join(seeds, "seed")
     begin = F.col("at") - F.col("item_at")
     over = F.least(begin, F.lit(0))  # words of the item that hang over the front
     near = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.col("n") + over)

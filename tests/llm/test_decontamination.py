@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 from llm_fixtures import frame, odd_rows, prose
 from mediamatch.llm import decontamination as dc
@@ -83,3 +84,36 @@ def test_empty_tables_and_native_plan(spark):
     found = dc.leaks(frame(spark, [(1, docs[0][1], None, None)]), bench(spark, items))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_masks_meet_every_permitted_substitution():
+    # a longer item is a row of pieces of these lengths, one of which holds no more than its share
+    for n in range(1, 2 * dc.WINDOW):
+        span = min(n, dc.WINDOW)
+        for k in range(n // 5 + 1):
+            for gone in map(set, combinations(range(n), k)):
+                windows = range(n - span + 1)
+                assert any(all(at + o not in gone for o in mask) for mask in dc.masks_of(span) for at in windows), (n, gone)
+
+
+def test_leaks_hold_all_of_plain_overlap(spark):
+    items, docs = [], []
+    rng = random.Random(8)
+    for n in (1, 2, 4, 5, 6, 8, 9, 10, 11, 15, 16, 17, 18):
+        item = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        places = list(combinations(range(n), n // 5))
+        for gone in places if len(places) < 60 else rng.sample(places, 60):
+            docs.append((len(docs), " ".join(["front", *("other" if i in gone else w for i, w in enumerate(item)), "end"])))
+        docs.append((len(docs), " ".join("other" if i <= n // 5 else w for i, w in enumerate(item))))
+    docs.append((len(docs), "東京都は日本の首都です。" * 2))
+    items.append((100, "東京都は日本の首都です。"))
+
+    def plain(text, item):
+        own, item = words(text), words(item)
+        return max(sum(0 <= b + i < len(own) and own[b + i] == w for i, w in enumerate(item)) for b in range(-len(item), len(own)))
+
+    want = {(d, i, plain(text, item), len(words(item))) for d, text in docs for i, item in items}
+    want = {r for r in want if r[2] / r[3] >= dc.SIMILARITY}
+    got = dc.leaks(frame(spark, [(d, t, None, None) for d, t in docs]), bench(spark, items)).collect()
+    assert {tuple(r)[:4] for r in got} == want and len(want) > 200
