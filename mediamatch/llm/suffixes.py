@@ -11,7 +11,9 @@ it in suffix order, its previous smaller position, shares that many bytes.
 
 Runs repeated within a slice of a task are settled before the shuffle, so a passage that a third of all
 documents share is one row per slice. Rows of an anchor are streamed in key order and never held together;
-only the distinct surroundings of an anchor are.
+only the distinct surroundings of an anchor are, up to `CROWDED`. An anchor with more (a short phrase in very
+many documents) is taken apart: its windows are dealt by their own hashes, and only the bytes of windows whose
+hash recurs are fetched and compared, as runs of one window.
 
 Defined results: a null text is empty; a document shorter than `LENGTH` bytes loses nothing; documents of
 null id come first; rows that repeat an id are ordered by the hash of their text, and a later one loses what
@@ -22,6 +24,7 @@ other than id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ LENGTH = 100
 GRAM = 32
 #: Rows of a sorted stream that are worked on at once, at least.
 STREAM_ROWS = 1 << 15
+#: Most runs of an anchor that are compared as a group; the windows of an anchor with more are dealt by hash.
+CROWDED = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 #: Low bits of a ranked hash that hold a place in a slice; slices are smaller than this.
@@ -122,6 +127,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 #: A run as it travels: `span` is its first window, shifted, and its number of windows; settled runs are repeats.
+#: A row of no windows says that its anchor is crowded.
 RUNS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("key", pa.int64()), ("span", pa.int64()), ("settled", pa.bool_())])
 RUN_TYPES = "anchor long, run long, key long, span long, settled boolean"
 _SPAN_BITS = 32
@@ -162,9 +168,11 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _run_batch(k, np.zeros(len(k), np.int64), k, f, n, True)
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows by anchor, run, key, span: repeats as settled, and the first of each run whose anchor has other runs."""
+def _settle(batches: Iterator[pa.RecordBatch], crowded: int = CROWDED) -> Iterator[pa.RecordBatch]:
+    """From rows by anchor, run, key, span: repeats as settled, and the first of each run whose anchor has other runs;
+    besides, a row of no windows for each anchor with more than `crowded` runs."""
     previous: tuple | None = None
+    runs = 0  # of the open anchor
     lone: list[np.ndarray] | None = None  # the first run of the open anchor, as long as it is the only one
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -185,6 +193,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(lead):
             continue
         follows = same_anchor[lead]  # another run of the anchor came before
+        begin = np.flatnonzero(np.r_[True, ~follows[1:]])
+        before = np.zeros(len(begin), np.int64)
+        before[0] = runs if follows[0] else 0
+        after = before + np.diff(np.r_[begin, len(lead)])
+        runs = int(after[-1])
+        full = anchor[lead[begin[(before <= crowded) & (after > crowded)]]]
+        if len(full):
+            none = np.zeros(len(full), np.int64)
+            yield _run_batch(full, none, none, none, none, False)
         shared = follows.copy()
         shared[:-1] |= follows[1:]
         chosen = [c[lead[shared]] for c in (anchor, run, key, span)]
@@ -285,7 +302,11 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, le
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated ranges (key, first, stop) among the surroundings of each anchor, which come in position order."""
+    """Repeated ranges (key, first, stop) among the surroundings of each anchor, which come in position order.
+
+    Of a group that goes on beyond `STREAM_ROWS` only rows with a fresh window stay; that is one row of a recurring
+    window, and other groups are not so large.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in _then_none(batches):
@@ -301,11 +322,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = len(anchor)
         if batch is not None:
             ready = int(np.searchsorted(anchor, anchor[-1], "left"))
-            if not ready:
-                continue
-        held = table.slice(ready).to_batches()
-        rows = len(anchor) - ready
-        yield _compared(table.slice(0, ready))
+        if ready:
+            yield _compared(table.slice(0, ready))[0]
+        open_group = table.slice(ready)
+        if open_group.num_rows >= STREAM_ROWS:
+            found, fresh = _compared(open_group)
+            yield found
+            open_group = open_group.filter(pa.array(fresh)).combine_chunks()
+        held = open_group.to_batches()
+        rows = open_group.num_rows
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -313,19 +338,65 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def _compared(table: pa.Table) -> pa.RecordBatch:
-    anchor, key, first = (table.column(i).to_numpy() for i in range(3))
-    parts = table.column(3).to_pylist()
+def _windows(anchor: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(bytes of all parts, start, row, place in the row, group number) with one entry for each window of the parts."""
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     data = np.frombuffer(b"".join(parts), np.uint8)
     windows = sizes - LENGTH + 1
     row = np.repeat(np.arange(len(parts)), windows)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(np.r_[0, windows[:-1]]), windows)
     starts = np.repeat(np.cumsum(np.r_[0, sizes[:-1]]), windows) + inside
-    group = np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])[row]
+    return data, starts, row, inside, np.cumsum(np.r_[0, anchor[1:] != anchor[:-1]])[row]
+
+
+def _compared(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The repeated ranges, and which rows have a window that is no repeat."""
+    anchor, key, first = (table.column(i).to_numpy() for i in range(3))
+    data, starts, row, inside, group = _windows(anchor, table.column(3).to_pylist())
     again = repeated_windows(data, starts, group)
     k, f, n = _merged(key[row[again]], first[row[again]] + inside[again], np.ones(int(again.sum()), np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(f + n - 1 + LENGTH)], names=["key", "first", "stop"])
+    found = pa.RecordBatch.from_arrays([pa.array(k), pa.array(f), pa.array(f + n - 1 + LENGTH)], names=["key", "first", "stop"])
+    return found, np.bincount(row[~again], minlength=len(key)) > 0
+
+
+def _take_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the runs of crowded anchors: windows that the same slice holds earlier as settled, others as runs of one
+    window whose anchor is the hash of their bytes."""
+    for batch in _take_bytes(batches):
+        table = pa.Table.from_batches([batch]).sort_by([("anchor", "ascending"), ("key", "ascending"), ("first", "ascending")])
+        for low in range(0, table.num_rows, STREAM_ROWS):
+            anchor, key, first, parts = (c.to_numpy() for c in table.slice(low, STREAM_ROWS).combine_chunks().columns)
+            data, starts, row, inside, group = _windows(anchor, list(parts))
+            again = repeated_windows(data, starts, group)
+            own, place = key[row], first[row] + inside
+            mark = _mixed(_hashes(data)[1][starts[~again]]).view(np.int64)
+            yield _run_batch(mark, np.zeros(len(mark), np.int64), own[~again], place[~again], np.ones(len(mark), np.int64), False)
+            if again.any():
+                k, f, n = _merged(own[again], place[again], np.ones(int(again.sum()), np.int64))
+                yield _run_batch(k, np.zeros(len(k), np.int64), k, f, n, True)
+
+
+def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows by anchor: those that are settled, and those whose anchor other rows that are not settled have too."""
+    last: pa.RecordBatch | None = None  # the last row, as long as its anchor is not seen again
+    previous: int | None = None
+    for batch in batches:
+        settled = batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        if settled.any():
+            yield batch.filter(pa.array(settled))
+            batch = batch.filter(pa.array(~settled))
+        if not batch.num_rows:
+            continue
+        anchor = batch.column(0).to_numpy()
+        follows = np.r_[previous is not None and previous == anchor[0], anchor[1:] == anchor[:-1]]
+        if follows[0] and last is not None:
+            yield last
+        shared = follows.copy()
+        shared[:-1] |= follows[1:]
+        last = None if shared[-1] else batch.slice(batch.num_rows - 1)
+        previous = anchor[-1]
+        if shared.any():
+            yield batch.filter(pa.array(shared))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -362,24 +433,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): the bytes of every document that are no repeats."""
     texts = _keyed(docs, id_col, text_col)
     n = partitions_of(docs)
     runs = texts.select("key", "text").mapInArrow(_emit_runs, RUN_TYPES)
     dealt = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "run", "key", "span")
-    settled = checkpointed(dealt.mapInArrow(_settle, RUN_TYPES))
+    settled = checkpointed(dealt.mapInArrow(partial(_settle, crowded=crowded), RUN_TYPES))
 
     whole = texts.repartition(n, "key")
-    wanted = settled.where(~F.col("settled")).groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("wanted"))
-    around = whole.join(wanted, "key").select("key", "doc_id", "text", "wanted")
-    bytes_of = around.mapInArrow(_take_bytes, "anchor long, key long, first long, bytes binary")
+
+    def around(runs: DataFrame) -> DataFrame:
+        wanted = runs.groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("wanted"))
+        return whole.join(wanted, "key").select("key", "doc_id", "text", "wanted")
+
+    no_windows = F.col("span").bitwiseAND(0xFFFFFFFF) == 0
+    open_runs, inside = settled.where(~F.col("settled") & ~no_windows), settled.where("settled")
+    full = settled.where(~F.col("settled") & no_windows).select("anchor")
+    if not full.isEmpty():
+        # one row for each `crowded` runs at most
+        full = F.broadcast(full)
+        apart = around(open_runs.join(full, "anchor", "left_semi")).mapInArrow(_take_apart, RUN_TYPES)
+        met = apart.repartition(n, "anchor").sortWithinPartitions("anchor")
+        windows = checkpointed(met.mapInArrow(_recurring, RUN_TYPES))
+        open_runs = open_runs.join(full, "anchor", "left_anti").unionByName(windows.where(~F.col("settled")))
+        inside = inside.unionByName(windows.where("settled"))
+    bytes_of = around(open_runs).mapInArrow(_take_bytes, "anchor long, key long, first long, bytes binary")
     met = bytes_of.repartition(n, "anchor").sortWithinPartitions("anchor", "key", "first")
     edges = met.mapInArrow(_compare, "key long, first long, stop long")
 
     first = F.shiftright("span", _SPAN_BITS)
     stop = first + F.col("span").bitwiseAND(0xFFFFFFFF) - 1 + LENGTH
-    inside = settled.where("settled").select("key", first.alias("first"), stop.alias("stop"))
+    inside = inside.select("key", first.alias("first"), stop.alias("stop"))
     ranges = inside.unionByName(edges).groupBy("key").agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
     return (
         whole.join(ranges, "key", "left")

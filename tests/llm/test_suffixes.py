@@ -104,3 +104,45 @@ def test_odd_rows_repeated_ids_and_empty_table(spark):
     assert lengths == [(-99, len(t[0]), 0), (3, len(t[0]), len(t[0])), (3, len(t[0]), len(t[0]))]
     assert got.count() == len(odd_rows()) + 3
     assert suffixes.deduplicate(frame(spark, [])).collect() == []
+
+
+def crowded_rows(n=120):
+    """A phrase that is shorter than a window, one a little longer and a long one, each with other text around it."""
+    rng = np.random.default_rng(5)
+    words = [" ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60)) for _ in range(2 * n)]
+    short, middle, long = (t[:k] for t, k in zip(prose(21, 3, 120), (60, 115, 190)))
+    return [(i, words[2 * i][:200] + (short, middle, long)[i % 3] + words[2 * i + 1][:150] + (middle if i % 5 == 0 else "")) for i in range(n)]
+
+
+def test_crowded_anchors_are_taken_apart(spark):
+    rows = crowded_rows()
+    table = frame(spark, [(d, t, None, None) for d, t in rows]).repartition(3)
+    got = suffixes.deduplicate(table, crowded=4).collect()
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got)
+    assert got == sorted(brute(rows)) and sum(r[2] for r in got) > 5000
+
+
+def test_a_large_group_is_not_held(monkeypatch):
+    import pyarrow as pa
+
+    windows = [bytes([65 + i % 3]) * 100 for i in range(3)]
+    rows = [(7, key, 0, windows[key % 3]) for key in range(4000)]
+    names, kinds = ("anchor", "key", "first", "bytes"), (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    table = pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows))})
+    sizes, compared = [], suffixes._compared
+    monkeypatch.setattr(suffixes, "STREAM_ROWS", 100)
+    monkeypatch.setattr(suffixes, "_compared", lambda t: sizes.append(t.num_rows) or compared(t))
+    found = [r for b in suffixes._compare(iter(table.to_batches(max_chunksize=32))) for r in b.to_pylist()]
+    assert max(sizes) < 200
+    assert {r["key"] for r in found} == set(range(3, 4000))
+
+
+def test_crowded_anchors_are_named_once():
+    import pyarrow as pa
+
+    anchor = np.repeat([1, 2, 3], [3, 40, 5])
+    n = len(anchor)
+    whole = suffixes._run_batch(anchor, np.arange(n), np.arange(n), np.zeros(n), np.ones(n, np.int64), False)
+    batches = pa.Table.from_batches([whole]).to_batches(max_chunksize=7)
+    out = pa.Table.from_batches(suffixes._settle(iter(batches), crowded=5)).to_pylist()
+    assert [r["anchor"] for r in out if r["span"] == 0 and r["run"] == 0 and r["anchor"] != 1] == [2]
