@@ -59,3 +59,25 @@ def test_empty_table_long_template_and_native_plan(spark):
         lic.scan(frame(spark, []), templates={"long": "word " * 40})
     plan = lic.scan(frame(spark, [(1, "Released under the MIT License.", None, None)]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_long_texts_and_usual_wordings(spark):
+    base, docs, want = prose(43, 40, 80), [], set()
+    for k, (name, text) in enumerate(lic.WORDINGS):
+        docs.append((k, base[k] + "\n" + text + "\n" + base[k + 1], None, None))
+        docs.append((100 + k, base[k] + "\n" + " ".join(text.split()[: len(text.split()) // 2]), None, None))
+        want.add((k, name))
+    got = {(r["doc_id"], r["license"]): r["containment"] for r in lic.scan(frame(spark, docs)).collect()}
+    assert all(got.get(key) == 1.0 for key in want)
+    assert {name for d, name in got if d >= 100} <= {"Apache-2.0", "MIT"}  # the statement in a header's first half
+    words = [f"word{i}" for i in range(700)]
+    whole = [(1, base[0] + " " + " ".join(words), None, None), (2, " ".join(words[:500]), None, None)]
+    found = lic.scan(frame(spark, whole), templates={"own": " ".join(words)}).collect()
+    assert [(r["doc_id"], r["containment"]) for r in found] == [(1, 1.0)]
+
+
+def test_needed_words_are_in_every_large_enough_part():
+    for _, text in lic.WORDINGS:
+        known = pieces(lic.template_words(text))
+        needed = set(lic.needed_words(text, lic.CONTAINMENT))
+        assert sum(not needed & set(p.split()) for p in known) < lic.CONTAINMENT * len(known)
