@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, neighbours, packing, quality, secrets, simhash, suffixes
+from mediamatch.llm import decontamination, language, lattice, licenses, lines, neighbours, packing, quality, secrets, simhash, suffixes
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,30 @@ SELECT doc_id, item_id, count(*)::INTEGER AS matched, item_words::INTEGER AS ite
 FROM matched GROUP BY doc_id, item_id, item_words HAVING count(*)::DOUBLE / item_words >= 0.8
 """
 
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    kept = lines.kept_texts(docs, lines.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+REPEATED_LINES_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), placed AS (
+  SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM texts
+), keyed AS (
+  SELECT doc_id, line, place,
+    translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM placed
+), judged AS (
+  SELECT doc_id, line, place, length(key) < 10 OR doc_id = min(doc_id) OVER (PARTITION BY key) AS stays FROM keyed
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (stays), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_nearest_embeddings": nearest_embeddings,
     "op2_secret_ownership": secret_ownership,
@@ -139,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op8_lattice_scores": lattice_scores,
     "op9_packed_sequences": packed_sequences,
     "op10_benchmark_leaks": benchmark_leaks,
+    "op11_repeated_lines": repeated_lines,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op3_license_windows": LICENSE_WINDOWS_SQL, "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL}
+SQL: dict[str, str] = {"op3_license_windows": LICENSE_WINDOWS_SQL, "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL, "op11_repeated_lines": REPEATED_LINES_SQL}
