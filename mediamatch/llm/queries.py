@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, lines, neighbours, packing, quality, secrets, simhash, suffixes
+from mediamatch.llm import decontamination, language, lattice, licenses, lines, neighbours, packing, quality, secrets, simhash, suffixes, tries
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +152,57 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): the first h turns of the conversation that opens the hundred, then the own turns behind the first h;
+    h is crc32 of the id, modulo 6."""
+    own = conversations.withColumn("opening", F.col("conv_id") - F.col("conv_id") % 100)
+    first = conversations.select(F.col("conv_id").alias("opening"), F.slice("turns", 1, 5).alias("first"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    none = F.array().cast(f"array<{tries.TURN}>")
+    turns = F.concat(F.slice(F.coalesce("first", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return own.join(first, "opening", "left").select("conv_id", turns.alias("turns"))
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(rebuilt(tries.sequences(read(spark, sf_dir, "conversations"))))
+
+
+CONVERSATION_TRIE_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, own, xor(list_reduce([4294967295] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+    lambda a, x: list_reduce([xor(a, x)] || range(8),
+      lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)), 4294967295) % 6 AS h
+  FROM turns
+), built AS (
+  SELECT a.conv_id, coalesce(b.own, [])[1:a.h] || a.own[(a.h + 1):] AS path
+  FROM hashed a LEFT JOIN turns b ON b.conv_id = a.conv_id - a.conv_id % 100
+), prefixes AS (
+  SELECT conv_id, d AS depth, path[1:d] AS prefix, len(path) = d AS ends
+  FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM built)
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, depth
+), linked AS (
+  SELECT c.*, p.conv_id AS parent_conv_id FROM nodes c LEFT JOIN nodes p ON c.depth = p.depth + 1 AND p.prefix = c.prefix[1:(c.depth - 1)]
+), children AS (
+  SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL
+), weighed AS (
+  SELECT l.*, coalesce(n_children, 0) AS n_children, CASE WHEN l.depth = 0 THEN 0 ELSE (n_convs - 1) * length(prefix[l.depth].text) END AS saved
+  FROM linked l LEFT JOIN children USING (conv_id, depth)
+), below AS (
+  SELECT prefix[1:d] AS prefix, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM weighed) GROUP BY ALL
+)
+SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM weighed w JOIN below b ON w.depth = b.depth AND w.prefix = b.prefix
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_nearest_embeddings": nearest_embeddings,
     "op2_secret_ownership": secret_ownership,
@@ -164,6 +215,12 @@ QUERIES: dict[str, Query] = {
     "op9_packed_sequences": packed_sequences,
     "op10_benchmark_leaks": benchmark_leaks,
     "op11_repeated_lines": repeated_lines,
+    "op12_conversation_trie": conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
-SQL: dict[str, str] = {"op3_license_windows": LICENSE_WINDOWS_SQL, "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL, "op11_repeated_lines": REPEATED_LINES_SQL}
+SQL: dict[str, str] = {
+    "op3_license_windows": LICENSE_WINDOWS_SQL,
+    "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL,
+    "op11_repeated_lines": REPEATED_LINES_SQL,
+    "op12_conversation_trie": CONVERSATION_TRIE_SQL,
+}
