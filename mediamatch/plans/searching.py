@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from mediamatch.operators.search import hydrate, public_only, score_candidates, search, top_matches, candidates, prefilter_cap
+from mediamatch.operators.search import hydrate, public_only, search
 from mediamatch.schema import SEARCH_LIMIT_DEFAULT, WIDGET_LIMIT_DEFAULT, WIDGET_LIMIT_MAX, Settings, clamp
 
 
 def reverse_search(
-    probes: DataFrame, index: DataFrame, media: DataFrame, settings: Settings = Settings(), limit: int = SEARCH_LIMIT_DEFAULT
+    probes: DataFrame,
+    index: DataFrame,
+    media: DataFrame,
+    settings: Settings = Settings(),
+    limit: int = SEARCH_LIMIT_DEFAULT,
+    lossless: bool = False,
 ) -> DataFrame:
     """(probe_id, rank, attachment_id, score, title, url) for every probe."""
-    return hydrate(search(probes, index, settings, limit), media)
+    return hydrate(search(probes, index, settings, limit, lossless=lossless), media)
 
 
 def public_search(
@@ -30,8 +35,7 @@ def public_search(
     `filter_first` removes them before ranking instead.
     """
     if filter_first:
-        found = candidates(probes, index, prefilter_cap(settings.match_threshold))
-        ranked = top_matches(public_only(score_candidates(found, settings), media, posts), limit)
+        ranked = search(probes, index, settings, limit, keep=lambda found: public_only(found, media, posts))
     else:
         ranked = public_only(search(probes, index, settings, limit), media, posts)
     return hydrate(ranked, media).withColumn("score", F.round("score", 4))

@@ -131,3 +131,54 @@ def test_public_search_limits_before_it_hides(spark):
     assert pairs_of(full, "attachment_id", "title")[-1] == (8, "") and full.count() == 8
     assert INDEX_SCHEMA.names == index.columns
     assert [widget_limit(x) for x in (None, 0, 100)] == [12, 1, 48]
+
+
+def test_bound_is_no_less_than_the_score(spark):
+    rows = library(50, 8)
+    rows += [(200, rows[0][1], [0.0] * 48, [0.0] * 32), (201, rows[0][1], [0.4] * 70, [0.5] * 20), (202, rows[1][1], [], [-1.0, 2.0] * 16)]
+    probes, index = probes_of(spark, rows), index_of(spark, rows)
+    low = Settings(match_threshold=0.5)
+    bounds = {tuple(r[:2]): r["bound"] for r in S.bounded_candidates(probes, index, low).collect()}
+    scores = S.score_candidates(S.candidates(probes, index), low).collect()
+    assert len(scores) > 1500
+    for r in scores:
+        assert bounds[r["probe_id"], r["attachment_id"]] >= r["score"] - 1e-9
+
+
+@pytest.mark.parametrize("limit", [1, 10])
+def test_refining_gives_the_ranks_of_scoring_all(spark, limit):
+    rows = library(80, 11) + [(500 + i, *r[1:]) for i, r in enumerate(library(6, 11))]
+    probes, index = probes_of(spark, library(30, 12)), index_of(spark, rows)
+    settings = Settings(match_threshold=0.7)
+    every = S.top_matches(S.score_candidates(S.candidates(probes, index), settings), limit)
+    key = ("probe_id", "rank", "attachment_id")
+    assert pairs_of(S.search(probes, index, settings, limit), *key) == pairs_of(every, *key)
+
+
+def test_features_move_for_the_best_candidates_only(spark):
+    rng = random.Random(13)
+    spike = lambda n, at: [8.0 if i // 4 == at else 0.1 for i in range(n)]
+    rows = [(i, h, [c / 16 for c in spike(16, rng.randrange(4)) * 3], spike(32, rng.randrange(8))) for i, h, _, _ in library(300, 13)]
+    probes, index = probes_of(spark, rows[:20]), index_of(spark, rows)
+    settings = Settings(match_threshold=0.5)
+    found = S.bounded_candidates(probes, index, settings)
+    plan = found._jdf.queryExecution().toString()
+    scans = plan[plan.index("== Physical Plan ==") :]
+    exchanges = [line for line in scans.splitlines() if "Exchange" in line]
+    assert exchanges and not any("color_vector#" in line or "edge_vector#" in line for line in exchanges)
+    moved = []
+    original = S.score_candidates
+    try:
+        S.score_candidates = lambda met, *a: (moved.append(met.count()), original(met, *a))[1]
+        S.refined(found, probes, index, settings, 5)
+    finally:
+        S.score_candidates = original
+    assert moved[0] == 100 and moved[1] < 0.6 * found.count()
+
+
+def test_lossless_cap_finds_what_the_prefilter_drops(spark):
+    rows = library(2, 15)[:1]
+    bits = int(rows[0][1], 16)
+    far = [(i, f"{bits ^ ((1 << i) - 1):016x}", *rows[0][2:]) for i in (10, 20, 21, 24, 25, 40)]
+    ids = lambda **more: [r[0] for r in pairs_of(S.search(probes_of(spark, rows), index_of(spark, far), **more), "attachment_id")]
+    assert ids() == [10, 20] and ids(lossless=True) == [10, 20, 21, 24]
