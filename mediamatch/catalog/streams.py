@@ -40,15 +40,23 @@ _SLICE_SQL = f"""least({SLICES - 1}, floor({SLICES} * (epoch_us(ts) - (SELECT mi
   (SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM events)))::BIGINT"""
 
 
-def _event_stream(spark, sf_dir, place, order=range(SLICES)):
-    """The events as a stream of one file for each slice of time; the source takes one file at a time, in this order."""
-    events = t.table(spark, sf_dir, "events")
+#: Rows of a file of the stream; a slice has as many files as it needs, two at least, and makes one micro-batch.
+FILE_ROWS = 250_000
+
+
+def _event_stream(spark, sf_dir, place, order=range(SLICES), events=None):
+    """The events as a stream of a micro-batch for each slice of time, in this order."""
+    events = t.table(spark, sf_dir, "events") if events is None else events
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(micros), F.max(micros)).first()
     part = F.least(F.lit(SLICES - 1), F.floor(SLICES * (micros - low).cast("double") / (high - low + 1)))
+    sizes = {r["part"]: r["count"] for r in events.groupBy(part.cast("int").alias("part")).count().collect()}
+    files = max(2, -(-max(sizes.values()) // FILE_ROWS))
     for number in order:
-        events.where(part == number).coalesce(1).write.mode("append").parquet(f"{place}/events")
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/events")
+        # round robin gives each file rows, and the source takes files by time
+        slices = events.where(part == number).repartition(min(files, sizes.get(number, 0)) or 1)
+        slices.write.mode("append").parquet(f"{place}/events")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/events")
 
 
 @query("rate_limit_stream", "T5", RATE_SQL)
@@ -117,7 +125,38 @@ def change_stream(spark, sf_dir):
 )
 def change_stream_progress(spark, sf_dir):
     with scratch_folder(spark, "changes") as place:
-        return checkpointed(_applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir)).progress())
+        return checkpointed(_applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir)).progress().drop("stream"))
+
+
+@query(
+    "change_stream_two_sources",
+    "T1 T2 T6",
+    f"""WITH {cx.BASE_SQL}, change AS (
+          SELECT event_id AS seq, date_trunc('day', ts) AS ts, user_id AS attachment_id, value < 5 AS is_probe,
+                 CASE event_type WHEN 'signup' THEN 'upload' WHEN 'error' THEN 'delete' END AS action FROM events
+        ), last_change AS (
+          SELECT * FROM change WHERE action IS NOT NULL AND NOT (action = 'upload' AND is_probe)
+            AND (ts >= TIMESTAMP '{cx.STAMP}' OR attachment_id NOT IN (SELECT attachment_id FROM base))
+          QUALIFY row_number() OVER (PARTITION BY attachment_id ORDER BY ts DESC, seq DESC) = 1)
+        SELECT attachment_id, coalesce(strftime(l.ts, '%Y-%m-%d %H:%M:%S'), b.indexed_at) AS indexed_at
+        FROM base b FULL JOIN last_change l USING (attachment_id) WHERE l.action IS DISTINCT FROM 'delete'""",
+)
+def change_stream_two_sources(spark, sf_dir):
+    """Two streams of one store, the later half of the events first, and then the first stream once more from a new
+    checkpoint; times are cut to days, so that changes of one time must follow their numbers across streams."""
+    events = t.table(spark, sf_dir, "events")
+    events = events.withColumn("ts", F.date_trunc("day", F.col("ts").cast("timestamp")))
+    build = cx.build_facts(spark, sf_dir)
+    with scratch_folder(spark, "changes") as place:
+        store = IndexStore(spark, f"{place}/index")
+        store.write(cx.base_index(spark, sf_dir))
+        for run, rest in (("odd", 1), ("even", 0), ("again", 1)):
+            own = events.where(F.col("event_id") % 2 == rest)
+            source = _event_stream(spark, sf_dir, f"{place}/{run}", reversed(range(SLICES)), own)
+            ChangeStream(store, build).start(cx.as_changes(source), f"{place}/{run}/progress").awaitTermination()
+            store.compact()
+            store.prune()
+        return checkpointed(cx.shown(store.read()).select("attachment_id", "indexed_at"))
 
 
 @query(

@@ -22,8 +22,8 @@ def _stamp(at: datetime | Column | None) -> Column:
     return at if isinstance(at, Column) else F.lit(at).cast("timestamp")
 
 
-def conform(rows: DataFrame) -> DataFrame:
-    """Rows with exactly the index columns; what a row does not supply gets its default."""
+def conform(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows with exactly the index columns, and those of `keep`; what a row does not supply gets its default."""
     given = set(rows.columns)
 
     def column(field) -> Column:
@@ -35,7 +35,7 @@ def conform(rows: DataFrame) -> DataFrame:
             value = F.lit(INDEX_DEFAULTS[field.name])
         return value.cast(field.dataType).alias(field.name)
 
-    return rows.select(*[column(f) for f in INDEX_SCHEMA.fields])
+    return rows.select(*[column(f) for f in INDEX_SCHEMA.fields], *keep)
 
 
 def indexed(index: DataFrame) -> DataFrame:

@@ -10,6 +10,11 @@ and a scan keeps reading the version it started on. Numbers are claimed by creat
 exist yet, so no writer overwrites another. A full version names the number it was made from; later deltas
 of other writers still apply on top of it, and of two full versions made from the same number the second
 fails.
+
+A stream's batch is known by the stream's id and the batch number, as every stream counts from 0. The record is the
+delta's own name, so it is committed with the rows; before `prune` removes deltas it notes the last batch of their
+streams in a file. Rows and tombstones keep the sequence number of their change, so of equal times the later
+change counts.
 """
 
 from __future__ import annotations
@@ -23,8 +28,9 @@ from mediamatch.operators.index import KEY, conform
 from mediamatch.schema import INDEX_SCHEMA
 from mediamatch.session import file_system
 
-_NAME = re.compile(r"(full|delta)-(\d+)-(?:after|batch)-(-?\d+)$")
-ROW_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, T.StructField("deleted", T.BooleanType())])
+_NAME = re.compile(r"(full|delta)-(\d+)-(?:after|batch)-(-?\d+)(?:-of-([\w.-]+))?$")
+_DONE = re.compile(r"done-([\w.-]+)-upto-(\d+)$")
+ROW_SCHEMA = T.StructType([*INDEX_SCHEMA.fields, T.StructField("deleted", T.BooleanType()), T.StructField("seq", T.LongType())])
 DELTA_SCHEMA = T.StructType([*ROW_SCHEMA.fields, T.StructField("change", T.LongType())])
 NO_BATCH = -1
 
@@ -39,12 +45,14 @@ class _Version:
     full: bool
     tag: int  # of a full version the number it was made from, of a delta its batch
     path: str
+    stream: str  # of a delta, where a stream wrote it
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._seen: int | None = None  # the version last read
 
     def _listed(self, pattern: str) -> list[str]:
         files, path = file_system(self.spark, f"{self.root}/{pattern}")
@@ -55,7 +63,7 @@ class IndexStore:
         for marker in self._listed("*/_SUCCESS"):
             place = marker.rsplit("/", 1)[0]
             if found := _NAME.search(place):
-                out.append(_Version(int(found[2]), found[1] == "full", int(found[3]), place))
+                out.append(_Version(int(found[2]), found[1] == "full", int(found[3]), place, found[4] or ""))
         return sorted(out, key=lambda v: v.number)
 
     def versions(self) -> list[int]:
@@ -64,9 +72,12 @@ class IndexStore:
     def newest(self) -> int:
         return (self.versions() or [0])[-1]
 
-    def recorded(self, batch_id: int) -> bool:
-        """Whether a delta of this batch was committed."""
-        return any(not v.full and v.tag == batch_id for v in self._committed())
+    def recorded(self, batch_id: int, stream: str) -> bool:
+        """Whether this batch of the stream was committed; batches of a stream come in order."""
+        noted = [_DONE.search(path) for path in self._listed(f"done-{stream}-upto-*")]
+        upto = [int(m[2]) for m in noted if m and m[1] == stream]
+        upto += [v.tag for v in self._committed() if not v.full and v.stream == stream]
+        return max(upto, default=NO_BATCH) >= batch_id
 
     def _claim(self) -> int:
         taken = [int(p.rsplit("-", 1)[1]) for p in self._listed("claim-*")]
@@ -94,18 +105,22 @@ class IndexStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """A frozen version, the newest by default; no rows where nothing was written yet."""
-        return self.rows(version).where(~F.col("deleted")).drop("deleted")
+        self._seen = self.newest() if version is None else version
+        return self.rows(self._seen).where(~F.col("deleted")).drop("deleted", "seq")
 
     def write(self, index: DataFrame, by_id: bool = False, after: int | None = None) -> int:
-        """Write the next full version, made from version `after` (the newest by default); returns its number.
+        """Write the next full version; returns its number.
 
-        `by_id` range-partitions and sorts by attachment id so that keyset pages skip row groups; it
-        costs one shuffle of the index.
+        `after` is the version it was made from, by default the one that this store read last, or the newest if it read
+        none: deltas that others commit meanwhile still apply on top. `by_id` range-partitions and sorts by attachment
+        id so that keyset pages skip row groups; it costs one shuffle of the index.
         """
-        return self._write_full(conform(index).withColumn("deleted", F.lit(False)), by_id, after)
+        if after is None:
+            after = self.newest() if self._seen is None else self._seen
+        rows = conform(index).withColumn("deleted", F.lit(False)).withColumn("seq", F.lit(None).cast("long"))
+        return self._write_full(rows, by_id, after)
 
-    def _write_full(self, rows: DataFrame, by_id: bool, after: int | None) -> int:
-        after = self.newest() if after is None else after
+    def _write_full(self, rows: DataFrame, by_id: bool, after: int) -> int:
         number = self._claim()
         if by_id:
             rows = rows.repartitionByRange(KEY).sortWithinPartitions(KEY)
@@ -115,21 +130,30 @@ class IndexStore:
             files, path = file_system(self.spark, place)
             files.delete(path, True)
             raise VersionConflict(f"another full version was written after version {after}")
+        self._seen = number
         return number
 
-    def append(self, rows: DataFrame, deletes: DataFrame, batch_id: int = NO_BATCH) -> int:
-        """Write a delta of whole index rows and of tombstones (attachment_id, ts), one row for each key."""
+    def append(self, rows: DataFrame, deletes: DataFrame, batch_id: int = NO_BATCH, stream: str = "") -> int:
+        """Write a delta of whole index rows and of tombstones (attachment_id, ts), one row for each key.
+
+        Both may have the sequence number of their change in a column `seq`.
+        """
         number = self._claim()
-        gone = conform(deletes.select(KEY, F.col("ts").alias("indexed_at"))).withColumn("deleted", F.lit(True))
-        changed = conform(rows).withColumn("deleted", F.lit(False)).unionByName(gone)
-        place = f"{self.root}/delta-{number:08d}-batch-{batch_id}"
+
+        def numbered(part: DataFrame, deleted: bool) -> DataFrame:
+            seq = F.col("seq") if "seq" in part.columns else F.lit(None)
+            return conform(part.withColumn("seq", seq.cast("long")).withColumn("deleted", F.lit(deleted)), ("deleted", "seq"))
+
+        times = [KEY, F.col("ts").alias("indexed_at"), *(c for c in deletes.columns if c == "seq")]
+        changed = numbered(rows, False).unionByName(numbered(deletes.select(*times), True))
+        place = f"{self.root}/delta-{number:08d}-batch-{batch_id}" + (f"-of-{stream}" if stream else "")
         changed.withColumn("change", F.lit(number).cast("long")).write.mode("error").parquet(place)
         return number
 
     def delta(self, version: int) -> DataFrame:
         """The rows that one delta wrote, without tombstones."""
         place = next(v.path for v in self._committed() if v.number == version and not v.full)
-        return self.spark.read.schema(DELTA_SCHEMA).parquet(place).where(~F.col("deleted")).drop("deleted", "change")
+        return self.spark.read.schema(DELTA_SCHEMA).parquet(place).where(~F.col("deleted")).drop("deleted", "seq", "change")
 
     def compact(self, forget_before=None) -> int:
         """Fold the deltas into a new full version; tombstones older than `forget_before` go."""
@@ -144,11 +168,23 @@ class IndexStore:
         known = self._committed()
         fulls = [v for v in known if v.full]
         old = [v for v in known if fulls and v.number < fulls[-1].number and (v.full or v.number <= fulls[-1].tag)]
+        for stream in {v.stream for v in old if v.stream}:
+            self._note(stream, max(v.tag for v in old if v.stream == stream))
         for v in old:
             files, path = file_system(self.spark, v.path)
             files.delete(path, True)
         return len(old)
 
+    def _note(self, stream: str, batch_id: int) -> None:
+        """Keep the record of a stream's batches up to this one."""
+        before = [path for path in self._listed(f"done-{stream}-upto-*") if (m := _DONE.search(path)) and m[1] == stream]
+        if any(int(_DONE.search(path)[2]) >= batch_id for path in before):
+            return
+        files, path = file_system(self.spark, f"{self.root}/done-{stream}-upto-{batch_id}")
+        files.createNewFile(path)
+        for old in before:
+            files.delete(file_system(self.spark, old)[1], True)
+
     def clear(self) -> int:
         """Write an empty version; returns how many rows the one before held."""
         removed = self.read().count()

@@ -117,6 +117,71 @@ def test_late_changes_do_not_undo_newer_ones(spark, tmp_path):
     assert pairs_of(store.read(), "attachment_id") == [(4,), (6,), (8,)]
 
 
+def files(spark, path, rows, schema=CHANGE_SCHEMA):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+
+
+def test_streams_of_one_store_lose_no_batch(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    files(spark, tmp_path / "one", [change(1, 1, 2, "upload")])
+    files(spark, tmp_path / "two", [change(2, 2, 4, "upload")])
+    run = lambda source, progress: (
+        ChangeStream(store, build, str(tmp_path / "stats"))
+        .start(spark.readStream.schema(CHANGE_SCHEMA).parquet(str(tmp_path / source)), str(tmp_path / progress))
+        .awaitTermination()
+    )
+    run("one", "a")
+    run("two", "b")
+    assert pairs_of(store.read(), "attachment_id") == [(2,), (4,)]
+    assert ChangeStream(store, build, str(tmp_path / "stats")).progress().count() == 2
+    # A new checkpoint reads everything again, without effect on what came later.
+    files(spark, tmp_path / "two", [change(3, 9, 2, "delete")])
+    run("two", "b")
+    run("one", "c")
+    assert pairs_of(store.read(), "attachment_id") == [(4,)]
+
+
+def test_records_of_batches_survive_pruning(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    stream = ChangeStream(store, build)
+    batches = [spark.createDataFrame([change(i, i, 2 * i, "upload")], CHANGE_SCHEMA) for i in range(4)]
+    for i, name in ((0, "x"), (1, "x"), (0, "y")):
+        stream.apply(batches[i], i, name)
+    store.compact()
+    assert store.prune() == 3
+    versions = store.versions()
+    for i, name in ((0, "x"), (1, "x"), (0, "y")):
+        stream.apply(batches[i], i, name)
+    assert store.versions() == versions
+    stream.apply(batches[3], 1, "y")
+    stream.apply(batches[2], 2, "x")
+    store.compact()
+    store.prune()
+    assert [store.recorded(*a) for a in ((2, "x"), (3, "x"), (1, "y"), (2, "y"), (0, "z"))] == [True, False, True, False, False]
+    assert pairs_of(store.read(), "attachment_id") == [(0,), (2,), (4,), (6,)]
+
+
+def test_equal_times_follow_the_sequence(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    stream = ChangeStream(store, build)
+    apply = lambda i, *rows: stream.apply(spark.createDataFrame(list(rows), CHANGE_SCHEMA), i)
+    apply(0, change(8, 5, 2, "delete"), change(4, 5, 4, "upload"), change(9, 5, 6, "upload"))
+    apply(1, change(3, 5, 2, "upload"), change(5, 5, 4, "delete"), change(7, 5, 6, "delete"))
+    assert pairs_of(store.read(), "attachment_id") == [(6,)]
+    store.compact()
+    apply(2, change(6, 5, 2, "upload"), change(10, 5, 4, "upload"))
+    assert pairs_of(store.read(), "attachment_id") == [(4,), (6,)]
+
+
+def test_delta_between_read_and_write_is_kept(spark, tmp_path):
+    store, other = (IndexStore(spark, str(tmp_path / "index")) for _ in range(2))
+    store.write(start_index(spark))
+    read = store.read()
+    ChangeStream(other, build).apply(spark.createDataFrame([change(1, 1, 2, "upload")], CHANGE_SCHEMA), 0)
+    store.write(read)
+    assert pairs_of(store.read(), "attachment_id") == [(2,), (10,), (12,)]
+
+
 def requests(seed, n=600):
     rng = random.Random(seed)
     out, at = [], {"busy": 0.0, "calm": 0.0, "odd": 0.0}
