@@ -67,7 +67,7 @@ def rate_limit_stream(spark, sf_dir):
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     with scratch_folder(spark, "rate-limit") as place:
-        limited = limit_stream(_requests(_event_stream(spark, sf_dir, place)), CAP)
+        limited = limit_stream(_requests(_event_stream(spark, sf_dir, place)), CAP, lateness="10 minutes")
         (
             limited.writeStream.format("parquet")
             .option("path", f"{place}/verdicts")

@@ -65,27 +65,37 @@ def limit_requests(requests: DataFrame, cap: int = Settings().rate_limit, tie: s
 
 
 class _Limiter(StatefulProcessor):
-    """State per client: when its window opened and how many requests it has seen."""
+    """State per client: when its window opened and how many requests it has seen.
 
-    def __init__(self, cap: int, tie: str, ttl_ms: int | None):
-        self.cap, self.tie, self.ttl_ms = cap, tie, ttl_ms
+    An event-time timer at the end of the window drops the state, as the next request opens a new one anyway.
+    """
+
+    def __init__(self, cap: int, tie: str, timed: bool):
+        self.cap, self.tie, self.timed = cap, tie, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "opened long, used long", self.ttl_ms)
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, used long")
 
-    def _verdicts(self, client, rows: list[tuple], allowed: list[bool]) -> pd.DataFrame:
+    def _verdicts(self, client, rows: list[tuple], allowed: list[bool], late: bool = False) -> pd.DataFrame:
         ts = pd.Series([pd.Timestamp(r[0], unit="us") for r in rows], dtype="datetime64[us]")
-        return pd.DataFrame({"client": client, self.tie: [r[1] for r in rows], "ts": ts, "allowed": allowed})
+        return pd.DataFrame({"client": client, self.tie: [r[1] for r in rows], "ts": ts, "allowed": allowed, "late": late})
 
     def handleInputRows(self, key, rows, timerValues):
+        opened, used = self.window.get() if self.window.exists() else (None, 0)
+        closed = timerValues.getCurrentWatermarkInMs() * 1000 if self.timed else None
         # Of each second only the count and the `cap` earliest requests are kept; a later one is refused at once.
         counts: dict[int, int] = {}
         first: dict[int, list[tuple]] = {}
         for chunk in rows:
             refused: list[tuple] = []
-            micros = chunk["ts"].astype("datetime64[us]").astype("int64")
+            late: list[tuple] = []
+            micros = chunk["at"].astype("int64")
             for at, tie in zip(micros.tolist(), chunk[self.tie].tolist()):
                 second = at // 1_000_000
+                if closed is not None and (at < closed or (opened is not None and second < opened)):
+                    late.append((at, tie))
+                    continue
                 counts[second] = counts.get(second, 0) + 1
                 kept = first.setdefault(second, [])
                 # Negated pairs make the heap give up the latest request.
@@ -96,9 +106,13 @@ class _Limiter(StatefulProcessor):
                     refused.append((-at, -tie))
             if refused:
                 yield self._verdicts(key[0], refused, [False] * len(refused))
-        opened, used = self.window.get() if self.window.exists() else (None, 0)
+            if late:
+                yield self._verdicts(key[0], late, [False] * len(late), True)
+        if not counts:
+            return
         judged: list[tuple] = []
         allowed: list[bool] = []
+        before = opened
         for second in sorted(counts):
             if opened is None or second >= opened + RATE_WINDOW_SECONDS:
                 opened, used = second, 0
@@ -107,29 +121,42 @@ class _Limiter(StatefulProcessor):
             allowed += [used + i <= self.cap for i in range(1, len(kept) + 1)]
             used += counts[second]
         self.window.update((int(opened), int(used)))
+        if self.timed and opened != before:
+            if before is not None:
+                self.handle.deleteTimer((before + RATE_WINDOW_SECONDS) * 1000)
+            self.handle.registerTimer(int((opened + RATE_WINDOW_SECONDS) * 1000))
         yield self._verdicts(key[0], judged, allowed)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.window.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def limit_stream(
-    requests: DataFrame, cap: int = Settings().rate_limit, tie: str = "event_id", ttl_ms: int | None = None
+    requests: DataFrame, cap: int = Settings().rate_limit, tie: str = "event_id", lateness: str | None = None
 ) -> DataFrame:
-    """Streaming form of `limit_requests`: (client, tie, ts, allowed).
+    """Streaming form of `limit_requests`: (client, tie, ts, allowed, late).
 
-    State is kept per client between micro-batches. A stream that runs on should give `ttl_ms`, longer than a
-    window: state is forgotten so long after its last update. Spark then keeps looking for expired state, so
-    a run over what is there (`availableNow`) ends only without it. Needs the RocksDB state store. Requests
-    must arrive in order of time between batches; one that is older than the open window counts in it.
+    State is kept per client between micro-batches. With `lateness`, an interval such as "10 minutes", the watermark
+    follows that far behind the latest request, and a client's state goes once the watermark has passed the end of its
+    window. A request from before the watermark or from before the client's open window is not counted: it comes back
+    refused and marked as late. Without `lateness` state never goes, and a request that is older than the open
+    window counts in it. Needs the RocksDB state store.
     """
+    timed = requests.select("client", tie, F.col("ts").cast("timestamp").alias("ts"))
+    if lateness is not None:
+        timed = timed.withWatermark("ts", lateness)
+    # Plain numbers bear no watermark, so that late requests reach the processor instead of being dropped.
     return (
-        requests.select("client", tie, F.col("ts").cast("timestamp").alias("ts"))
+        timed.select("client", tie, F.unix_micros("ts").alias("at"))
         .groupBy("client")
         .transformWithStateInPandas(
-            statefulProcessor=_Limiter(cap, tie, ttl_ms),
-            outputStructType=f"client string, {tie} long, ts timestamp, allowed boolean",
+            statefulProcessor=_Limiter(cap, tie, lateness is not None),
+            outputStructType=f"client string, {tie} long, ts timestamp, allowed boolean, late boolean",
             outputMode="Append",
-            timeMode="ProcessingTime" if ttl_ms else "None",
+            timeMode="EventTime" if lateness is not None else "None",
         )
     )

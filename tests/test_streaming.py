@@ -226,3 +226,36 @@ def test_rate_limit_stream_equals_batch(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert pairs_of(got, "event_id", "client", "allowed") == verdicts(rows, 5)
+
+
+def run_limiter(spark, tmp_path, batches, cap, lateness):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for rows in batches:
+        files(spark, tmp_path / "in", rows, SCHEMA)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = (
+        limit_stream(source, cap, lateness=lateness).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "window").load(str(tmp_path / "progress"))
+    return pairs_of(spark.read.parquet(str(tmp_path / "out")), "event_id", "client", "allowed", "late"), state.count()
+
+
+def test_state_of_idle_clients_goes_and_late_requests_are_marked(spark, tmp_path):
+    at = lambda i, second, client: (i, T0 + timedelta(seconds=second), client)
+    batches = [
+        [at(0, 0, "a"), at(1, 1, "a"), at(2, 2, "a"), at(3, 5, "b")],
+        [at(4, 400, "c")],
+        [at(5, 401, "c"), at(6, 30, "a"), at(7, 390, "c"), at(8, 395, "b")],
+    ]
+    got, held = run_limiter(spark, tmp_path, batches, 2, "30 seconds")
+    assert [r for r in got if r[3]] == [(6, "a", False, True), (7, "c", False, True)]
+    assert [(r[0], r[2]) for r in got if not r[3]] == [(0, True), (1, True), (2, False), (3, True), (4, True), (5, True), (8, True)]
+    assert held == 2  # c and b; a is idle
+
+
+def test_watermarked_stream_equals_batch_on_ordered_requests(spark, tmp_path):
+    rows = sorted(requests(6, 400), key=lambda r: (r[1], r[0]))
+    got, _ = run_limiter(spark, tmp_path, [rows[i : i + 100] for i in range(0, 400, 100)], 3, "5 seconds")
+    assert [r[:3] for r in got] == verdicts(rows, 3) and not any(r[3] for r in got)
