@@ -2,19 +2,21 @@
 
 Fixed masks read the words at some offsets of a window and ignore the others, so a substituted word spoils
 only the windows that read it. Training windows and benchmark windows join on the hash of the words read;
-at every hit the item is laid over the text and compared word by word, and the item's words found at their
-place over all hits of a document give the overlap. An overlap of `SIMILARITY` of the item is a leak.
+at every hit the item is laid over the text and compared word by word. The share of its words that stand at their
+place is the overlap; the best place of an item in a document counts, and one of `SIMILARITY` or more is a leak.
 The masks meet every placement of the substitutions that leave `SIMILARITY` of an item: a test goes through
 them all from 9 to 17 words, and a longer item is a row of such pieces, one of which has no more than its share.
 An item shorter than a window has masks of its own, which leave out each choice of words that may differ.
 
-The benchmark is the small side: its seeds are counted and broadcast up to a bound, beyond it the join
-shuffles. Training words stay inside one pass over the scan; only verified hits leave it. Long texts are read
+The benchmark is the small side: its seeds are counted and broadcast up to a bound, and training words stay inside
+one pass over the scan. Beyond the bound the join shuffles hashes with the place of their window, and the words join
+what was hit. Only verified hits leave the last pass. Long texts are read
 in overlapping parts, so that what is held for a text full of leaks is bounded. Column functions only.
 
 Defined results: words are runs of letters and digits, lower-cased; null and empty texts match nothing; an
 item of any length is looked for by the same rule, one of up to four words as it stands; items of equal text
-match alike; a repeated row changes nothing; an empty table gives no row.
+match alike; of several texts of one item id the one found best counts; a repeated row changes nothing; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -76,36 +78,43 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id, matched, item_words, similarity) of every leaked item; `mark` adds the hash of the text."""
     items = benchmark.select(benchmark[item_col].alias("item_id"), words_of(benchmark[item_text_col]).alias("item"))
-    items = items.where(F.size("item") > 0).distinct().withColumn("n", F.size("item"))
+    items = items.where(F.size("item") > 0).distinct().withColumn("n", F.size("item")).withColumn("item_key", F.xxhash64("item"))
     item_span = F.least("n", F.lit(WINDOW))
     spans = sorted(r[0] for r in items.select(item_span).distinct().collect()) or [WINDOW]
     item_seeds = _seeds(items, "item", item_span, spans, similarity)
     size = item_seeds.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    seeds = item_seeds.select("seed", "item_id", "n", F.col("at").alias("item_at")).distinct()
-    if size[0] <= BROADCAST_SEEDS:
-        seeds, items = F.broadcast(seeds), F.broadcast(items)
-    keys = [docs[id_col].cast("long").alias("doc_id"), *([F.xxhash64(docs[text_col]).alias("text_hash")] if mark else [])]
-    texts = docs.select(*keys, words_of(docs[text_col]).alias("words"))
-    names = [c for c in texts.columns if c != "words"]
+    seeds = item_seeds.select("seed", "item_id", "item_key", F.col("at").alias("item_at")).distinct()
+    texts = docs.select(
+        docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), words_of(docs[text_col]).alias("words")
+    )
     last = F.greatest(F.size("words") - 1, F.lit(0)) / PART_WORDS
-    parts = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.slice("words", k * PART_WORDS + 1, PART_WORDS + size[1]))
+    pieces = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda k: F.slice("words", k * PART_WORDS + 1, PART_WORDS + size[1]))
+    parts = texts.select("doc_id", "text_hash", F.posexplode(pieces).alias("part", "words"))
     text_span = F.lit(spans[0]) if len(spans) == 1 else F.explode(F.array(*map(F.lit, spans)))
-    hits = _seeds(texts.select(*names, F.explode(parts).alias("words")), "words", text_span, spans, similarity).join(seeds, "seed")
+    windows = _seeds(parts, "words", text_span, spans, similarity)
+    if size[0] <= BROADCAST_SEEDS:
+        hits = windows.join(F.broadcast(seeds), "seed")
+        items = F.broadcast(items)
+    else:
+        places = windows.select("doc_id", "text_hash", "part", "at", "seed").join(seeds, "seed").drop("seed").distinct()
+        own = parts.select(*(F.col(c).alias(f"own_{c}") for c in ("doc_id", "text_hash", "part")), "words").dropDuplicates(
+            ["own_doc_id", "own_text_hash", "own_part"]
+        )
+        same = [places[c].eqNullSafe(own[f"own_{c}"]) for c in ("doc_id", "text_hash", "part")]
+        hits = places.join(own, same)
+    names = ["doc_id", *(["text_hash"] if mark else [])]
     begin = F.col("at") - F.col("item_at")
-    over = F.least(begin, F.lit(0))  # words of the item that hang over the front
-    near = F.slice("words", F.greatest(begin, F.lit(0)) + 1, F.col("n") + over)
-    laid = F.transform("item", lambda w, i: F.when(F.get("near", F.col("over") + i) == w, i))
-    found = (
-        hits.select(*names, "item_id", over.alias("over"), near.alias("near"))
-        .join(items, "item_id")
-        .select(*names, "item_id", F.array_compact(laid).alias("found"), F.col("n").alias("item_words"))
-    )
+    # words of the item that hang over the front have no place in the text
+    stands = F.transform("item", lambda w, i: (begin + i >= 0) & F.coalesce(F.get("words", F.greatest(begin + i, F.lit(0))) == w, F.lit(False)))
+    matched = F.size(F.filter(stands, lambda x: x))
     return (
-        found.groupBy(*names, "item_id", "item_words")
-        .agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).alias("matched"))
+        hits.join(items, ["item_id", "item_key"])
+        .select(*names, "item_id", matched.alias("matched"), F.col("n").alias("item_words"))
         .withColumn("similarity", F.col("matched") / F.col("item_words"))
         .where(F.col("similarity") >= similarity)
-        .select(*names, "item_id", "matched", "item_words", "similarity")
+        .groupBy(*names, "item_id")
+        .agg(F.max(F.struct("similarity", "matched", "item_words")).alias("best"))
+        .select(*names, "item_id", "best.matched", "best.item_words", "best.similarity")
     )
 
 

@@ -102,30 +102,21 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BENCHMARK_LEAKS_SQL = r"""
 WITH items AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS item FROM benchmark
-), kept AS (SELECT DISTINCT * FROM items WHERE len(item) >= 9),
-texts AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS item FROM benchmark
+), item_words AS (
+  SELECT item_id, item, unnest(item) AS word, unnest(range(len(item))) AS place FROM items
+), texts AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
   FROM documents WHERE text IS NOT NULL
-), masks(mask, o) AS (VALUES (0, [0, 1, 2, 5, 8]), (1, [0, 1, 3, 6, 8]), (2, [0, 2, 3, 5, 6])),
-item_seeds AS (
-  SELECT item_id, pos, mask, list_transform(o, lambda x: item[(pos + x + 1)::INTEGER]) AS seed
-  FROM (SELECT item_id, item, unnest(range(len(item) - 8)) AS pos FROM kept), masks
-), text_seeds AS (
-  SELECT doc_id, pos, mask, list_transform(o, lambda x: words[(pos + x + 1)::INTEGER]) AS seed
-  FROM (SELECT doc_id, words, unnest(range(len(words) - 8)) AS pos FROM texts WHERE len(words) >= 9), masks
-), hits AS (
-  SELECT DISTINCT t.doc_id, s.item_id, t.pos - s.pos AS start FROM text_seeds t JOIN item_seeds s USING (mask, seed)
-), matched AS (
-  SELECT DISTINCT h.doc_id, h.item_id, i AS place, len(k.item) AS item_words
-  FROM (SELECT hits.*, unnest(range(len(item))) AS i FROM hits JOIN kept USING (item_id)) h
-  JOIN kept k USING (item_id) JOIN texts x USING (doc_id)
-  WHERE h.start + i >= 0 AND h.start + i < len(x.words)
-    AND x.words[(h.start + i + 1)::INTEGER] = k.item[(i + 1)::INTEGER]
+), text_words AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS place FROM texts
+), laid AS (
+  SELECT doc_id, item_id, len(item) AS n, count(*) AS matched
+  FROM text_words t JOIN item_words i USING (word) GROUP BY doc_id, item_id, item, t.place - i.place
 )
-SELECT doc_id, item_id, count(*)::INTEGER AS matched, item_words::INTEGER AS item_words,
-       count(*)::DOUBLE / item_words AS similarity
-FROM matched GROUP BY doc_id, item_id, item_words HAVING count(*)::DOUBLE / item_words >= 0.8
+SELECT doc_id, item_id, max(matched)::INTEGER AS matched, arg_max(n, matched::DOUBLE / n)::INTEGER AS item_words,
+       max(matched::DOUBLE / n) AS similarity
+FROM laid WHERE matched::DOUBLE / n >= 0.8 GROUP BY doc_id, item_id
 """
 
 

@@ -11,20 +11,18 @@ def words(text):
 
 
 def brute(docs, items):
-    out = set()
+    """The best place of every item, all places tried, without masks."""
+    best = {}
     for d, text in docs:
         own = words(text)
         for item_id, item_text in items:
             item = words(item_text)
-            found = set()
             for begin in range(-len(item), len(own)):
-                places = {i for i, w in enumerate(item) if 0 <= begin + i < len(own) and own[begin + i] == w}
-                windows = range(max(0, -begin), min(len(item), len(own) - begin) - dc.WINDOW + 1)
-                if any(all(i + o in places for o in mask) for mask in dc.MASKS for i in windows):
-                    found |= places
-            if item and len(item) >= dc.WINDOW and len(found) / len(item) >= dc.SIMILARITY:
-                out.add((d, item_id, len(found), len(item), len(found) / len(item)))
-    return out
+                matched = sum(1 for i, w in enumerate(item) if 0 <= begin + i < len(own) and own[begin + i] == w)
+                if item and matched / len(item) >= dc.SIMILARITY:
+                    found = (matched / len(item), matched, len(item))
+                    best[d, item_id] = max(best.get((d, item_id), found), found)
+    return {(d, item_id, matched, n, share) for (d, item_id), (share, matched, n) in best.items()}
 
 
 def bench(spark, items):
@@ -117,3 +115,23 @@ def test_leaks_hold_all_of_plain_overlap(spark):
     want = {r for r in want if r[2] / r[3] >= dc.SIMILARITY}
     got = dc.leaks(frame(spark, [(d, t, None, None) for d, t in docs]), bench(spark, items)).collect()
     assert {tuple(r)[:4] for r in got} == want and len(want) > 200
+
+
+def test_places_and_texts_of_an_item_are_not_added_up(spark):
+    a, b = ("red fox jumps over nine lazy dogs near the old stone bridge at dawn each cold winter day", "two large ships sail past seven green hills under a bright moon while many sailors sing very loud songs")
+    half = " ".join(a.split()[:9]) + " , " + " ".join(b.split()[9:])
+    apart = " ".join(a.split()[:9]) + " one two three four five six seven eight ten " + " ".join(a.split()[9:])
+    docs = [(1, half), (2, apart), (3, f"so {a} end"), (4, " ".join(w if i % 7 else "x" for i, w in enumerate(b.split())))]
+    items = [(8, a), (8, b)]
+    got = {tuple(r) for r in dc.leaks(frame(spark, [(d, t, None, None) for d, t in docs]), bench(spark, items)).collect()}
+    assert got == brute(docs, items) and {r[0] for r in got} == {3, 4}
+
+
+def test_shuffled_rows_carry_no_words(spark, monkeypatch):
+    monkeypatch.setattr(dc, "BROADCAST_SEEDS", 0)
+    docs, items = setting()
+    found = dc.leaks(frame(spark, [(d, t, None, None) for d, t in docs]), bench(spark, items))
+    plan = found._jdf.queryExecution().toString()
+    plan = plan[plan.index("== Physical Plan ==") :].splitlines()
+    by_seed = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(seed" in line]
+    assert by_seed and not any("words" in plan[i + 1] for i in by_seed)
