@@ -37,6 +37,8 @@ LEAF_SAMPLE = 256
 KMEANS_ROUNDS = 8
 CALIBRATION_QUERIES = 96
 TARGET_RECALL = 0.97
+#: Pairs of vectors whose scores are summed at once.
+PAIRS = 1 << 16
 BLOCK_ROWS = 4096
 SHARE_QUERIES = 4096
 
@@ -159,20 +161,28 @@ def nearest_in(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     table = np.full((len(first), min(int(sizes.max()), k + 1)), -1)
     table[which[members[early]], place[early]] = members[early]
     plain = vectors[first]
+    longest = np.sqrt((plain * plain).sum(axis=1).max(initial=0))
     for low in range(0, len(queries), 256):
-        asked = queries[low : low + 256]
+        asked, asking = queries[low : low + 256], q_ids[low : low + 256]
         rough = asked @ plain.T
         top = min(k + 1, rough.shape[1])
-        chosen = np.argpartition(-rough, top - 1, axis=1)[:, :top]
-        exact = np.add.reduce(asked[:, None, :] * plain[chosen], axis=2)
-        at = table[chosen].reshape(len(asked), -1)
-        own = ids[at]
-        score = np.repeat(exact, table.shape[1], axis=1)
-        out = (at < 0) | (own == q_ids[low : low + 256, None])
-        best = np.lexsort((own, np.where(out, np.inf, -score)), axis=-1)[:, :k]
-        kept = ~np.take_along_axis(out, best, 1)
-        asking = np.broadcast_to(q_ids[low : low + 256, None], best.shape)
-        yield asking[kept], np.take_along_axis(own, best, 1)[kept], np.take_along_axis(score, best, 1)[kept]
+        edge = -np.partition(-rough, top - 1, axis=1)[:, top - 1 : top]
+        # the order of summation can change a score by this much; all that may tie with the last one kept stay
+        unsure = np.finfo(float).eps * 4 * plain.shape[1] * longest * np.sqrt((asked * asked).sum(axis=1, keepdims=True))
+        query, chosen = np.nonzero(rough >= edge - unsure)
+        exact = np.concatenate(
+            [np.add.reduce(asked[query[i : i + PAIRS]] * plain[chosen[i : i + PAIRS]], axis=1) for i in range(0, len(query), PAIRS)]
+        )
+        at = table[chosen]
+        pair, member = np.nonzero(at >= 0)
+        own, query, score = ids[at[pair, member]], query[pair], exact[pair]
+        other = own != asking[query]
+        own, query, score = own[other], query[other], score[other]
+        best = np.lexsort((own, -score, query))
+        ordered = query[best]
+        place_of = np.arange(len(best)) - np.searchsorted(ordered, ordered, "left")
+        best = best[place_of < k]
+        yield asking[query[best]], own[best], score[best]
 
 
 FOUND = "query_id long, vec_id long, score double"

@@ -81,3 +81,17 @@ def test_unusable_few_repeated_and_no_vectors(spark):
     assert nn.search(table(spark, bad), F.col("vec_id") % 20 == 0).collect() == []
     assert nn.search(table(spark, [(1, [1, 2])]), F.col("vec_id") % 20 == 0).collect() == []
     assert nn.search(table(spark, [(20, [1, 2])]), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_ties_go_to_smaller_ids():
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(0, 2, (2000, 12)).astype(float)
+    vectors[:, 0] = 1
+    ids = rng.permutation(5000)[:2000].astype(np.int64)
+    queries, q_ids = vectors[:20], ids[:20]
+    found = [np.concatenate(x) for x in zip(*nn.nearest_in(q_ids, queries, ids, vectors, 20))]
+    for q, vector in zip(q_ids, queries):
+        scores = vectors @ vector
+        want = sorted((-s, i) for s, i in zip(scores, ids) if i != q)[:20]
+        mine = found[0] == q
+        assert list(zip(-found[2][mine], found[1][mine])) == want
