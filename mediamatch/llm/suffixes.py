@@ -5,9 +5,9 @@ the same one). Equal windows of that length hold equal minimizers, so all window
 `GRAM`-byte hash they hold: an anchor, with the run of windows that chose it. Runs with equal anchor,
 offset and bytes are repeats of the first of them; that settles whole copies and the inside of passages
 by three numbers for each run. What remains are runs that share an anchor with different bytes around it,
-at the edges of passages. Only their bytes travel: per anchor the windows are sorted as truncated suffixes,
-ties by position, and the longest previous factor of a suffix reaches `LENGTH` exactly if the entry before
-it in suffix order, its previous smaller position, shares that many bytes.
+at the edges of passages. Only their bytes travel: per anchor the windows are sorted as truncated suffixes, the
+previous and the next smaller position in suffix order give the array of longest previous factors, and windows whose
+factor reaches `LENGTH` are repeats.
 
 Runs repeated within a slice of a task are settled before the shuffle, so a passage that a third of all
 documents share is one row per slice. Rows of an anchor are streamed in key order and never held together;
@@ -261,34 +261,41 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length
     return order, shared
 
 
+def _shared_with_smaller(place: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """How many bytes each entry of a suffix order shares with the nearest entry before it of smaller position, given what
+    neighbours share; 0 without one. Entries jump over what the entries that they meet have jumped over already."""
+    n = len(place)
+    before = np.r_[np.arange(-1, n - 1), -1]  # the last is what lies before all: of no position, sharing nothing
+    place, common = np.r_[place, -1], np.r_[shared, 0]
+    if n:
+        common[0] = 0
+    open_entries = np.arange(n)
+    while True:
+        open_entries = open_entries[place[before[open_entries]] > place[open_entries]]
+        if not len(open_entries):
+            return common[:-1]
+        at = before[open_entries]
+        common[open_entries] = np.minimum(common[open_entries], common[at])
+        before[open_entries] = before[at]
+
+
 def longest_previous_factors(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """For each suffix the longest prefix, up to `length`, that a suffix of its group at an earlier place shares.
 
-    In suffix order the candidates are the previous and the next entry of smaller position. Walking down
-    positions from the last, each entry is unlinked after its two neighbours were read.
+    In suffix order the candidates are the previous and the next entry of smaller position.
     """
     order, shared = suffix_order(data, starts, group, length)
-    n = len(order)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    common = [*shared.tolist(), 0]
-    out = np.zeros(n, np.int64)
-    for suffix in np.lexsort([starts])[::-1]:
-        i = int(rank[suffix])
-        out[suffix] = max(common[i], common[after[i]])
-        low, high = before[i], after[i]
-        common[high] = min(common[i], common[high])
-        if low >= 0:
-            after[low] = high
-        if high < n:
-            before[high] = low
+    place = starts[order]
+    earlier = _shared_with_smaller(place, shared)
+    later = _shared_with_smaller(place[::-1], np.r_[shared[1:], 0][::-1] if len(shared) else shared)[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(earlier, later)
     return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Where the longest previous factor reaches `length`: the entry before it in suffix order is, ties being by
-    position, the previous smaller position, and shares all bytes. Windows of unique hash are left out of the sort."""
+    """Where the longest previous factor reaches `length`. Windows whose hash no other window of their group has are left
+    out of the suffix order: they repeat nothing, and nothing repeats them."""
     out = np.zeros(len(starts), bool)
     if not len(starts):
         return out
@@ -296,8 +303,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, le
     mark = _mixed(window[starts] + _mixed(group.astype(np.uint64)))
     _, inverse, counts = np.unique(mark, return_inverse=True, return_counts=True)
     again = np.flatnonzero(counts[inverse] > 1)
-    order, shared = suffix_order(data, starts[again], group[again], length)
-    out[again[order[shared >= length]]] = True
+    out[again[longest_previous_factors(data, starts[again], group[again], length) >= length]] = True
     return out
 
 
@@ -441,7 +447,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = runs.repartition(n, "anchor").sortWithinPartitions("anchor", "run", "key", "span")
     settled = checkpointed(dealt.mapInArrow(partial(_settle, crowded=crowded), RUN_TYPES))
 
-    whole = texts.repartition(n, "key")
+    # No key is null. Saying so gives an inner and a left join the same scan, so that both read one shuffle of the texts.
+    whole = texts.where(F.col("key").isNotNull()).repartition(n, "key")
 
     def around(runs: DataFrame) -> DataFrame:
         wanted = runs.groupBy("key").agg(F.collect_list(F.struct("anchor", "span")).alias("wanted"))
