@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from mediamatch.schema import GROUP_SCHEMA
 from mediamatch.session import file_system
 
+#: Spark's names for files that are no Parquet or have lost their footer.
+_DAMAGED = ("CANNOT_READ_FILE_FOOTER", "CANNOT_MERGE_SCHEMAS", "UNABLE_TO_INFER_SCHEMA")
 STORED_SCHEMA = T.StructType(GROUP_SCHEMA.fields + [T.StructField("scanned_at", T.TimestampType())])
 
 
@@ -38,18 +40,26 @@ def write_groups(groups: DataFrame, path: str, scanned_at: datetime | None = Non
         files.delete(place, True)
 
 
+def _footers_fit(spark: SparkSession, folder: str) -> bool:
+    """Whether the footers of all files in the folder can be read and hold the stored columns; one job over footers."""
+    try:
+        found = spark.read.option("mergeSchema", "true").parquet(folder).schema
+    except (PySparkException, Py4JJavaError) as problem:
+        if any(name in str(problem) for name in _DAMAGED):
+            return False
+        raise
+    return all(f.name in found.names and found[f.name].dataType == f.dataType for f in STORED_SCHEMA.fields)
+
+
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Groups of the newest complete scan; no rows where nothing was stored or what is stored cannot be read."""
-    nothing = spark.createDataFrame([], STORED_SCHEMA)
+    """Groups of the newest complete scan; no rows where nothing was stored or where a file is damaged.
+
+    Only footers are looked at. Any other failure, such as a store that does not answer, is raised.
+    """
     scans = _scans(spark, path)
-    if not scans:
-        return nothing
-    stored = spark.read.schema(STORED_SCHEMA).parquet(scans[-1])
-    try:
-        stored.agg(*[F.max(c) for c in stored.columns]).collect()  # reads every page once
-    except (PySparkException, Py4JJavaError):
-        return nothing
-    return stored
+    if not scans or not _footers_fit(spark, scans[-1]):
+        return spark.createDataFrame([], STORED_SCHEMA)
+    return spark.read.schema(STORED_SCHEMA).parquet(scans[-1])
 
 
 def last_scanned(spark: SparkSession, path: str) -> DataFrame:
