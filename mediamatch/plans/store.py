@@ -72,8 +72,9 @@ class IndexStore:
     def newest(self) -> int:
         return (self.versions() or [0])[-1]
 
-    def recorded(self, batch_id: int, stream: str) -> bool:
-        """Whether this batch of the stream was committed; batches of a stream come in order."""
+    def recorded(self, batch_id: int, stream: str = "") -> bool:
+        """Whether this batch of the stream was committed; batches of a stream come in order. Deltas that name no stream
+        are not remembered once `prune` has removed them."""
         noted = [_DONE.search(path) for path in self._listed(f"done-{stream}-upto-*")]
         upto = [int(m[2]) for m in noted if m and m[1] == stream]
         upto += [v.tag for v in self._committed() if not v.full and v.stream == stream]
