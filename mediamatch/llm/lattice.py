@@ -33,8 +33,6 @@ from mediamatch.llm.frames import filled, held_out, partitions_of
 
 FOLDS = 10
 SMOOTHING = 0.1
-#: Longest piece, in bytes; longer ones are left out of the lattice.
-LONGEST = 16
 ROUNDS = 2
 PIECE_SMOOTHING = 0.01
 #: Distinct words that a task counts before it hands them on.
@@ -50,12 +48,12 @@ LOG10 = float(np.log(10))
 
 @lru_cache(maxsize=2)
 def vocabulary(ranks: str) -> list[bytes]:
-    """Pieces of up to `LONGEST` bytes in the vocabulary's own order."""
+    """All pieces in the vocabulary's own order."""
     import public_tokenizers
 
     with open(public_tokenizers.path(ranks), "rb") as file:
         table = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, file))
-    return [piece for _, piece in table if len(piece) <= LONGEST]
+    return [piece for _, piece in table]
 
 
 def _powers(n: int) -> np.ndarray:
@@ -72,7 +70,7 @@ def _prefix_hashes(letters: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Pieces:
-    """Pieces of each length as sorted hashes with their numbers."""
+    """Pieces of each length, in order of length, as sorted hashes with their numbers."""
 
     hashes: dict[int, np.ndarray]
     numbers: dict[int, np.ndarray]
@@ -81,31 +79,31 @@ class Pieces:
     @staticmethod
     def of(pieces: list[bytes]) -> Pieces:
         hashes, numbers = {}, {}
-        for length in range(1, LONGEST + 1):
-            chosen = [i for i, p in enumerate(pieces) if len(p) == length]
-            if chosen:
-                letters = np.frombuffer(b"".join(pieces[i] for i in chosen), np.uint8).reshape(-1, length)
-                h = _prefix_hashes(letters)[-1]
-                order = np.argsort(h)
-                hashes[length], numbers[length] = h[order], np.array(chosen)[order]
+        lengths = np.array([len(p) for p in pieces])
+        for length in np.unique(lengths).tolist():
+            chosen = np.flatnonzero(lengths == length)
+            letters = np.frombuffer(b"".join(pieces[i] for i in chosen), np.uint8).reshape(-1, length)
+            h = _prefix_hashes(letters)[-1]
+            order = np.argsort(h)
+            hashes[length], numbers[length] = h[order], chosen[order]
         return Pieces(hashes, numbers, len(pieces))
 
 
 def _edges(pieces: Pieces, letters: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, end, rows, piece numbers) of every piece found in equally long words, by end."""
     length = letters.shape[1]
-    prefix, powers = _prefix_hashes(letters), _powers(LONGEST)
+    prefix, powers = _prefix_hashes(letters), _powers(max(pieces.hashes))
     out = []
     for end in range(1, length + 1):
-        for size in range(1, min(LONGEST, end) + 1):
-            if size in pieces.hashes:
-                known = pieces.hashes[size]
-                h = prefix[end] - prefix[end - size] * powers[size]
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                rows = np.flatnonzero(known[at] == h)
-                if len(rows):
-                    out.append((end - size, end, rows, pieces.numbers[size][at[rows]]))
+        for size, known in pieces.hashes.items():
+            if size > end:
+                break
+            h = prefix[end] - prefix[end - size] * powers[size]
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            rows = np.flatnonzero(known[at] == h)
+            if len(rows):
+                out.append((end - size, end, rows, pieces.numbers[size][at[rows]]))
     return out
 
 

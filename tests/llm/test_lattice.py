@@ -22,7 +22,7 @@ def setting():
 def segmentations(text, known):
     if not text:
         yield []
-    for size in range(1, min(len(text), lattice.LONGEST) + 1):
+    for size in range(1, min(len(text), max(map(len, known))) + 1):
         if text[:size] in known:
             for rest in segmentations(text[size:], known):
                 yield [text[:size], *rest]
@@ -31,7 +31,7 @@ def segmentations(text, known):
 def marginal(text, known, weight):
     sums = [0.0]
     for end in range(1, len(text) + 1):
-        terms = [sums[i] + weight[known[text[i:end]]] for i in range(max(0, end - lattice.LONGEST), end) if text[i:end] in known]
+        terms = [sums[i] + weight[known[text[i:end]]] for i in range(max(0, end - max(map(len, known))), end) if text[i:end] in known]
         top = max(terms)
         sums.append(top + math.log(sum(math.exp(t - top) for t in terms)))
     return sums[-1]
@@ -47,6 +47,14 @@ def test_marginal_sums_all_segmentations(setting):
     assert np.allclose(lattice.log_marginals(pieces, weight, WORDS), want, atol=1e-9)
 
 
+def test_pieces_of_any_length_take_part(setting):
+    pieces, weight, known = setting
+    long = [p for p in known if len(p) > 16 and not p.strip().count(b" ") and p.strip() == p.split()[0] if p.split()]
+    assert max(map(len, known)) > 16 and len(long) > 3
+    words = [p.strip() for p in long] + [b"x" + p.strip() + b"y" for p in long]
+    assert np.allclose(lattice.log_marginals(pieces, weight, words), [marginal(b" " + w, known, weight) for w in words], atol=1e-9)
+
+
 def test_expected_counts_are_posterior_means(setting):
     pieces, weight, known = setting
     word = b"station"
