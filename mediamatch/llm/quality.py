@@ -5,9 +5,10 @@ max-pooled over overlapping chunks; a linear layer turns each chunk's pooled res
 mean over all chunks of the document gives one probability. One more input marks bytes whose next eight
 bytes come again a few bytes later, which a filter of this width could not see.
 
-The network is fitted on the driver on at most `SAMPLE_ROWS` labelled rows, one passage of at most
-`SAMPLE_CHARS` characters each, chosen by hashes of ids. Scoring reads whole texts in a narrow map; the
-convolution is a sum of table rows, one table for each place of the filter.
+The network is fitted on the driver on at most `SAMPLE_ROWS` labelled rows, chosen by hashes of ids. Their whole
+texts are cut into chunks on the executors; `SAMPLE_CHUNKS` of them, drawn evenly from the whole text, stand
+for a longer one, as the steps of the fit draw no more from it. Scoring reads whole texts in a narrow map;
+the convolution is a sum of table rows, one table for each place of the filter.
 
 Defined results: a null or empty text scores the share of good rows in the sample, 0.5 without a sample; a
 document with several labels counts as its lowest; null labels and labels of unknown documents are ignored;
@@ -24,17 +25,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from mediamatch.llm.frames import held_out, text_slices
+from mediamatch.llm.frames import filled, held_out, text_slices
 
 FOLDS = 5
 THRESHOLD = 0.3
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 2000
+#: Chunks of one labelled text that reach the driver. All steps together draw about 22 from each of `SAMPLE_ROWS` texts.
+SAMPLE_CHUNKS = 32
 WIDTH = 5
 FILTERS = 16
 DEPTH = 6
 #: Chunks are two blocks long and start at every block.
 BLOCK = 128
+#: Bytes that the filters of one chunk read.
+CHUNK = 2 * BLOCK + WIDTH - 1
 LAGS = range(3, 17)
 #: Bytes after a text that belong to no other, so that its score depends on nothing else.
 GAP = 32
@@ -122,8 +126,25 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def chunks_of(text: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, repeat marks) of at most `SAMPLE_CHUNKS` chunks of the whole text, a row for each."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    laid, edges, _ = laid_out(data, np.array([0, len(data)]))
+    n = max(int(edges[-1]) - 1, 0)
+    chosen = np.arange(n)
+    if n > SAMPLE_CHUNKS:
+        chosen = np.sort(np.random.default_rng(seed & (2**63 - 1)).choice(n, SAMPLE_CHUNKS, replace=False))
+    at = chosen[:, None] * BLOCK + np.arange(CHUNK)
+    return laid[at], repeated_marks(laid, edges)[at].astype(np.uint8) if n else np.zeros((0, CHUNK), np.uint8)
+
+
 def fit(texts: list[str], labels: np.ndarray) -> Network:
-    """Train on passages and their 0/1 labels."""
+    """Train on whole texts and their 0/1 labels."""
+    return train([chunks_of(t, i) for i, t in enumerate(texts)], labels)
+
+
+def train(chunks: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Network:
+    """Train on the chunks of each text and the texts' 0/1 labels."""
     rng = np.random.default_rng(11)
     share = float(labels.mean()) if len(labels) else 0.5
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -134,27 +155,19 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     out = np.zeros(FILTERS, np.float32)
     out_bias = np.array([prior], np.float32)
     params = [byte, weight, repeats, bias, out, out_bias]
-    encoded = [t.encode() for t in texts]
-    data = np.frombuffer(b"".join(encoded), np.uint8)
-    laid, edges, _ = laid_out(data, np.cumsum(np.r_[0, [len(t) for t in encoded]]).astype(np.int64))
-    blocks = np.diff(edges)
-    owner = np.repeat(np.arange(len(encoded)), np.maximum(blocks - 1, 0))
-    starts = np.concatenate([np.arange(e, e + b - 1) for e, b in zip(edges, blocks) if b] or [np.zeros(0, int)])
-    if not len(starts) or share in (0.0, 1.0):
+    owner = np.repeat(np.arange(len(chunks)), [len(x) for x, _ in chunks])
+    if not len(owner) or share in (0.0, 1.0):
         return Network(np.zeros((WIDTH, 256, FILTERS), np.float32), repeats * 0, bias, out, prior, prior)
-    marks = repeated_marks(laid, edges)
-    laid, marks = np.r_[laid, np.zeros(2 * BLOCK, np.uint8)], np.r_[marks, np.zeros(2 * BLOCK, np.float32)]
+    data, marks = (np.concatenate([c[i] for c in chunks]) for i in (0, 1))
     target = labels[owner].astype(np.float32)
     per_text = np.bincount(owner)[owner]
     odds = 1 / per_text / np.where(target > 0, share, 1 - share)
     odds /= odds.sum()
     importance = np.where(target > 0, share, 1 - share).astype(np.float32) * 2
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    span = np.arange(2 * BLOCK + WIDTH - 1)
     for step in range(1, STEPS + 1):
-        chosen = rng.choice(len(starts), BATCH, p=odds)
-        at = starts[chosen, None] * BLOCK + span
-        x, m = laid[at], marks[at]
+        chosen = rng.choice(len(owner), BATCH, p=odds)
+        x, m = data[chosen], marks[chosen].astype(np.float32)
         tables = np.einsum("bd,kdf->kbf", byte, weight)
         z = np.zeros((BATCH, 2 * BLOCK, FILTERS), np.float32) + bias
         for k in range(WIDTH):
@@ -188,23 +201,32 @@ def fit(texts: list[str], labels: np.ndarray) -> Network:
     return Network(tables, repeats, bias, out, float(out_bias[0]), prior)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int) -> tuple[list[str], np.ndarray]:
-    """At most `SAMPLE_ROWS` passages of labelled rows that are not held out, and their labels."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int) -> tuple[list, np.ndarray]:
+    """Chunks of at most `SAMPLE_ROWS` labelled rows that are not held out, and the rows' labels."""
     ids = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_label"))
     ids = ids.where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out("_id", folds))
     ids = ids.groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    room = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
-    passage = F.substring(F.col(text_col), F.pmod(F.xxhash64("_id"), room).cast("int") + 1, F.lit(SAMPLE_CHARS))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [chunks_of(t.as_py(), i) for i, t in zip(batch.column(0).to_pylist(), filled(batch.column(2)))]
+            both = [pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *both], names=["id", "label", "data", "marks"])
+
     rows = (
-        docs.select(docs[id_col].cast("long").alias("_doc"), docs[text_col])
+        docs.select(docs[id_col].cast("long").alias("_doc"), docs[text_col].alias("_text"))
         .join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-        .where(F.length(text_col) > 0)
-        .groupBy("_id", "_label")
-        .agg(F.min(passage).alias("passage"))
-        .orderBy("_id")
-        .toPandas()
+        .where(F.length("_text") > 0)
+        .select("_id", "_label", "_text")
+        .mapInArrow(cut, "id long, label int, data binary, marks binary")
+        .groupBy("id", "label")
+        .agg(F.min(F.struct("data", "marks")).alias("chunks"))
+        .orderBy("id")
+        .select("label", "chunks.*")
+        .collect()
     )
-    return rows["passage"].tolist(), rows["_label"].to_numpy(int)
+    shaped = lambda raw: np.frombuffer(raw, np.uint8).reshape(-1, CHUNK)
+    return [(shaped(r["data"]), shaped(r["marks"])) for r in rows], np.array([r["label"] for r in rows], int)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -232,5 +254,5 @@ def classify(
     folds: int = FOLDS,
 ) -> DataFrame:
     """Train on a bounded sample of labelled rows and score all rows."""
-    net = fit(*sample(docs, labels, id_col, text_col, label_col, folds))
+    net = train(*sample(docs, labels, id_col, text_col, label_col, folds))
     return score(docs, net, id_col, text_col, folds).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
