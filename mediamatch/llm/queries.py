@@ -32,8 +32,9 @@ def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(n("kind", kind) for kind in BASE_KINDS),
         F.sha2(base_text, 256).alias("base_sha256"),
         F.array_join(text, ",").alias("spans"),
-        *(n("verdict", verdict) for verdict in ("live", "example", "weak")),
+        *(n("verdict", verdict) for verdict in ("live", "shared", "example", "weak")),
         F.coalesce(F.array_max(F.col("spans.owners")), F.lit(0)).alias("most_owners"),
+        F.coalesce(F.array_max(F.col("spans.repos")), F.lit(0)).alias("most_repos"),
     )
 
 

@@ -1,9 +1,12 @@
 """Secret scan judged by corpus-wide ownership.
 
 Patterns find candidate values in whole texts. The values travel as digests only: each is aggregated over
-the corpus by distinct owners and distinct repositories. A value that several owners carry is an example
-that was copied around; a value that stays with one or two owners and looks random is a live credential.
-Long mixed runs that no base pattern covers are reported only if they are of the second kind.
+the corpus by distinct owners and distinct repositories. A value is widely held if it stands with at least
+`widely_from` owners and as many repositories; that bound grows with the logarithm of the corpus' owners.
+
+Verdicts: `example`, widely held, and made of words or too plain to be a credential; `shared`, widely held
+but random, which may well be a key that leaked to several owners; `live`, looks like a credential and is
+not widely held; `weak`, all others. Long mixed runs that no base pattern covers are reported only if live.
 
 Digests are pre-aggregated to distinct (value, owner) and (value, repository) before they meet, so a value
 in a third of all rows is one row per owner after the first stage; the way back is a join that adaptive
@@ -23,15 +26,17 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mediamatch.llm.frames import filled, unused
 from mediamatch.session import checkpointed
 
 #: Order of kinds at equal starts.
 KINDS = ("assign", "access", "hex", "hosted", "signed", "opaque")
-#: A value with this many owners is an example.
+#: Least owners and repositories of a widely held value.
 EXAMPLE_OWNERS = 3
+#: Share of a value's characters that stand in small-letter runs of four or more, from which it is made of words.
+WORDY = 0.3
 LIVE_ENTROPY = 3.0
 LIVE_LENGTH = 16
 OPAQUE_ENTROPY = 4.0
@@ -45,7 +50,8 @@ LONG_RUN = re.compile("[A-Za-z0-9+/_=-]{24,}")
 HOSTED_HINTS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "glpat-")
 HOSTED = re.compile("(?:gh[pousr]_|sk-|xox[abprs]-|glpat-)[A-Za-z0-9_-]{20,}", re.ASCII)
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
-SPAN = "array<struct<kind:string,start:int,stop:int,digest:string,looks_live:boolean>>"
+SMALL_RUN = re.compile("[a-z]{4,}")
+SPAN = "array<struct<kind:string,start:int,stop:int,digest:string,looks_live:boolean,wordy:boolean>>"
 
 
 def entropy(value: str) -> float:
@@ -57,6 +63,10 @@ def looks_live(value: str) -> bool:
     return len(value) >= LIVE_LENGTH and any(c.isdigit() for c in value) and entropy(value) >= LIVE_ENTROPY
 
 
+def wordy(value: str) -> bool:
+    return sum(len(run) for run in SMALL_RUN.findall(value)) >= WORDY * len(value)
+
+
 class Cover:
     """What stretches of a text a list of spans covers, merged, so that a text full of spans is asked quickly."""
 
@@ -107,13 +117,13 @@ def digest(value: str) -> str:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(
         pa.struct(
-            [("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.string()), ("looks_live", pa.bool_())]
+            [("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("digest", pa.string()), ("looks_live", pa.bool_()), ("wordy", pa.bool_())]
         )
     )
     for batch in batches:
         spans = [
             [
-                {"kind": k, "start": a, "stop": b, "digest": digest(value), "looks_live": looks_live(value)}
+                {"kind": k, "start": a, "stop": b, "digest": digest(value), "looks_live": looks_live(value), "wordy": wordy(value)}
                 for k, a, b, value in candidates(text.as_py())
             ]
             for text in filled(batch.column(3))
@@ -142,6 +152,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.join(repos, "digest")
 
 
+def widely_from(docs: DataFrame, owner_col: str = "source", least: int = EXAMPLE_OWNERS) -> int:
+    """Owners, and repositories, that make a value widely held in this corpus: the base-2 logarithm of all its owners,
+    `least` at least. A value of chance copies meets more owners in a corpus that has more of them."""
+    owners = docs.agg(F.count_distinct(docs[owner_col].cast("string"))).first()[0]
+    return max(least, math.ceil(math.log2(owners or 1)))
+
+
+def _verdict(widely: int) -> Column:
+    held = (F.col("owners") >= widely) & (F.col("repos") >= widely)
+    plain = ~F.col("looks_live") | F.col("wordy")
+    return (
+        F.when(held & plain, "example").when(held, "shared").when(F.col("looks_live"), "live").otherwise("weak").alias("verdict")
+    )
+
+
 def scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -153,9 +178,7 @@ def scan(
     """One row per document: id and spans (kind, start, stop, digest, owners, repos, verdict) in text order."""
     found = checkpointed(find(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()))
     spans = found.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    verdict = (
-        F.when(F.col("owners") >= example_owners, "example").when(F.col("looks_live"), "live").otherwise("weak").alias("verdict")
-    )
+    verdict = _verdict(widely_from(docs, owner_col, example_owners))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("rank")
     judged = spans.join(ownership(found), "digest").select("row", "start", rank, "stop", "kind", "digest", "owners", "repos", verdict)
     judged = judged.where((F.col("kind") != "opaque") | (F.col("verdict") == "live"))
@@ -170,10 +193,15 @@ def scan(
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """The same rows and columns, with every secret but widely copied examples replaced by its kind in angle brackets."""
+    """The same rows and columns, with every secret but widely copied examples replaced by its kind in angle brackets.
+
+    Random values are masked however many owners share them, but for long runs that no pattern names."""
     found = checkpointed(find(docs, id_col, text_col, owner_col, repo_col).where(F.size("spans") > 0))
-    widely = ownership(found).where(F.col("owners") >= EXAMPLE_OWNERS).select("digest")
-    copied = found.select("doc_id", F.explode("spans.digest").alias("digest")).distinct().join(widely, "digest", "left_semi")
+    widely = widely_from(docs, owner_col)
+    held = ownership(found).where((F.col("owners") >= widely) & (F.col("repos") >= widely))
+    spans = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.digest", "s.kind", "s.looks_live", "s.wordy")
+    spared = spans.where(~F.col("looks_live") | F.col("wordy") | (F.col("kind") == "opaque")).select("doc_id", "digest").distinct()
+    copied = spared.join(held.select("digest"), "digest", "left_semi")
     own_id, examples = unused(docs, "example_id"), unused(docs, "examples")
     per_doc = copied.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("digest").alias(examples))
     columns, kinds = docs.columns, docs.dtypes

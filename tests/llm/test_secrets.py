@@ -42,6 +42,28 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert [s["verdict"] for s in got[200]] == ["weak"]
 
 
+def test_random_values_are_masked_however_widely_they_are_held(spark):
+    key, words = "q7Rt2LmX9vBz4KpWc8NdJ3hY", "Ex4mple-copied-around-99"
+    rows = [(i, f"password={key} then token={words} end", "en", f"s{i}") for i in range(4)]
+    got = secrets.scan(frame(spark, rows)).collect()
+    assert {tuple((s["verdict"], s["owners"], s["repos"]) for s in r["spans"]) for r in got} == {(("shared", 4, 4), ("example", 4, 4))}
+    assert {r["text"] for r in secrets.redact(frame(spark, rows)).collect()} == {f"<assign> then token={words} end"}
+
+
+def test_widely_held_grows_with_the_owners_of_the_corpus(spark):
+    value = "password=Ex4mple-copied-around-99"
+    rows = [(i, value if i < 5 else "plain", "en", f"s{i}") for i in range(100)]
+    assert [secrets.widely_from(frame(spark, rows[:n])) for n in (0, 1, 8, 9, 100)] == [3, 3, 3, 4, 7]
+    assert {s["verdict"] for r in secrets.scan(frame(spark, rows)).collect() for s in r["spans"]} == {"live"}
+    assert {s["verdict"] for r in secrets.scan(frame(spark, rows[:8])).collect() for s in r["spans"]} == {"example"}
+
+
+def test_widely_held_asks_for_repositories_too(spark):
+    rows = [(7, "password=Ex4mple-copied-around-99", "en", f"s{i}") for i in range(5)]
+    spans = [s for r in secrets.scan(frame(spark, rows)).collect() for s in r["spans"]]
+    assert {(s["verdict"], s["owners"], s["repos"]) for s in spans} == {("live", 5, 1)}
+
+
 def test_rare_runs_are_added_and_common_ones_are_not(spark):
     rare, common = "q7Rt2LmX9vBz4KpWc8NdJ3hY", "Zx81Qw72Er63Ty54Ui45Op36As"
     rows = [(1, f"here {rare} end", "en", "s1")] + [(10 + i, f"here {common} end", "en", f"s{i}") for i in range(4)]
