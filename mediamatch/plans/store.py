@@ -156,6 +156,19 @@ class IndexStore:
         place = next(v.path for v in self._committed() if v.number == version and not v.full)
         return self.spark.read.schema(DELTA_SCHEMA).parquet(place).where(~F.col("deleted")).drop("deleted", "seq", "change")
 
+    def since(self, seen: int, upto: int) -> DataFrame:
+        """Rows written after version `seen`, up to `upto`: those of the deltas, and of the last full version if it is newer."""
+        known = [v for v in self._committed() if v.number <= upto]
+        fulls = [v for v in known if v.full and v.number > seen]
+        base = fulls[-1] if fulls else None
+        deltas = [v.path for v in known if not v.full and v.number > (base.tag if base else seen)]
+        out = self.spark.createDataFrame([], INDEX_SCHEMA)
+        for schema, paths in ((ROW_SCHEMA, [base.path] if base else []), (DELTA_SCHEMA, deltas)):
+            if paths:
+                rows = self.spark.read.schema(schema).parquet(*paths).where(~F.col("deleted"))
+                out = out.unionByName(rows.select(*INDEX_SCHEMA.names))
+        return out
+
     def compact(self, forget_before=None) -> int:
         """Fold the deltas into a new full version; tombstones older than `forget_before` go."""
         after = self.newest()
