@@ -87,6 +87,10 @@ class BandIndex:
         )
         self.spark.catalog.refreshTable(self.table)
 
+    def forget(self) -> None:
+        """Take the name out of the session's catalog; the folder stays."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from mediamatch.operators.search import hydrate, public_only, search
+from mediamatch.plans.bands import BandIndex
 from mediamatch.schema import SEARCH_LIMIT_DEFAULT, WIDGET_LIMIT_DEFAULT, WIDGET_LIMIT_MAX, Settings, clamp
 
 
@@ -15,9 +16,14 @@ def reverse_search(
     settings: Settings = Settings(),
     limit: int = SEARCH_LIMIT_DEFAULT,
     lossless: bool = False,
+    bands: BandIndex | None = None,
 ) -> DataFrame:
-    """(probe_id, rank, attachment_id, score, title, url) for every probe."""
-    return hydrate(search(probes, index, settings, limit, lossless=lossless), media)
+    """(probe_id, rank, attachment_id, score, title, url) for every probe.
+
+    With `bands`, which must hold the hashes of the index, the index emits no keys.
+    """
+    near = bands.near if bands else None
+    return hydrate(search(probes, index, settings, limit, lossless=lossless, near=near), media)
 
 
 def public_search(
