@@ -7,6 +7,7 @@ from mediamatch.catalog.registry import query
 from mediamatch.functions.hashes import hamming_hex
 from mediamatch.operators import features as feat
 from mediamatch.plans.indexing import index_images
+from mediamatch.plans.probes import intake
 from mediamatch.schema import ALLOWED_MIME, Settings
 from mediamatch.sources.images import admit_probes
 
@@ -156,6 +157,17 @@ def probe_admission(spark, sf_dir):
     return admit_probes(probes).select("attachment_id", "file_hash", "reject_reason")
 
 
+@query(
+    "probe_intake",
+    "I9 S8 S2",
+    f"""WITH {t.MEDIA_SQL}, {t.PHASH_SQL}
+        SELECT attachment_id, CASE WHEN NOT ok THEN 'unsupported_mime' END AS reject_reason, CASE WHEN ok THEN phash END AS phash
+        FROM (SELECT *, mime_type IN ({", ".join(f"'{m}'" for m in ALLOWED_MIME)}) AS ok FROM media) JOIN hashed USING (attachment_id)""",
+)
+def probe_intake(spark, sf_dir):
+    return intake(t.images(spark, sf_dir), processors=(feat.PHASH,)).select("attachment_id", "reject_reason", "phash")
+
+
 @query(
     "index_from_images",
     "C7 S2 F12",

@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 from mediamatch.catalog import tables as t
 from mediamatch.catalog.registry import query
 from mediamatch.operators import index as ix
-from mediamatch.plans.indexing import index_images, reindex
+from mediamatch.plans.indexing import index_batch, index_images, reindex
 from mediamatch.plans.store import IndexStore
-from mediamatch.schema import ALLOWED_MIME
+from mediamatch.schema import ALLOWED_MIME, Settings
 from mediamatch.session import checkpointed, scratch_folder, ship_package
 from mediamatch.sources.text_images import text_as_image
 
@@ -368,6 +368,38 @@ def reindex_remaining(spark, sf_dir):
         return checkpointed(reindex(store, t.images(spark, sf_dir)))
 
 
+_WAITING_SQL = """waiting AS (
+  SELECT attachment_id, row_number() OVER (ORDER BY attachment_id) AS n FROM media ANTI JOIN membership USING (attachment_id)
+  WHERE post_type = 'attachment' AND mime_type IN ('image/jpeg', 'image/png'))"""
+
+
+@query(
+    "index_batches",
+    "T3 A13 J3 C7",
+    f"""WITH {t.MEDIA_SQL}, {t.MEMBERSHIP_SQL}, {_WAITING_SQL}, batch AS (
+          SELECT b.range AS batch, (SELECT count(*) FROM waiting) AS waiting FROM range(3) b)
+        SELECT batch, greatest(0, least(25, waiting - 25 * batch)) AS done, greatest(0, least(25, waiting - 25 * batch)) AS succeeded,
+               greatest(0, waiting - 25 * (batch + 1)) AS remaining,
+               (SELECT max(attachment_id) FROM waiting WHERE n <= 25 * (batch + 1)) AS last_id
+        FROM batch""",
+)
+def index_batches(spark, sf_dir):
+    """Three bounded batches of the backlog, each behind the one before."""
+    images = t.images(spark, sf_dir)
+    before = base_index(spark, sf_dir).select(ix.KEY)
+    out = None
+    with scratch_folder(spark, "index") as place:
+        store = IndexStore(spark, place)
+        store.write(base_index(spark, sf_dir))
+        for batch in range(3):
+            counted = index_batch(store, images, Settings(batch_size=25))
+            last = store.read().join(before, ix.KEY, "left_anti").agg(F.max(ix.KEY).alias("last_id")).first()["last_id"]
+            number = F.lit(batch).cast("long").alias("batch")
+            row = checkpointed(counted.select(number, "done", "succeeded", "remaining", F.lit(last).cast("long").alias("last_id")))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "reindex_everything",
     "C14 C11 C7",

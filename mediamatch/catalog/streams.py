@@ -1,13 +1,15 @@
 """Streaming operators run to the end of the given tables."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from mediamatch.catalog import index as cx
 from mediamatch.catalog import tables as t
 from mediamatch.catalog.registry import query
 from mediamatch.plans.store import IndexStore
+from mediamatch.schema import UNFINGERPRINTABLE
 from mediamatch.session import checkpointed, scratch_folder, ship_package
-from mediamatch.streaming.changes import ChangeStream
+from mediamatch.streaming.changes import ChangeStream, Stalled
 from mediamatch.streaming.rate_limit import limit_requests, limit_stream
 
 CAP = 2
@@ -44,12 +46,16 @@ _SLICE_SQL = f"""least({SLICES - 1}, floor({SLICES} * (epoch_us(ts) - (SELECT mi
 FILE_ROWS = 250_000
 
 
+def _slice(micros, low, high):
+    return F.least(F.lit(SLICES - 1), F.floor(SLICES * (micros - low).cast("double") / (high - low + 1)))
+
+
 def _event_stream(spark, sf_dir, place, order=range(SLICES), events=None):
     """The events as a stream of a micro-batch for each slice of time, in this order."""
     events = t.table(spark, sf_dir, "events") if events is None else events
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(micros), F.max(micros)).first()
-    part = F.least(F.lit(SLICES - 1), F.floor(SLICES * (micros - low).cast("double") / (high - low + 1)))
+    part = _slice(micros, low, high)
     sizes = {r["part"]: r["count"] for r in events.groupBy(part.cast("int").alias("part")).count().collect()}
     files = max(2, -(-max(sizes.values()) // FILE_ROWS))
     for number in order:
@@ -125,7 +131,51 @@ def change_stream(spark, sf_dir):
 )
 def change_stream_progress(spark, sf_dir):
     with scratch_folder(spark, "changes") as place:
-        return checkpointed(_applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir)).progress().drop("stream"))
+        return checkpointed(_applied_stream(spark, sf_dir, place, cx.build_facts(spark, sf_dir)).progress().drop("stream", "stalled"))
+
+
+#: The slice of time in which no upload can be indexed.
+OUTAGE = 1
+
+
+@query(
+    "change_stream_stalled",
+    "T4 T3 T6 A13",
+    f"""WITH {cx.BASE_SQL}, {cx.CHANGES_SQL}, {_SLICED_SQL}, seen AS (
+          SELECT *, lag(action) OVER (PARTITION BY attachment_id ORDER BY batch) AS before FROM last_of_batch
+        ), applied AS (
+          SELECT b.range AS batch_id, count(*) FILTER (action = 'upload') AS done,
+                 count(*) FILTER (action = 'upload' AND lang <> 'es' AND batch <> {OUTAGE}) AS succeeded,
+                 count(*) FILTER (action = 'delete' AND (before = 'upload' OR
+                   (before IS NULL AND attachment_id IN (SELECT attachment_id FROM base)))) AS deleted
+          FROM range({SLICES}) b LEFT JOIN seen ON batch = b.range LEFT JOIN documents ON doc_id = attachment_id GROUP BY 1)
+        SELECT *, done > 0 AND succeeded = 0 AS stalled FROM applied
+        WHERE batch_id <= coalesce((SELECT min(batch_id) FROM applied WHERE done > 0 AND succeeded = 0), {SLICES})""",
+)
+def change_stream_stalled(spark, sf_dir):
+    """A stream that meets a slice without any success: it stops there, behind its record of the failures."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = t.table(spark, sf_dir, "events").agg(F.min(micros), F.max(micros)).first()
+    facts = cx.build_facts(spark, sf_dir)
+
+    def build(uploads):
+        out = _slice(F.unix_micros("indexed_at"), low, high) == OUTAGE
+        built = facts(uploads)
+        return built.withColumns(
+            {
+                "error_code": F.when(out, UNFINGERPRINTABLE).otherwise(F.col("error_code")),
+                **{c: F.when(~out, F.col(c)).otherwise(F.lit("")) for c in ("phash", "file_hash")},
+            }
+        )
+
+    with scratch_folder(spark, "changes") as place:
+        try:
+            stream = _applied_stream(spark, sf_dir, place, build)
+        except StreamingQueryException as stopped:
+            if Stalled.__name__ not in str(stopped):
+                raise
+            stream = ChangeStream(IndexStore(spark, f"{place}/index"), build, f"{place}/stats")
+        return checkpointed(stream.progress().drop("stream"))
 
 
 @query(

@@ -46,13 +46,10 @@ def failed(index: DataFrame) -> DataFrame:
     return index.where(F.col("error_code") != "")
 
 
-def comparison_rows(index: DataFrame) -> DataFrame:
-    """Everything a comparison reads, newest first."""
-    return (
-        indexed(index)
-        .select(KEY, "phash", "color_vector", "edge_vector", "indexed_at")
-        .orderBy(F.desc("indexed_at"), F.asc(KEY))
-    )
+def comparison_rows(index: DataFrame, newest_first: bool = True) -> DataFrame:
+    """Everything a comparison reads; without the order, which sorts all vectors, it is a narrow scan."""
+    rows = indexed(index).select(KEY, "phash", "color_vector", "edge_vector", "indexed_at")
+    return rows.orderBy(F.desc("indexed_at"), F.asc(KEY)) if newest_first else rows
 
 
 def duplicate_rows(index: DataFrame) -> DataFrame:
@@ -121,16 +118,20 @@ def latest_per_key(changes: DataFrame, key: str = KEY, order: Sequence[str] = ("
     return changes.groupBy(key).agg(newest.alias("last")).select("last.*")
 
 
-def upsert(index: DataFrame, changes: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def upsert(
+    index: DataFrame, changes: DataFrame, columns: Sequence[str] | None = None, order: Sequence[str] = ("indexed_at", "ts", "seq")
+) -> DataFrame:
     """Merge `changes` into the index, overwriting only `columns` of existing rows.
 
-    Of several changes of one key the greatest row, column by column, counts. Default columns are those
+    Of several changes of one key the last by `order` counts, as far as `changes` has these columns; of those that are
+    equal in it the greatest row. Default columns are those
     that `changes` has. New keys become new rows with defaults for the
     rest. When the changes are small Spark broadcasts them and the index is not shuffled: matching
     keys are taken from a key-only scan of the index, and the rest are inserted.
     """
     rest = [c for c in changes.columns if c != KEY]
-    changes = changes.groupBy(KEY).agg(F.max(F.struct(*rest)).alias("row")).select(KEY, "row.*")
+    rank = [*(c for c in order if c in rest), *rest]
+    changes = changes.groupBy(KEY).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("row")).select(KEY, "row.*")
     supplied = [c for c in (columns or changes.columns) if c != KEY]
     incoming = changes.select(KEY, *[F.col(c).alias("new_" + c) for c in supplied], F.lit(True).alias("changed"))
     merged = index.join(incoming, KEY, "left")

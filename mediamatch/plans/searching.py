@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mediamatch.operators.features import DEFAULT_PROCESSORS
 from mediamatch.operators.search import hydrate, public_only, search
 from mediamatch.plans.bands import BandIndex
+from mediamatch.plans.probes import intake
 from mediamatch.schema import SEARCH_LIMIT_DEFAULT, WIDGET_LIMIT_DEFAULT, WIDGET_LIMIT_MAX, Settings, clamp
+from mediamatch.session import checkpointed
 
 
 def reverse_search(
@@ -34,12 +37,17 @@ def public_search(
     settings: Settings = Settings(),
     limit: int = SEARCH_LIMIT_DEFAULT,
     filter_first: bool = False,
+    signed_in: bool = False,
 ) -> DataFrame:
     """Public form of the search, scores rounded to 4 places.
 
+    Where the settings open the search to signed-in visitors only, any other is refused with `PermissionError`.
+
     The limit is taken before hidden results are removed, so fewer than `limit` may remain;
     `filter_first` removes them before ranking instead.
     """
+    if settings.search_visibility == "logged_in" and not signed_in:
+        raise PermissionError("the search is open to signed-in visitors only")
     if filter_first:
         ranked = search(probes, index, settings, limit, keep=lambda found: public_only(found, media, posts))
     else:
@@ -47,5 +55,17 @@ def public_search(
     return hydrate(ranked, media).withColumn("score", F.round("score", 4))
 
 
+def search_uploads(
+    uploads: DataFrame, index: DataFrame, media: DataFrame, settings: Settings = Settings(), limit: int = SEARCH_LIMIT_DEFAULT, **choices
+) -> DataFrame:
+    """`reverse_search` for uploaded images (probe_id and what `intake` reads): refused and unreadable ones find nothing.
+
+    Fingerprints of the probes are written once, as the search reads them several times.
+    """
+    features = ["probe_id", *(p.name for p in DEFAULT_PROCESSORS)]
+    probes = checkpointed(intake(uploads, settings).where(F.col("reject_reason").isNull()).select(*features))
+    return reverse_search(probes, index, media, settings, limit, **choices)
+
+
 def widget_limit(asked: int | None = None) -> int:
     return clamp(WIDGET_LIMIT_DEFAULT if asked is None else asked, 1, WIDGET_LIMIT_MAX)

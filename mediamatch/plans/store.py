@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from mediamatch.operators.index import KEY, conform
-from mediamatch.schema import INDEX_SCHEMA
+from mediamatch.schema import INDEX_SCHEMA, Settings
 from mediamatch.session import file_system
 
 _NAME = re.compile(r"(full|delta)-(\d+)-(?:after|batch)-(-?\d+)(?:-of-([\w.-]+))?$")
@@ -205,7 +205,18 @@ class IndexStore:
         self.write(self.spark.createDataFrame([], INDEX_SCHEMA))
         return removed
 
+    def drop(self) -> bool:
+        """Remove all versions and the record of the streams; whether there was anything."""
+        files, path = file_system(self.spark, self.root)
+        self._seen = None
+        return files.delete(path, True)
+
     def counts(self) -> DataFrame:
         return self.read().agg(
             F.count_if(F.col("error_code") == "").alias("indexed"), F.count_if(F.col("error_code") != "").alias("failed")
         )
+
+
+def uninstall(store: IndexStore, settings: Settings = Settings()) -> bool:
+    """Remove the index where the settings ask for it (`drop_on_uninstall`); whether it was removed."""
+    return settings.drop_on_uninstall and store.drop()

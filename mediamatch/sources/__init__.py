@@ -1,4 +1,4 @@
-from mediamatch.sources.images import admit_probes, file_facts, library_images, read_images
+from mediamatch.sources.images import admit_probes, file_facts, read_images
 from mediamatch.sources.results import read_groups, last_scanned, write_groups
 from mediamatch.sources.text_images import text_as_image
 
@@ -6,7 +6,6 @@ __all__ = [
     "admit_probes",
     "file_facts",
     "last_scanned",
-    "library_images",
     "read_groups",
     "read_images",
     "text_as_image",

@@ -45,12 +45,6 @@ def file_facts(spark: SparkSession, path: str, glob: str | None = None) -> DataF
     )
 
 
-def library_images(media: DataFrame, images: DataFrame) -> DataFrame:
-    """Attach attachment ids to image rows by path. Join after fingerprinting, so no pixels move."""
-    paths = media.select("attachment_id", _same_path(F.col("path")).alias("path"))
-    return images.join(paths, "path")
-
-
 def admit_probes(
     probes: DataFrame,
     size: str = "file_size",

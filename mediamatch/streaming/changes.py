@@ -101,5 +101,6 @@ class ChangeStream:
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
     def progress(self) -> DataFrame:
-        """One row per applied batch of each stream."""
-        return self.store.spark.read.parquet(self.stats_path).select("stream", "batch_id", "done", "succeeded", "deleted")
+        """One row per applied batch of each stream; `stalled` marks those that stopped it."""
+        counts = self.store.spark.read.parquet(self.stats_path).select("stream", "batch_id", "done", "succeeded", "deleted")
+        return counts.withColumn("stalled", (F.col("done") > 0) & (F.col("succeeded") == 0))

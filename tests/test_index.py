@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from mediamatch.operators import index as ix
 from mediamatch.operators import relational as rel
-from mediamatch.plans.store import IndexStore, VersionConflict
+from mediamatch.plans.store import IndexStore, VersionConflict, uninstall
+from mediamatch.schema import Settings
 
 AT = datetime(2024, 1, 1)
 
@@ -229,3 +230,26 @@ def test_date_range_ends(spark):
     start = 1_704_844_800
     assert rel.where_date_range(df, "ts", start, start + 10).count() == 3
     assert rel.where_date_range(df, "ts", start, start + 10, inclusive=False).count() == 1
+
+
+def test_last_change_of_a_key_wins_an_upsert(spark):
+    index = ix.conform(spark.createDataFrame([(1, "a"), (2, "b")], "attachment_id long, phash string"))
+    rows = [(1, "z", 9, 1), (1, "c", 2, 2), (3, "y", 5, 5), (3, "x", 5, 6)]
+    changes = spark.createDataFrame(rows, "attachment_id long, phash string, file_size long, seq long")
+    got = ix.upsert(index, changes)
+    assert pairs_of(got, "attachment_id", "phash", "file_size") == [(1, "c", 2), (2, "b", 0), (3, "x", 5)]
+
+
+def test_comparison_rows_without_order_are_a_narrow_scan(spark):
+    index = ix.conform(spark.createDataFrame([(1, "a"), (2, "b")], "attachment_id long, phash string"))
+    plain = ix.comparison_rows(index, newest_first=False)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert pairs_of(plain, "attachment_id", "phash") == pairs_of(ix.comparison_rows(index), "attachment_id", "phash")
+
+
+def test_uninstall_follows_the_settings(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.write(ix.conform(spark.createDataFrame([(1, "a")], "attachment_id long, phash string")))
+    assert not uninstall(store, Settings(drop_on_uninstall=False)) and store.read().count() == 1
+    assert uninstall(store) and store.versions() == [] and store.read().count() == 0
+    assert not uninstall(store)

@@ -127,6 +127,10 @@ def test_public_search_limits_before_it_hides(spark):
     assert ids(public_search(probes, index, media, posts)) == [1, 5]
     assert ids(public_search(probes, index, media, posts, limit=2)) == [1]
     assert ids(public_search(probes, index, media, posts, limit=2, filter_first=True)) == [1, 5]
+    closed = Settings(search_visibility="logged_in")
+    with pytest.raises(PermissionError):
+        public_search(probes, index, media, posts, closed)
+    assert ids(public_search(probes, index, media, posts, closed, signed_in=True)) == [1, 5]
     full = reverse_search(probes, index, media)
     assert pairs_of(full, "attachment_id", "title")[-1] == (8, "") and full.count() == 8
     assert INDEX_SCHEMA.names == index.columns

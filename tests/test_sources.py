@@ -6,10 +6,14 @@ from mediamatch.operators.duplicates import find_duplicates
 from mediamatch.operators.features import with_features
 from mediamatch.operators.index import duplicate_rows
 from mediamatch.operators.search import search
-from mediamatch.plans.indexing import index_files, reindex
+from mediamatch.plans.indexing import index_batch, index_files, reindex
+from mediamatch.plans.probes import intake
+from mediamatch.plans.searching import search_uploads
 from mediamatch.plans.store import IndexStore
+from mediamatch.schema import Settings
 from mediamatch.sources import admit_probes, file_facts, read_images
-from test_features import picture
+from mediamatch.streaming.changes import Stalled
+from test_features import picture, row
 
 
 def save(spark, rgb, path, kind):
@@ -98,3 +102,53 @@ def test_probe_admission(spark):
     )
     got = dict(pairs_of(admit_probes(probes).na.fill("-"), "id", "reject_reason"))
     assert got == {1: "-", 2: "too_many_bytes", 3: "too_many_pixels", 4: "unsupported_mime", 5: "undecodable", 6: "too_many_pixels"}
+
+
+def test_bounded_batches_of_the_backlog(spark, tmp_path):
+    from mediamatch.sources import text_as_image
+
+    # ids 10 to 15 are empty texts, which cannot be decoded
+    texts = [(i, "" if i in range(10, 16) else f"some text number {i}" * 5, "image/png", "attachment", 3, "h") for i in range(16)]
+    images = text_as_image(
+        spark.createDataFrame(texts, "attachment_id long, text string, mime_type string, post_type string, file_size long, file_hash string")
+    ).drop("text")
+    store, settings = IndexStore(spark, str(tmp_path / "index")), Settings(batch_size=5)
+    assert tuple(index_batch(store, images.where("attachment_id < 12"), settings).first()) == (5, 5, 7)
+    assert tuple(index_batch(store, images.where("attachment_id > 6"), settings).first()) == (5, 3, 4)
+    with pytest.raises(Stalled):
+        index_batch(store, images.where("attachment_id >= 12"), settings)
+    states = dict(pairs_of(store.read(), "attachment_id", "error_code"))
+    assert sorted(states) == [0, 1, 2, 3, 4, 7, 8, 9, 10, 11, 12, 13, 14, 15]
+    assert [i for i, e in states.items() if e] == [10, 11, 12, 13, 14, 15]
+    assert tuple(index_batch(store, images, settings).first()) == (2, 2, 0)
+    assert tuple(index_batch(store, images, settings).first()) == (0, 0, 0)
+
+
+def probe_rows(spark, rows):
+    facts = [(i, size, mime, w, h, 3, data) for i, size, mime, (_, w, h, _, data) in rows]
+    return spark.createDataFrame(facts, "probe_id long, file_size long, mime_type string, width int, height int, n_channels int, data binary")
+
+
+def test_probe_intake_and_upload_search(spark):
+    wide, small = picture(600, 300, 3), picture(80, 60, 4)
+    rows = [
+        (1, 9, "image/png", row(1, wide)),
+        (2, 9, "image/tiff", row(2, wide)),
+        (3, 20_000_000, "image/png", row(3, wide)),
+        (4, 9, "image/png", row(4, small)[:4] + (None,)),
+        (5, 9, "image/png", row(5, small)),
+    ]
+    uploads = probe_rows(spark, rows)
+    got = {r["probe_id"]: r for r in intake(uploads, Settings(downscale_max=300)).collect()}
+    assert [got[i]["reject_reason"] for i in range(1, 6)] == [None, "unsupported_mime", "too_many_bytes", "undecodable", None]
+    assert all(got[i]["phash"] is None for i in (2, 3, 4))
+    at_300 = with_features(uploads.where("probe_id = 1"), probe_edge=300).first()
+    assert (got[1]["phash"], got[1]["edge_vector"]) == (at_300["phash"], at_300["edge_vector"])
+    assert at_300["edge_vector"] != with_features(uploads.where("probe_id = 1")).first()["edge_vector"]
+    plan = intake(uploads)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    stored = with_features(uploads.where("probe_id in (1, 5)")).withColumnRenamed("probe_id", "attachment_id")
+    index = stored.selectExpr("attachment_id", "phash", "color_vector", "edge_vector", "'' as error_code")
+    media = spark.createDataFrame([(1, "one", "1.png"), (5, "five", "5.png")], "attachment_id long, title string, filename string")
+    found = pairs_of(search_uploads(uploads, index, media).where("rank = 1"), "probe_id", "attachment_id", "title")
+    assert found == [(1, 1, "one"), (5, 5, "five")]
