@@ -42,29 +42,36 @@ def license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
-LICENSE_WINDOWS_SQL = r"""
-WITH templates(license, text) AS (VALUES
-  ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'),
-  ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
-  ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'),
-  ('MIT', 'Released under the MIT License.')
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENSES = [
+    (name, licenses.window_of(len(licenses.template_words(text))), text)
+    for name, text in (*licenses.TEMPLATES.items(), *licenses.WORDINGS)
+]
+LICENSE_WINDOWS_SQL = rf"""
+WITH templates(license, width, text) AS (VALUES
+  {", ".join(f"({_quoted(name)}, {width}, {_quoted(text)})" for name, width, text in _LICENSES)}
 ), template_words AS (
-  SELECT license, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words FROM templates
+  SELECT license, width, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words FROM templates
 ), pieces AS (
-  SELECT license, list_distinct(list_transform(range(len(words) - 4),
+  SELECT license, width, list_distinct(list_transform(range(greatest(len(words) - 4, 1)),
     lambda i: array_to_string(words[(i + 1)::INTEGER:(i + 5)::INTEGER], ' '))) AS pieces FROM template_words
 ), texts AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS words
   FROM documents WHERE text IS NOT NULL
 ), starts AS (
-  SELECT doc_id, words, unnest(range(0, greatest(len(words) - 13, 0) + 1, 4)) AS first_word FROM texts
+  SELECT doc_id, width, words, unnest(range(0, greatest(len(words) - (width - width // 4) - 1, 0) + 1, width // 4)) AS first_word
+  FROM texts, (SELECT DISTINCT width FROM templates)
 ), windows AS (
-  SELECT doc_id, first_word, words[(first_word + 1)::INTEGER:(first_word + 16)::INTEGER] AS w FROM starts
+  SELECT doc_id, width, first_word, words[(first_word + 1)::INTEGER:(first_word + width)::INTEGER] AS w FROM starts
 ), shingled AS (
-  SELECT doc_id, first_word, list_transform(range(greatest(len(w) - 4, 1)),
+  SELECT doc_id, width, first_word, list_transform(range(greatest(len(w) - 4, 1)),
     lambda i: array_to_string(w[(i + 1)::INTEGER:(i + 5)::INTEGER], ' ')) AS own FROM windows
 ), matched AS (
-  SELECT doc_id, license, first_word, len(list_intersect(own, pieces))::DOUBLE / len(pieces) AS containment FROM shingled, pieces
+  SELECT doc_id, license, first_word, len(list_intersect(own, pieces))::DOUBLE / len(pieces) AS containment
+  FROM shingled JOIN pieces USING (width)
 )
 SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word, count(DISTINCT first_word) AS windows
 FROM matched WHERE containment >= 0.8 GROUP BY doc_id, license

@@ -1,9 +1,11 @@
 import re
 
+import duckdb
 import pytest
 
 from llm_fixtures import frame, odd_rows, prose
 from mediamatch.llm import licenses as lic
+from mediamatch.llm.queries import LICENSE_WINDOWS_SQL
 
 
 def pieces(own):
@@ -81,3 +83,19 @@ def test_needed_words_are_in_every_large_enough_part():
         known = pieces(lic.template_words(text))
         needed = set(lic.needed_words(text, lic.CONTAINMENT))
         assert sum(not needed & set(p.split()) for p in known) < lic.CONTAINMENT * len(known)
+
+
+def test_sql_knows_every_template_and_window_width(spark):
+    base = prose(47, 30, 60)
+    docs = [(k, base[k] + " " + text + " " + base[k + 1], None, None) for k, (_, text) in enumerate(lic.WORDINGS)]
+    docs += [(100 + k, text, None, None) for k, (_, text) in enumerate(lic.WORDINGS)]
+    docs += [(200 + k, base[k] + " " + " ".join(text.split()[: len(text.split()) * 9 // 10]), None, None) for k, (_, text) in enumerate(lic.WORDINGS)]
+    docs += [(300, " ".join(text for _, text in lic.WORDINGS), None, None), (301, "", None, None), (302, None, None, None)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [row[:2] for row in docs])
+    found = lic.scan(frame(spark, docs))
+    want = db.execute(LICENSE_WINDOWS_SQL)
+    assert [d[0] for d in want.description] == found.columns
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == sorted(want.fetchall()) and {r[1] for r in got} == {name for name, _ in lic.WORDINGS}
