@@ -462,7 +462,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         full = F.broadcast(full)
         apart = around(open_runs.join(full, "anchor", "left_semi")).mapInArrow(_take_apart, RUN_TYPES)
         met = apart.repartition(n, "anchor").sortWithinPartitions("anchor")
-        windows = checkpointed(met.mapInArrow(_recurring, RUN_TYPES))
+        # Not checkpointed: a job of its own would shuffle the texts once more. Both readers share the shuffle by anchor.
+        windows = met.mapInArrow(_recurring, RUN_TYPES)
         open_runs = open_runs.join(full, "anchor", "left_anti").unionByName(windows.where(~F.col("settled")))
         inside = inside.unionByName(windows.where("settled"))
     bytes_of = around(open_runs).mapInArrow(_take_bytes, "anchor long, key long, first long, bytes binary")

@@ -146,3 +146,12 @@ def test_crowded_anchors_are_named_once():
     batches = pa.Table.from_batches([whole]).to_batches(max_chunksize=7)
     out = pa.Table.from_batches(suffixes._settle(iter(batches), crowded=5)).to_pylist()
     assert [r["anchor"] for r in out if r["span"] == 0 and r["run"] == 0 and r["anchor"] != 1] == [2]
+
+
+def test_crowded_anchors_do_not_shuffle_texts_again(spark):
+    table = spark.createDataFrame(crowded_rows(), "doc_id long, text string")
+    found = suffixes.deduplicate(table, crowded=4)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "_take_apart" in plan
+    assert len([line for line in plan.splitlines() if "text#" in line and "Scan" in line]) == 1
