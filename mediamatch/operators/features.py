@@ -33,16 +33,45 @@ class Processor:
     blank: object
 
 
-def resample(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear resize on the grid anchored at the top left corner, in 1/256 steps of integer arithmetic."""
+#: Longest side of a picture that is resampled by matrix products; beyond it the taps are few beside the pixels.
+SMALL_SIDE = 128
+
+
+def _taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at = np.arange(target, dtype=np.int64) * (source * 256 // target)
+    low = np.minimum(at >> 8, source - 1)
+    return low, np.minimum(low + 1, source - 1), (at & 255).astype(np.int32)
+
+
+@lru_cache(maxsize=1024)
+def _tap_matrix(source: int, target: int) -> np.ndarray:
+    """(source, target): the weight of each source line in each target line, in 1/256 steps."""
+    low, high, share = _taps(source, target)
+    out = np.zeros((source, target), np.float32)
+    np.add.at(out, (low, np.arange(target)), 256 - share)
+    np.add.at(out, (high, np.arange(target)), share)
+    return out
+
 
-    def taps(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.arange(target, dtype=np.int64) * (source * 256 // target)
-        low = np.minimum(at >> 8, source - 1)
-        return low, np.minimum(low + 1, source - 1), (at & 255).astype(np.int32)
+def _weighted(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """(3, height, width): resampled values of each channel times 65536.
 
-    y0, y1, fy = taps(rgb.shape[0], height)
-    x0, x1, fx = taps(rgb.shape[1], width)
+    All sums are whole numbers below 2 ** 24, which single precision holds exactly, in whatever order they are added.
+    """
+    planes = np.ascontiguousarray(rgb.transpose(2, 0, 1), dtype=np.float32)
+    return _tap_matrix(rgb.shape[0], height).T @ (planes @ _tap_matrix(rgb.shape[1], width))
+
+
+def _is_small(rgb: np.ndarray) -> bool:
+    return max(rgb.shape[:2]) <= SMALL_SIDE
+
+
+def resample(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Bilinear resize on the grid anchored at the top left corner, in 1/256 steps of integer arithmetic."""
+    if _is_small(rgb):
+        return (_weighted(rgb, width, height) * np.float32(2**-16)).astype(np.uint8).transpose(1, 2, 0)
+    y0, y1, fy = _taps(rgb.shape[0], height)
+    x0, x1, fx = _taps(rgb.shape[1], width)
     fy, fx = fy[:, None, None], fx[None, :, None]
     rows = rgb[y0].astype(np.int32) * (256 - fy) + rgb[y1].astype(np.int32) * fy
     return ((rows[:, x0] * (256 - fx) + rows[:, x1] * fx) >> 16).astype(np.uint8)
@@ -50,7 +79,8 @@ def resample(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
 
 def grey(rgb: np.ndarray) -> np.ndarray:
     # Luma weights in thousandths.
-    return (rgb.astype(np.int32) @ np.array([299, 587, 114], dtype=np.int32)) // 1000
+    red, green, blue = (rgb[:, :, c].astype(np.int32) for c in range(3))
+    return np.ascontiguousarray((299 * red + 587 * green + 114 * blue) // 1000)
 
 
 @lru_cache(maxsize=1)
@@ -76,9 +106,9 @@ def perceptual_hash(rgb: np.ndarray) -> str:
 
 def color_histogram(rgb: np.ndarray) -> np.ndarray:
     """16 bins per channel, red then green then blue, as shares of the pixels."""
-    small = resample(rgb, COLOR_SIDE, COLOR_SIDE).reshape(-1, 3) // (256 // COLOR_BINS)
-    counts = np.bincount((small + np.arange(3) * COLOR_BINS).ravel(), minlength=3 * COLOR_BINS)
-    return counts / (COLOR_SIDE * COLOR_SIDE)
+    small = resample(rgb, COLOR_SIDE, COLOR_SIDE)
+    counts = [np.bincount(small[:, :, c].ravel(), minlength=256).reshape(COLOR_BINS, -1).sum(axis=1) for c in range(3)]
+    return np.concatenate(counts) / (COLOR_SIDE * COLOR_SIDE)
 
 
 def edge_vector(rgb: np.ndarray) -> np.ndarray:

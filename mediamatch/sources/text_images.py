@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 def text_as_image(df: DataFrame, text: str = "text") -> DataFrame:
     """Add (width, height, n_channels, data); an empty text counts as undecodable (width -1)."""
-    # UTF-32 has four bytes per code point, the last of which is the code point mod 256.
-    low_bytes = F.unhex(F.regexp_replace(F.hex(F.encode(F.col(text), "UTF-32")), "[0-9A-F]{6}([0-9A-F]{2})", "$1"))
+    # Latin-1 is the code point itself below 256. UTF-32 has four bytes per code point, the last of which is it mod 256.
+    any_bytes = F.unhex(F.regexp_replace(F.hex(F.encode(F.col(text), "UTF-32")), "[0-9A-F]{6}([0-9A-F]{2})", "$1"))
+    latin = F.col(text).rlike("^[\\x00-\\xff]*\\z")
+    low_bytes = F.when(latin, F.encode(F.col(text), "ISO-8859-1")).otherwise(any_bytes)
     pixels = F.ceil(F.length(text) / F.lit(3.0))
     width = F.ceil(F.sqrt(pixels)).cast("int")
     height = F.ceil(pixels / width).cast("int")

@@ -151,3 +151,27 @@ def test_text_as_image(spark):
     full, empty = df.collect()
     assert (full["width"], full["height"], bytes(full["data"])) == (2, 1, bytes([0x61, 0xE9, 0x00, 0x62, 0x63, 0x64]))
     assert empty["width"] == -1
+
+
+@pytest.mark.parametrize("size", [(1, 1), (1, 40), (33, 34), (128, 128), (7, 129)])
+def test_small_pictures_are_resampled_by_exact_products(size):
+    rng = np.random.default_rng(3)
+    for rgb in (rng.integers(0, 256, (*size, 3)).astype(np.uint8), np.full((*size, 3), 255, np.uint8)):
+        for side in (32, 64, 150):
+            y0, y1, fy = X._taps(size[0], side)
+            x0, x1, fx = X._taps(size[1], side)
+            fy, fx, wide = fy[:, None, None], fx[None, :, None], rgb.astype(np.int64)
+            rows = wide[y0] * (256 - fy) + wide[y1] * fy
+            want = rows[:, x0] * (256 - fx) + rows[:, x1] * fx
+            assert np.array_equal(X._weighted(rgb, side, side).transpose(1, 2, 0), want)
+            assert np.array_equal(X.resample(rgb, side, side), want >> 16)
+
+
+def test_texts_of_any_script_give_their_low_bytes(spark):
+    from mediamatch.sources.text_images import text_as_image
+
+    texts = ["plain", "été\x00\xff\n", "ł€\U0001f600 mixed", "x\nł\n", "", None, "a" * 3000]
+    rows = text_as_image(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for r in rows:
+        low = bytes(ord(c) % 256 for c in r["text"] or "")
+        assert r["data"] is None if r["text"] is None else bytes(r["data"]).startswith(low) and not any(bytes(r["data"])[len(low) :])
