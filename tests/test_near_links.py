@@ -2,11 +2,12 @@ import random
 
 import numpy as np
 import pytest
+from conftest import pairs_of
 from test_hamming_join import COVERS, apart, clustered, signed, table
 
 from mediamatch.operators.components import connected_components
-from mediamatch.operators.hamming_join import EqualBands, NearBands
-from mediamatch.operators.near_links import near_links, stars
+from mediamatch.operators.hamming_join import EqualBands, NearBands, choose_cover, hamming_self_pairs, telling_bits
+from mediamatch.operators.near_links import dense_links, near_links, stars
 
 
 def components_of(pairs):
@@ -70,3 +71,36 @@ def test_dense_cluster_makes_few_links(spark, cover):
 def test_stars_name_the_smallest():
     left, right = np.array([9, 4, 7, 1], np.uint64), np.array([7, 9, 2, 3], np.uint64)
     assert dict(zip(*(x.tolist() for x in stars(left, right)))) == {9: 2, 4: 2, 7: 2, 3: 1}
+
+
+@pytest.mark.parametrize("samples", [(20,), (10, 60), (400,)], ids=str)
+def test_samples_link_what_pairs_link(spark, samples):
+    rng = random.Random(3)
+    values = {signed(0x0F0F_0000_1234_5678 ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 12)))) for _ in range(300)}
+    values = sorted(values | set(clustered(100, 2)))
+    links = dense_links(table(spark, values), len(values), 13, samples, block=64)
+    links = [(r[0], r[1]) for r in links.collect()]
+    assert all(apart(a, b) > 0 for a, b in links) and len(links) < 60 * len(values)
+    assert components_of(links) == wanted(values, 13)
+
+
+def test_sparse_hashes_are_left_to_covers(spark):
+    values = clustered(300, 9)
+    assert dense_links(table(spark, values), len(values), 13, (20,)) is None
+
+
+def test_bits_that_all_share_make_no_crowded_key(spark):
+    rng = random.Random(8)
+    # the lowest 16 bits hardly differ, as in hashes of texts
+    values = sorted({signed(rng.getrandbits(48) << 16 | (1 << rng.randint(0, 15)) * (rng.random() < 0.1)) for _ in range(400)} | {signed(v << 16) for v in range(40)})
+    hashes = table(spark, values)
+    order, told = telling_bits(hashes)
+    assert set(order[-16:]) >= set(range(16)) - set(order[:-20]) and 40 < told < 56
+    plain, dealt = EqualBands(3, 4), EqualBands(3, 4, order, told)
+    largest = lambda cover: cover.emit(hashes, wide=True).groupBy("part", "key").count().agg({"count": "max"}).first()[0]
+    assert largest(plain) > 300 and largest(dealt) < 120
+    for m in (4, 5, 7):
+        assert found(spark, values, 3, cover=EqualBands(3, m, order, told)) == wanted(values, 3)
+        got = pairs_of(hamming_self_pairs(hashes, 3, EqualBands(3, m, order, told), hot_bucket=20), "left_bits", "right_bits")
+        assert got == sorted((a, b) for a in values for b in values if a < b and apart(a, b) <= 3)
+    assert choose_cover(3, 50_000, 50_000, order, told).order == order
