@@ -70,6 +70,19 @@ def test_near_blocks_do_not_travel(spark):
     assert len(plan) <= 1 and "Broadcast" not in str(plan)
 
 
+def test_nearest_blocks_leave_only_the_best(spark, tmp_path, monkeypatch):
+    # alike but for one number, so that all are near all
+    rows = [(i, [float(j * j % 17) + (j == i % 64) for j in range(64)]) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    given = []
+    monkeypatch.setattr(catalog, "scored_pairs", lambda *a: given.append(scored_pairs(*a)) or given[-1])
+    got = pairs_of(catalog.block_nearest(spark, str(tmp_path)), "probe_id", "rank", "attachment_id")
+    pairs = catalog.block_candidates(spark, str(tmp_path)).collect()
+    near = {i: sorted((r["distance"], r["attachment_id"]) for r in pairs if r["probe_id"] == i) for i in range(80)}
+    assert got == [(i, k + 1, near[i][k][1]) for i in range(80) for k in range(5)]
+    assert given[0].count() == 6 * 80 < given[1].count()
+
+
 def test_matches_travel_only_ranked(spark):
     rows = library(80, 3)
     found = S.search(probes_of(spark, rows), index_of(spark, rows), Settings(match_threshold=0.5), 2)
