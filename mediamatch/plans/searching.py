@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from mediamatch.operators.features import DEFAULT_PROCESSORS
 from mediamatch.operators.search import hydrate, public_only, search
 from mediamatch.plans.bands import BandIndex
+from mediamatch.plans.indexing import BROADCAST_IDS
 from mediamatch.plans.probes import intake
 from mediamatch.schema import SEARCH_LIMIT_DEFAULT, WIDGET_LIMIT_DEFAULT, WIDGET_LIMIT_MAX, Settings, clamp
 from mediamatch.session import checkpointed
@@ -56,15 +57,31 @@ def public_search(
 
 
 def search_uploads(
-    uploads: DataFrame, index: DataFrame, media: DataFrame, settings: Settings = Settings(), limit: int = SEARCH_LIMIT_DEFAULT, **choices
+    uploads: DataFrame,
+    index: DataFrame,
+    media: DataFrame,
+    settings: Settings = Settings(),
+    limit: int = SEARCH_LIMIT_DEFAULT,
+    chosen: DataFrame | None = None,
+    most_ids: int = BROADCAST_IDS,
+    **choices,
 ) -> DataFrame:
     """`reverse_search` for uploaded images (probe_id and what `intake` reads): refused and unreadable ones find nothing.
 
-    Fingerprints of the probes are written once, as the search reads them several times.
+    Fingerprints of the probes are written once, as the search reads them several times. `chosen` (distinct probe_id)
+    names the uploads to search for: up to `most_ids` of them pick images before these are read, beyond that all are
+    fingerprinted and the small rows are picked. Pixels never go through a shuffle.
     """
     features = ["probe_id", *(p.name for p in DEFAULT_PROCESSORS)]
-    probes = checkpointed(intake(uploads, settings).where(F.col("reject_reason").isNull()).select(*features))
-    return reverse_search(probes, index, media, settings, limit, **choices)
+    picked = lambda rows: rows
+    if chosen is not None:
+        chosen = checkpointed(chosen.select("probe_id"))
+        if chosen.count() <= most_ids:
+            uploads = uploads.join(F.broadcast(chosen), "probe_id", "left_semi")
+        else:
+            picked = lambda rows: rows.join(chosen, "probe_id", "left_semi")
+    taken = intake(uploads, settings).where(F.col("reject_reason").isNull()).select(*features)
+    return reverse_search(checkpointed(picked(taken)), index, media, settings, limit, **choices)
 
 
 def widget_limit(asked: int | None = None) -> int:

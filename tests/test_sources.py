@@ -2,15 +2,18 @@ import numpy as np
 import pytest
 from conftest import pairs_of, sets_of_groups
 
+from mediamatch.catalog import search as catalog
 from mediamatch.operators.duplicates import find_duplicates
 from mediamatch.operators.features import with_features
 from mediamatch.operators.index import duplicate_rows
 from mediamatch.operators.search import search
+from mediamatch.plans import searching
 from mediamatch.plans.indexing import index_batch, index_files, reindex
 from mediamatch.plans.probes import intake
 from mediamatch.plans.searching import search_uploads
 from mediamatch.plans.store import IndexStore
 from mediamatch.schema import Settings
+from mediamatch.session import checkpointed
 from mediamatch.sources import admit_probes, file_facts, read_images
 from mediamatch.streaming.changes import Stalled
 from test_features import picture, row
@@ -129,6 +132,25 @@ def probe_rows(spark, rows):
     return spark.createDataFrame(facts, "probe_id long, file_size long, mime_type string, width int, height int, n_channels int, data binary")
 
 
+@pytest.mark.parametrize("most_ids", [0, 10])
+def test_chosen_uploads_are_picked(spark, monkeypatch, most_ids):
+    uploads = probe_rows(spark, [(i, 1000, "image/png", (None, 8, 8, 3, bytes(range(i, 192 + i)))) for i in range(4)])
+    monkeypatch.setattr(searching, "reverse_search", lambda probes, *_, **__: probes)
+    chosen = spark.createDataFrame([(1,), (3,), (9,)], "probe_id long")
+    assert pairs_of(search_uploads(uploads, None, None, chosen=chosen, most_ids=most_ids), "probe_id") == [(1,), (3,)]
+
+
+def test_upload_search_moves_no_pixels(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(searching, "checkpointed", lambda df: read.append(df._jdf.queryExecution().sparkPlan().toString()) or checkpointed(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        catalog.search_uploaded(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ArrowEvalPython" in read[-1] and "SortMergeJoin" not in read[-1]
+
+
 def test_probe_intake_and_upload_search(spark):
     wide, small = picture(600, 300, 3), picture(80, 60, 4)
     rows = [
