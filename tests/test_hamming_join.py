@@ -4,7 +4,7 @@ import pytest
 from conftest import pairs_of
 
 from mediamatch.operators.components import connected_components
-from mediamatch.operators.hamming_join import EqualBands, NearBands, choose_cover, hamming_pairs, hamming_self_pairs
+from mediamatch.operators.hamming_join import EqualBands, NearBands, choose_cover, counted_self_pairs, hamming_pairs, hamming_self_pairs
 
 
 def signed(v):
@@ -110,3 +110,16 @@ def test_components(spark, shape):
     df = spark.createDataFrame(edges, "left_bits long, right_bits long")
     got = pairs_of(connected_components(df), "node", "component")
     assert got == components_by_search([(a, b) for a, b in edges if a != b])
+
+
+@pytest.mark.parametrize("block", [50, 1000])
+def test_counted_pairs_in_blocks_travel_nowhere(spark, block):
+    values = clustered(200, 9)
+    hashes = spark.createDataFrame([(v, 1 + i % 3) for i, v in enumerate(values)], "bits long, n long")
+    copies = {v: 1 + i % 3 for i, v in enumerate(values)}
+    want = sorted((a, b, d, copies[a], copies[b]) for a in values for b in values if a < b and (d := apart(a, b)) <= 13)
+    found = counted_self_pairs(hashes, 13, NearBands(13, 7), 10, block)
+    assert pairs_of(found, *found.columns) == want and len(want) > 100
+    assert pairs_of(counted_self_pairs(hashes, 13), *found.columns) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("MapInArrow")[0] and "Join" not in plan
