@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from mediamatch.operators.blocks import block_pairs
+from mediamatch.operators.blocks import block_pairs, near_places
 from mediamatch.operators.components import connected_components
 from mediamatch.operators.hamming_join import HOT_BUCKET, Cover, NearBands, self_cover, spread_hashes, task_count
 from mediamatch.session import checkpointed
@@ -121,9 +121,8 @@ class _Held:
 
     def links(self, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         """New links that connect `bits` with the block, and hashes of the block through them."""
-        apart = np.bitwise_count(bits[:, None] ^ self.bits[None, :])
-        i, j = np.nonzero(apart <= distance)
-        other = apart[i, j] > 0
+        i, j, apart = near_places(bits, self.bits, distance)
+        other = apart > 0
         i, j = i[other], self.root[j[other]]
         first = np.full(len(bits), len(self.bits))
         np.minimum.at(first, i, j)

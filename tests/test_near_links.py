@@ -5,6 +5,7 @@ import pytest
 from conftest import pairs_of
 from test_hamming_join import COVERS, apart, clustered, signed, table
 
+from mediamatch.operators.blocks import near_places
 from mediamatch.operators.components import connected_components
 from mediamatch.operators.hamming_join import EqualBands, NearBands, choose_cover, hamming_self_pairs, telling_bits
 from mediamatch.operators.near_links import dense_links, near_links, stars
@@ -68,6 +69,17 @@ def test_dense_cluster_makes_few_links(spark, cover):
     assert connected_components(links).select("component").distinct().count() == 1
 
 
+@pytest.mark.parametrize("n,m", [(0, 5), (5, 0), (1, 1), (40, 300), (3, 200_000)])
+def test_near_places_are_those_of_all_distances(n, m):
+    rng = np.random.default_rng(2)
+    bits, held = (rng.integers(0, 2**64, size, dtype=np.uint64) for size in (n, m))
+    held[: min(n, m)] = bits[: min(n, m)]
+    apart = np.bitwise_count(bits[:, None] ^ held[None, :])
+    i, j = np.nonzero(apart <= 22)
+    got = near_places(bits, held, 22)
+    assert all(np.array_equal(a, b) for a, b in zip(got, (i, j, apart[i, j])))
+
+
 def test_stars_name_the_smallest():
     left, right = np.array([9, 4, 7, 1], np.uint64), np.array([7, 9, 2, 3], np.uint64)
     assert dict(zip(*(x.tolist() for x in stars(left, right)))) == {9: 2, 4: 2, 7: 2, 3: 1}
