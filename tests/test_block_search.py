@@ -6,8 +6,9 @@ from test_search import index_of, library, probes_of
 from mediamatch.catalog import search as catalog
 from mediamatch.functions.similarity import DEFAULT_PARTS, composite_score
 from mediamatch.operators import search as S
-from mediamatch.operators.block_search import scored_pairs
-from mediamatch.operators.blocks import sides
+from mediamatch.operators import block_search
+from mediamatch.operators.block_search import best_pairs, scored_pairs
+from mediamatch.operators.blocks import packed, sides, unpacked
 from mediamatch.schema import Settings
 
 SMALL = "/root/testdata/sf0.001"
@@ -96,3 +97,37 @@ def test_grid_follows_cores_and_bounds_blocks():
     for n in (10**5, 10**6, 10**7):
         parts, blocks = sides(2 * n, n, 12)
         assert n / blocks <= 1 << 16 and 1 <= parts * blocks <= max(2 * 48, blocks)
+
+
+@pytest.mark.parametrize("piece, limit, kept", [(7, 1, 8), (7, 4, 1), (16, 4, 8), (1000, 4, 8), (7, 50, 2)])
+def test_pieces_hold_the_best(spark, piece, limit, kept, monkeypatch):
+    rows = odd_library() + [(500 + i, *r[1:]) for i, r in enumerate(library(9, 21))]
+    probes, index = probes_of(spark, library(40, 22)), index_of(spark, rows)
+    monkeypatch.setattr(block_search, "PIECES_KEPT", kept)
+    found = best_pairs(*S.with_bits(probes, index), 20, DEFAULT_PARTS, 0.7, limit, piece)
+    want = S.top_matches(every_pair(probes, index).where("score >= 0.7"), limit)
+    key = ("probe_id", "rank", "attachment_id", "score")
+    rounded = lambda df: pairs_of(df.withColumn("score", F.round("score", 9)), *key)
+    assert rounded(S.top_matches(found, limit)) == rounded(want)
+
+
+def test_features_go_through_no_shuffle(spark):
+    rows = library(80, 3)
+    probes, index = (side.repartition(3) for side in (probes_of(spark, rows), index_of(spark, rows)))
+    found = best_pairs(*S.with_bits(probes, index), 20, DEFAULT_PARTS, 0.5, 2, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    searched = S.search(probes, index, Settings(match_threshold=0.5), 2)._jdf.queryExecution().executedPlan().toString()
+    assert searched.count("Exchange") <= 1 and "CartesianProduct" in searched.split("MapInArrow")[1]
+    # a probe that meets the index in one task leaves it with its best alone
+    assert found.rdd.getNumPartitions() <= 16 and found.count() <= 2 * 80 * -(-found.rdd.getNumPartitions() // 3)
+
+
+def test_packed_pieces_hold_every_row(spark):
+    rows = spark.range(1000).select("id", F.array(F.col("id") / 3, F.lit(None)).alias("v")).repartition(1)
+    for most, parts in ((7, 1), (300, 4), (5000, 9)):
+        pieces = packed(rows, 1000, parts, most).collect()
+        tables = [unpacked(bytes(r["rows"])) for r in pieces]
+        assert max(x.num_rows for x in tables) <= most and len({r["piece"] for r in pieces}) == len(pieces)
+        got = [row for x in tables for row in x.to_pylist()]
+        assert sorted((r["id"], tuple(r["v"])) for r in got) == [(i, (i / 3, None)) for i in range(1000)]
