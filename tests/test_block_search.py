@@ -131,3 +131,16 @@ def test_packed_pieces_hold_every_row(spark):
         assert max(x.num_rows for x in tables) <= most and len({r["piece"] for r in pieces}) == len(pieces)
         got = [row for x in tables for row in x.to_pylist()]
         assert sorted((r["id"], tuple(r["v"])) for r in got) == [(i, (i / 3, None)) for i in range(1000)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_features_meet_their_membership_once(spark, monkeypatch, most):
+    monkeypatch.setattr(catalog, "BROADCAST_IDS", most)
+    probes, index = catalog._probes_and_index(spark, SMALL)
+    listed = {r[0] for r in catalog.t.membership(spark, SMALL).select("attachment_id").collect()}
+    every = {r[0] for r in catalog.t.media(spark, SMALL).select("attachment_id").collect()}
+    assert {r["probe_id"] for r in probes.select("probe_id").collect()} == every - listed
+    assert {r["attachment_id"] for r in index.select("attachment_id").collect()} == every & listed
+    for side in (probes, index):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
