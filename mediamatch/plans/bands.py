@@ -7,6 +7,10 @@ store add the hashes they bring; a hash is stored once however many images carry
 A key that very many hashes share is cut into cells of about `crowd` hashes. New hashes of a full key go to new cells,
 so no stored row moves; probes visit all cells of a key. Nothing is dropped.
 
+Keys and pairs of a probe batch travel, so the table is for batches that make few of them for the rows there are (`pays`);
+a search compares larger ones with the index in blocks. Near pairs at 20 bits are a fixed share of all pairs, which no
+layout of keys changes.
+
 Hashes that left the index stay in the table. They cost a comparison and vanish in the join that leads from hashes to
 images. The table is append-only and each append is one commit: a hash whose append failed is missing and comes with
 the next one. One writer at a time may extend it.
@@ -35,6 +39,12 @@ CELL_SCHEMA = "part long, key long, cells int"
 #: Hashes and probes that the choice of a cover and of the number of buckets expects.
 EXPECTED_HASHES = 10_000_000
 EXPECTED_PROBES = 1_000
+#: Keys and pairs of hashes that a batch may make for each probe and stored hash, and those that any batch may make. A key
+#: travels once, a pair several times and with sketches.
+KEYS_PER_ROW, LEAST_KEYS = 64, 1 << 24
+PAIRS_PER_ROW, LEAST_PAIRS = 8, 1 << 22
+#: Hashes of both sides of which the share of near pairs is taken.
+SAMPLED_PROBES, SAMPLED_HASHES = 500, 2_000
 #: Stored rows of one bucket that the number of buckets aims at.
 BUCKET_ROWS = 2_000_000
 
@@ -191,6 +201,21 @@ class BandIndex:
             hamming("l.bits", "r.bits").cast("int").alias("distance"),
         )
 
+    def pays(self, probes: DataFrame, distance: int) -> bool:
+        """Whether the keys of these probe hashes (distinct, column `bits`) and their near pairs, judged by samples, are few."""
+        sizes = probes.count(), self.hashes().count()
+        if sizes[0] * self.cover.wide_keys() > max(LEAST_KEYS, KEYS_PER_ROW * sum(sizes)):
+            return False
+        most = max(LEAST_PAIRS, PAIRS_PER_ROW * sum(sizes))
+        if sizes[0] * sizes[1] <= most:
+            return True
+        some = lambda rows, n: rows.orderBy(F.xxhash64("bits")).limit(n)
+        q = some(probes, SAMPLED_PROBES).withColumnRenamed("bits", "own")
+        pairs = q.crossJoin(F.broadcast(some(self.hashes(), SAMPLED_HASHES)))
+        apart = F.bit_count(F.col("own").bitwiseXOR(F.col("bits")))
+        near, of = pairs.agg(F.count_if(apart <= distance), F.count("*")).first()
+        return near * sizes[0] * sizes[1] <= most * of
+
     def near(self, probes: DataFrame, stored: DataFrame, distance: int) -> DataFrame:
         """As the search asks for pairs; `stored`, the hashes of the index, are in the table already."""
         return self.pairs(probes, distance)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from mediamatch.functions.hashes import hash_to_long
 from mediamatch.operators.features import DEFAULT_PROCESSORS
-from mediamatch.operators.search import hydrate, public_only, search
+from mediamatch.operators.search import hydrate, prefilter_cap, public_only, search
 from mediamatch.plans.bands import BandIndex
 from mediamatch.plans.indexing import BROADCAST_IDS
 from mediamatch.plans.probes import intake
@@ -13,6 +14,11 @@ from mediamatch.schema import SEARCH_LIMIT_DEFAULT, WIDGET_LIMIT_DEFAULT, WIDGET
 from mediamatch.session import checkpointed
 
 
+def _small(probes: DataFrame, bands: BandIndex, settings: Settings, lossless: bool) -> bool:
+    hashes = probes.select(hash_to_long(F.lower("phash")).alias("bits")).where(F.col("bits").isNotNull()).distinct()
+    return bands.pays(checkpointed(hashes), prefilter_cap(settings.match_threshold, lossless=lossless))
+
+
 def reverse_search(
     probes: DataFrame,
     index: DataFrame,
@@ -24,9 +30,10 @@ def reverse_search(
 ) -> DataFrame:
     """(probe_id, rank, attachment_id, score, title, url) for every probe.
 
-    With `bands`, which must hold the hashes of the index, the index emits no keys.
+    With `bands`, which must hold the hashes of the index, the index emits no keys and a small batch reads no features but
+    those of its near rows. Pairs of a batch too large for that (`BandIndex.pays`) stay in the tasks that compare blocks.
     """
-    near = bands.near if bands else None
+    near = bands.near if bands and _small(probes, bands, settings, lossless) else None
     return hydrate(search(probes, index, settings, limit, lossless=lossless, near=near), media)
 
 

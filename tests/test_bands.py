@@ -3,13 +3,19 @@
 import random
 
 import pytest
+from conftest import pairs_of
 from pyspark.sql import functions as F
+from test_search import index_of, library, probes_of
 
 from mediamatch.functions.hashes import hash_to_long
+from mediamatch.operators import search as S
 from mediamatch.operators.hamming_join import EqualBands, NearBands
 from mediamatch.operators.index import conform
+from mediamatch.plans import bands as bands_module
 from mediamatch.plans.bands import BandIndex
+from mediamatch.plans.searching import reverse_search
 from mediamatch.plans.store import IndexStore
+from mediamatch.schema import MEDIA_SCHEMA, Settings
 
 SIGNED = 1 << 63
 
@@ -100,3 +106,43 @@ def test_follows_an_index_store(spark, tmp_path):
     held = store.read().select(hash_to_long("phash").alias("bits")).distinct()
     assert held.join(bands.hashes(), "bits", "left_anti").isEmpty()
     assert sorted(r["bits"] for r in bands.hashes().collect()) == values
+
+
+def test_large_batches_do_not_pay(spark, tmp_path, monkeypatch):
+    stored, asked = hashes_of(6, 300), hashes_of(6, 200)
+    probes = frame(spark, asked)
+    index = BandIndex(spark, str(tmp_path), cover=NearBands(20, 6), buckets=4)
+    index.extend(frame(spark, stored))
+    near = len(brute(asked, stored, 20))
+    assert near and index.pays(probes, 20)
+    monkeypatch.setattr(bands_module, "PAIRS_PER_ROW", 0)
+    for most, pays in ((near, True), (near - 1, False), (len(asked) * len(stored), True)):
+        monkeypatch.setattr(bands_module, "LEAST_PAIRS", most)
+        assert index.pays(probes, 20) is pays
+    emitted = index.cover.emit(probes, wide=True).count()
+    assert emitted == len(asked) * index.cover.wide_keys()
+    monkeypatch.setattr(bands_module, "KEYS_PER_ROW", 0)
+    for most, pays in ((emitted, True), (emitted - 1, False)):
+        monkeypatch.setattr(bands_module, "LEAST_KEYS", most)
+        assert index.pays(probes, 20) is pays
+
+
+@pytest.mark.parametrize("least", [0, 10**6])
+def test_batches_of_any_size_find_the_same(spark, tmp_path, monkeypatch, least):
+    rows = library(60, 1)
+    probes, index = probes_of(spark, library(40, 2)), index_of(spark, rows)
+    bands = BandIndex(spark, str(tmp_path), cover=NearBands(20, 6), buckets=4)
+    bands.extend(S.with_bits(probes, index)[1].select("bits"))
+    monkeypatch.setattr(bands_module, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(bands_module, "LEAST_PAIRS", least)
+    asked = []
+    monkeypatch.setattr(bands, "near", lambda *a: asked.append(1) or BandIndex.near(bands, *a))
+    media = spark.createDataFrame([], MEDIA_SCHEMA)
+    found, plain = (
+        reverse_search(probes, index, media, Settings(match_threshold=0.7), 5, bands=b).withColumn("score", F.round("score", 9))
+        for b in (bands, None)
+    )
+    key = ("probe_id", "rank", "attachment_id", "score")
+    assert pairs_of(found, *key) == pairs_of(plain, *key) and bool(asked) == (least > 0)
+    # no pair of hashes leaves a task when the batch is too large
+    assert ("CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()) == (least == 0)
