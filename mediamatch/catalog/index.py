@@ -365,7 +365,8 @@ def reindex_remaining(spark, sf_dir):
     with scratch_folder(spark, "index") as place:
         store = IndexStore(spark, place)
         store.write(base_index(spark, sf_dir))
-        return checkpointed(reindex(store, t.images(spark, sf_dir)))
+        # The SQL counts every accepted document as indexed, so those without text are pictures, too.
+        return checkpointed(reindex(store, t.images(spark, sf_dir, blank=True)))
 
 
 _WAITING_SQL = """waiting AS (
@@ -385,7 +386,7 @@ _WAITING_SQL = """waiting AS (
 )
 def index_batches(spark, sf_dir):
     """Three bounded batches of the backlog, each behind the one before."""
-    images = t.images(spark, sf_dir)
+    images = t.images(spark, sf_dir, blank=True)
     before = base_index(spark, sf_dir).select(ix.KEY)
     out = None
     with scratch_folder(spark, "index") as place:
@@ -410,7 +411,7 @@ def reindex_everything(spark, sf_dir):
     with scratch_folder(spark, "index") as place:
         store = IndexStore(spark, place)
         store.write(base_index(spark, sf_dir))
-        return checkpointed(reindex(store, t.images(spark, sf_dir), everything=True))
+        return checkpointed(reindex(store, t.images(spark, sf_dir, blank=True), everything=True))
 
 
 @query(

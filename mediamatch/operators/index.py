@@ -83,10 +83,14 @@ def build_rows(media: DataFrame, at: datetime | Column | None = None) -> DataFra
     )
 
 
-def unindexed(media: DataFrame, index: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
-    """Library images without an index row (failed rows count as present), of the listed types or of any image type."""
+def unindexed(media: DataFrame, index: DataFrame, allowed: Sequence[str] = (), null_is_id: bool = False) -> DataFrame:
+    """Library images without an index row (failed rows count as present), of the listed types or of any image type.
+
+    Images without an id never have a row, unless `null_is_id`.
+    """
     kind = F.col("mime_type").isin(*allowed) if allowed else F.col("mime_type").startswith("image/")
-    return media.where((F.col("post_type") == "attachment") & kind).join(index.select(KEY), KEY, "left_anti")
+    listed = F.col("listed").eqNullSafe(F.col(KEY)) if null_is_id else F.col("listed") == F.col(KEY)
+    return media.where((F.col("post_type") == "attachment") & kind).join(index.select(F.col(KEY).alias("listed")), listed, "left_anti")
 
 
 def library_counts(media: DataFrame, index: DataFrame) -> DataFrame:

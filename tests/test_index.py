@@ -253,3 +253,23 @@ def test_uninstall_follows_the_settings(spark, tmp_path):
     assert not uninstall(store, Settings(drop_on_uninstall=False)) and store.read().count() == 1
     assert uninstall(store) and store.versions() == [] and store.read().count() == 0
     assert not uninstall(store)
+
+
+@pytest.mark.parametrize("name", ["reindex_everything", "reindex_remaining", "index_batches"])
+def test_reindex_of_odd_documents_matches_its_sql(spark, tmp_path, name):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+    from oracle import compare
+
+    texts = ["plain text", "", None, "\u0000", "more text", "\U0001f600"]
+    rows = [(i, texts[i % 6], ("en", "fr", "de", None)[i % 4], f"src{i % 5}", i) for i in range(60)]
+    rows += [(None, "no id", "en", "src1", 5), (None, "", "fr", "src2", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, i % 2, 0) for i in range(0, 60, 7)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    db = duckdb.connect()
+    for table in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    ok, note = compare(spark, db, queries()[name], oracle_sql()[name], str(tmp_path))
+    assert ok, note
