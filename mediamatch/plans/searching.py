@@ -27,14 +27,18 @@ def reverse_search(
     limit: int = SEARCH_LIMIT_DEFAULT,
     lossless: bool = False,
     bands: BandIndex | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """(probe_id, rank, attachment_id, score, title, url) for every probe.
 
+    With `once` the search runs now and its ranked matches are written, so that reading the result does not search again.
+
     With `bands`, which must hold the hashes of the index, the index emits no keys and a small batch reads no features but
     those of its near rows. Pairs of a batch too large for that (`BandIndex.pays`) stay in the tasks that compare blocks.
     """
     near = bands.near if bands and _small(probes, bands, settings, lossless) else None
-    return hydrate(search(probes, index, settings, limit, lossless=lossless, near=near), media)
+    ranked = search(probes, index, settings, limit, lossless=lossless, near=near)
+    return hydrate(checkpointed(ranked) if once else ranked, media)
 
 
 def public_search(
@@ -46,8 +50,9 @@ def public_search(
     limit: int = SEARCH_LIMIT_DEFAULT,
     filter_first: bool = False,
     signed_in: bool = False,
+    once: bool = False,
 ) -> DataFrame:
-    """Public form of the search, scores rounded to 4 places.
+    """Public form of the search, scores rounded to 4 places; `once` as in `reverse_search`.
 
     Where the settings open the search to signed-in visitors only, any other is refused with `PermissionError`.
 
@@ -58,8 +63,10 @@ def public_search(
         raise PermissionError("the search is open to signed-in visitors only")
     if filter_first:
         ranked = search(probes, index, settings, limit, keep=lambda found: public_only(found, media, posts))
+        ranked = checkpointed(ranked) if once else ranked
     else:
-        ranked = public_only(search(probes, index, settings, limit), media, posts)
+        ranked = search(probes, index, settings, limit)
+        ranked = public_only(checkpointed(ranked) if once else ranked, media, posts)
     return hydrate(ranked, media).withColumn("score", F.round("score", 4))
 
 

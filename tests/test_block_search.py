@@ -144,3 +144,36 @@ def test_features_meet_their_membership_once(spark, monkeypatch, most):
     for side in (probes, index):
         plan = side._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_later_rows_are_compared_only_as_near_as_the_floor_asks(spark, monkeypatch):
+    rows = library(64, 5)
+    probes, index = probes_of(spark, rows[:16]), index_of(spark, rows)
+    q, s = (unpacked(bytes(packed(side, 64).collect()[0]["rows"])) for side in S.with_bits(probes, index))
+    columns = ["bits", "color_vector", "edge_vector"]
+    q, s = q.select(["probe_id", *columns]), s.select(["attachment_id", *columns])
+    matcher = block_search._Matcher(DEFAULT_PARTS, 20, 0.5, 1)
+    kept = block_search._Best(block_search._Rows(q, matcher.wide), 1, 0.5)
+    asked, near_places = [], block_search.near_places
+    monkeypatch.setattr(block_search, "near_places", lambda bits, held, most: asked.append(most) or near_places(bits, held, most))
+    for _ in range(2):
+        matcher.improve(kept, matcher.prepare(s))
+    # every probe is in the index, so nothing but its own hash can still count
+    assert (kept.floor > 0.7).all() and asked[0].min() == 20 and asked[1].max() < 20
+    assert (asked[1][kept.floor > 0.99] <= 1).all()
+    i, score, ids = (c.tolist() for c in kept.found[0])
+    assert i == list(range(16)) and ids == q["probe_id"].to_pylist()
+
+
+def test_near_places_takes_a_distance_for_each_row():
+    import numpy as np
+
+    from mediamatch.operators.blocks import near_places
+
+    some, held = (np.random.default_rng(n).integers(0, 1 << 16, n, dtype=np.uint64) for n in (37, 1003))
+    most = np.arange(37) % 9
+    i, j, apart = near_places(some, held, most)
+    whole = np.bitwise_count(some[:, None] ^ held[None, :])
+    want_i, want_j = np.nonzero(whole <= most[:, None])
+    assert (i == want_i).all() and (j == want_j).all() and (apart == whole[i, j]).all() and len(i) > 100
+    assert [len(c) for c in near_places(some[:0], held, 3)] == [0, 0, 0] == [len(c) for c in near_places(some, held[:0], most)]
