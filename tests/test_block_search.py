@@ -177,3 +177,19 @@ def test_near_places_takes_a_distance_for_each_row():
     want_i, want_j = np.nonzero(whole <= most[:, None])
     assert (i == want_i).all() and (j == want_j).all() and (apart == whole[i, j]).all() and len(i) > 100
     assert [len(c) for c in near_places(some[:0], held, 3)] == [0, 0, 0] == [len(c) for c in near_places(some, held[:0], most)]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_uploads_fingerprint_of_the_index_only_what_a_search_may_return(spark, monkeypatch, most):
+    given, with_features = [], catalog.with_features
+    monkeypatch.setattr(catalog, "BROADCAST_IDS", most)
+    monkeypatch.setattr(catalog, "with_features", lambda rows, *a: given.append(rows) or with_features(rows, *a))
+    monkeypatch.setattr(catalog, "search_uploads", lambda uploads, index, *a, **k: index.withColumn("score", F.lit(0.0)))
+    index = catalog.search_uploaded(spark, SMALL)
+    good = {r[0] for r in catalog.t.membership(spark, SMALL).where("error_code = ''").collect()}
+    every = {r[0] for r in catalog.t.media(spark, SMALL).select("attachment_id").collect()}
+    read = {r["attachment_id"] for r in given[0].select("attachment_id").collect()}
+    assert read == (good & every if most else every)
+    _, whole = catalog._probes_and_index(spark, SMALL)
+    key = ("attachment_id", "phash", "color_vector", "edge_vector")
+    assert pairs_of(index, *key) == pairs_of(whole.where("error_code = ''"), *key)
