@@ -193,3 +193,34 @@ def test_uploads_fingerprint_of_the_index_only_what_a_search_may_return(spark, m
     _, whole = catalog._probes_and_index(spark, SMALL)
     key = ("attachment_id", "phash", "color_vector", "edge_vector")
     assert pairs_of(index, *key) == pairs_of(whole.where("error_code = ''"), *key)
+
+
+def test_similarities_of_plain_rows_come_from_rows_prepared_once(spark, monkeypatch):
+    rows = library(40, 6)
+    q, s = (unpacked(bytes(packed(side, 64).collect()[0]["rows"])) for side in S.with_bits(probes_of(spark, rows), index_of(spark, rows)))
+    columns = ["bits", "color_vector", "edge_vector"]
+    (batch,) = q.select(["probe_id", *columns]).to_batches()
+    given = ["probe_id", "attachment_id", *block_search.part_columns(DEFAULT_PARTS)]
+    taken = {}
+    for way in ("_products", "_similarities"):
+        matcher = block_search._Matcher(DEFAULT_PARTS, 20, None, None, given)
+        if way == "_products":
+            called = []
+            before = block_search._similarities
+            monkeypatch.setattr(block_search, "_similarities", lambda *a: called.append(a) or before(*a))
+        else:
+            monkeypatch.setattr(block_search, "_products", before)
+        found = matcher.match(matcher.prepare(s.select(["attachment_id", *columns])), batch)
+        taken[way] = {(r["probe_id"], r["attachment_id"]): r for b in found for r in b.to_pylist()}
+    assert not called and len(taken["_products"]) > 40 and taken["_products"].keys() == taken["_similarities"].keys()
+    for key, row in taken["_products"].items():
+        assert list(row) == given and row == pytest.approx(taken["_similarities"][key], abs=1e-12)
+
+
+def test_scores_at_the_threshold_are_those_of_the_similarities(spark):
+    rows = library(30, 7)
+    probes, index = probes_of(spark, rows), index_of(spark, rows)
+    whole = {(r["probe_id"], r["attachment_id"]): r["score"] for r in every_pair(probes, index).collect()}
+    for least in sorted(set(whole.values()))[-4:]:
+        found = scored_pairs(*S.with_bits(probes, index), 20, DEFAULT_PARTS, least - 1e-13)
+        assert {(r["probe_id"], r["attachment_id"]) for r in found.collect()} == {k for k, v in whole.items() if v >= least - 1e-12}
